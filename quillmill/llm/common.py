@@ -50,14 +50,14 @@ def hash64(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 15), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, per_bucket: int = 50_000) -> DataFrame:
+def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, per_bucket: int = 50_000, total: int | None = None) -> DataFrame:
     """Numbers the rows of each key from 0 by `order`, whose first column is a long in [0, 2**60).
 
     No task sees a whole key: rows are numbered inside (key, range of the first order column), and the
     ranges' starting numbers are prefix sums over a table of counts. The number of ranges follows the
     number of rows, so a key with a third of all rows is spread like any other.
     """
-    buckets = max(1, -(-df.count() // per_bucket))
+    buckets = max(1, -(-(df.count() if total is None else total) // per_bucket))
     width = (1 << 60) // buckets + 1
     cut = df.withColumn("_bucket", F.floor(order[0] / F.lit(width)).cast("long"))
     counts = cut.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
