@@ -1,3 +1,4 @@
 """All queries of the library by name."""
 
-QUERIES: dict = {}
+from quillmill.plans import coding, documents, events, learning  # noqa: F401  they register their queries
+from quillmill.plans.registry import QUERIES  # noqa: F401
