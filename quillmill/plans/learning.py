@@ -1 +1,89 @@
-"""Queries."""
+"""Queries over labels and documents: dedup, splits, evaluation, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillmill.functions.text import bucket_of
+from quillmill.operators import learning as L
+from quillmill.operators import reconcile as C
+from quillmill.plans.registry import query
+from quillmill.sources.tables import table
+
+big = lambda c: c.cast("bigint")
+
+#: A stand-in for a model's probability: hundredths of the id's hash.
+_P = "('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 / 100"
+
+
+def _scored(spark, d):
+    return table(spark, d, "labels").withColumn("p", bucket_of(F.col("doc_id"), 100) / 100)
+
+
+@query("SELECT arg_max(doc_id, (prio, -doc_id)) AS doc_id, count(*) AS copies FROM (SELECT doc_id, text, CASE WHEN quality IS NOT NULL THEN 2 ELSE 1 END AS prio FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY text")
+def dedup_priority(spark, d):
+    both = table(spark, d, "documents").select("doc_id", F.md5("text").alias("k")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return L.survivors(both, F.col("k"), F.when(F.col("quality").isNotNull(), 2).otherwise(1), "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'valid' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(md5(text)), 1, 8))::BIGINT % 100 AS b FROM documents)")
+def group_split(spark, d):
+    """Equal texts share a split."""
+    return table(spark, d, "documents").select("doc_id", L.split_of(F.md5("text")).alias("split"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
+def seeded_sample(spark, d):
+    """A repeatable sample: the hundred smallest hashes. The limit is the feature."""
+    return table(spark, d, "documents").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(100)
+
+
+@query(f"""WITH t AS (SELECT 'quality' AS label, quality = 1 AS y, {_P} >= 0.5 AS s FROM labels UNION ALL SELECT 'toxic', toxic = 1, {_P} >= 0.5 FROM labels),
+c AS (SELECT label, count(*) FILTER (y AND s) AS tp, count(*) FILTER (NOT y AND s) AS fp, count(*) FILTER (y AND NOT s) AS fn FROM t GROUP BY 1)
+SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c""")
+def prf_metrics(spark, d):
+    long = _scored(spark, d).select("p", F.inline(F.array(F.struct(F.lit("quality").alias("label"), (F.col("quality") == 1).alias("y")), F.struct(F.lit("toxic").alias("label"), (F.col("toxic") == 1).alias("y")))))
+    return C.prf(long, F.col("y"), F.col("p") >= 0.5, ["label"])
+
+
+@query(f"SELECT floor(p * 10)::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(quality), 6) AS rate FROM (SELECT {_P} AS p, quality FROM labels) WHERE p < 1 GROUP BY 1")
+def reliability_curve(spark, d):
+    r = L.reliability(_scored(spark, d), "p", "quality")
+    return r.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("rate", 6).alias("rate"))
+
+
+@query(f"""WITH s AS (SELECT quality = 1 AS y, {_P} AS p FROM labels), g AS (SELECT k * 0.05::DOUBLE AS t FROM range(1, 20) AS r(k)), c AS (SELECT t, count(*) FILTER (y AND p >= t) AS tp, count(*) FILTER (NOT y AND p >= t) AS fp, count(*) FILTER (y AND p < t) AS fn FROM s, g GROUP BY 1)
+SELECT round(t, 2) AS threshold, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c QUALIFY row_number() OVER (ORDER BY round(2 * tp / (2 * tp + fp + fn), 6) DESC, t) = 1""")
+def threshold_opt(spark, d):
+    """The threshold of best F1 on a grid: one conditional aggregate for each of the 19 steps, in a single pass."""
+    s, y = _scored(spark, d), F.col("quality") == 1
+    grid = [k * 0.05 for k in range(1, 20)]
+    n = lambda c: F.sum(c.cast("int"))
+    f1 = [F.round(2 * n(y & (F.col("p") >= t)) / (2 * n(y & (F.col("p") >= t)) + n(~y & (F.col("p") >= t)) + n(y & (F.col("p") < t))), 6) for t in grid]
+    best = s.agg(F.array_max(F.array(*[F.struct(v.alias("f1"), F.lit(-t).alias("t")) for v, t in zip(f1, grid, strict=True)])).alias("b"))
+    return best.select(F.round(-F.col("b.t"), 2).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
+@query(f"SELECT CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.4 THEN 'GRAY' ELSE 'LOW' END AS difficulty, count(*) AS n FROM (SELECT {_P} AS p FROM labels) GROUP BY 1")
+def difficulty_buckets(spark, d):
+    return _scored(spark, d).groupBy(F.when(F.col("p") >= 0.7, "HIGH").when(F.col("p") >= 0.4, "GRAY").otherwise("LOW").alias("difficulty")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, round(greatest(p, CASE WHEN quality = 1 THEN 0.95 ELSE 0.1 END::DOUBLE), 4) AS confidence, p BETWEEN 0.5 AND 0.9 AS review FROM (SELECT doc_id, quality, {_P} AS p FROM labels)")
+def confidence_combine(spark, d):
+    rule = F.when(F.col("quality") == 1, 0.95).otherwise(0.1)
+    return _scored(spark, d).select("doc_id", F.round(F.greatest("p", rule), 4).alias("confidence"), F.col("p").between(0.5, 0.9).alias("review"))
+
+
+@query("SELECT tag, count(*) AS cases, count(*) FILTER (NOT ok) AS failures FROM (SELECT lang AS tag, length(text) > 50 AND regexp_matches(text, '[a-z]') AS ok FROM documents) GROUP BY 1")
+def expectation_eval(spark, d):
+    ok = (F.length("text") > 50) & F.col("text").rlike("[a-z]")
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("tag")).agg(F.count(F.lit(1)).alias("cases"), F.count_if(~ok).alias("failures"))
+
+
+@query(None)
+def tfidf_lr(spark, d):
+    """Documents scored by a text classifier fitted to the labelled ones."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    model = L.text_classifier(docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id"), "text", "label")
+    return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
