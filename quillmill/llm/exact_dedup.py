@@ -55,13 +55,18 @@ def _finish(df: DataFrame, id_col: str) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns: one for each distinct text.
 
-    Where several rows share both text and id, the one with the smallest digest of all its columns stays;
-    whole equal rows count as one.
+    Where several rows share both text and id, the one that is least in all its columns stays.
     """
-    groups = exact_groups(docs, id_col, text_col).where("group_size > 1")
+    groups = checkpoint(exact_groups(docs, id_col, text_col).where("group_size > 1"))
     losers = groups.where(~F.col("kept")).select(F.col(id_col).alias("_drop")).distinct()
     left = docs.join(losers, docs[id_col].eqNullSafe(losers["_drop"]), "left_anti")
-    return left
+    again = groups.where("kept").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    if again.isEmpty():
+        return left
+    # Rows that share id and text: one of each.
+    same = left[id_col].eqNullSafe(again["_again"])
+    one = left.join(again, same, "left_semi").groupBy(F.col(id_col).alias("_i"), normal_form(F.col(text_col)).alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return left.join(again, same, "left_anti").unionByName(one.select("_row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ slots, from one count for each source); rows get their slots by equi-joins, with
 
 Defined results: rows whose source is null form a source of their own, "" on ties of its name; sources
 without a target weight get `default_weight` of the mean; within a source rows follow the hash of their id, then id, then text hash;
-an empty table gives no rows; columns of `docs` stay as they are, `slot` and the like are added by the query.
+an empty table gives no rows; columns of `docs` stay inside `row`, so no name clashes.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def _table(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 8, period: int = 1000, alpha: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """`docs` with _source_no, _block, _slot (of the block) and _in_block. Without `weights` a source's weight is its count to the power `alpha`."""
+    """Rows of `docs` as the struct `row`, with source_no, block_no, slot (of the block) and in_block. Without `weights` a source's weight is its count to the power `alpha`."""
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col), F.lit(""))
     counted = sorted((r["s"], r["n"]) for r in collect_bounded(docs.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")), MOST_SOURCES, "sources"))
@@ -110,8 +110,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
 
     names = [F.lit(s) for s, _ in counted]
     no = F.array_position(F.array(*names), source) - 1 if names else F.lit(0).cast("long")
-    rows = docs.withColumn("_source_no", no).withColumn("_hash", hash64(F.col(id_col)))
-    ranked = gapless_rank(rows, "_source_no", [F.col("_hash"), F.col(id_col).asc_nulls_first(), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))], "_place", total=sum(n for _, n in counted))
+    tie = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), no.alias("_source_no"), hash64(F.col(id_col)).alias("_hash"), F.col(id_col).alias("_own"), tie.alias("_tie"))
+    ranked = gapless_rank(rows, "_source_no", [F.col("_hash"), F.col("_own").asc_nulls_first(), F.col("_tie")], "_place", total=sum(n for _, n in counted))
     placed = ranked.withColumn("_block", F.floor(F.col("_place") / block_rows).cast("long")).withColumn("_in_block", F.col("_place") % block_rows)
     span = _table(spark, spans, ["_phase", "_s", "_first", "_end", "_start", "_period", "_tickets"])
     slot = _table(spark, slots, ["_p", "_t", "_k", "_at"])
@@ -120,16 +121,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     step = F.col("_block") - F.col("_first")
     at = in_phase.withColumn("_turn", F.floor(step / F.col("_tickets")).cast("long")).withColumn("_kk", step % F.col("_tickets"))
     out = at.join(F.broadcast(slot), (F.col("_phase") == F.col("_p")) & (F.col("_source_no") == F.col("_t")) & (F.col("_kk") == F.col("_k")))
-    return out.withColumn("_slot", F.col("_start") + F.col("_turn") * F.col("_period") + F.col("_at")).drop("_hash", "_place", "_s", "_first", "_end", "_start", "_period", "_tickets", "_p", "_t", "_k", "_at", "_turn", "_kk", "_phase")
+    slot_no = F.col("_start") + F.col("_turn") * F.col("_period") + F.col("_at")
+    return out.select("row", F.col("_source_no").alias("source_no"), F.col("_block").alias("block_no"), slot_no.alias("slot"), F.col("_in_block").alias("in_block"))
 
 
 def interleaved(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` in mixed order, over range partitions, with their columns alone."""
-    names = docs.columns
-    return mix(docs, **how).repartitionByRange("_slot", "_in_block").sortWithinPartitions("_slot", "_in_block").select(*names)
+    return mix(docs, **how).repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block").select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of `documents` with its block and slot: doc_id, source, block_no, slot, in_block."""
     mixed = mix(load(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.col("_block").alias("block_no"), F.col("_slot").alias("slot"), F.col("_in_block").alias("in_block"))
+    return mixed.select("row.doc_id", "row.source", "block_no", "slot", "in_block")

@@ -10,7 +10,7 @@ Queries come to the driver in blocks of `block` (so many vectors at most are sen
 candidates are never moved. Results of the blocks are files in the shared folder.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part; a query and
-a candidate of different lengths have no score; rows that share a query's id count as its own; ties go to
+a candidate of different lengths have no score; rows that share a query's id count as its own and ask once (with the least vector); ties go to
 the smaller id; repeated rows are candidates each; an empty table gives no rows; a score beyond 63 bits
 is an error; other columns are not read.
 """
@@ -98,7 +98,7 @@ def _reach(ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int):
 def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the k best candidates of each row of `queries`."""
     spark = df.sparkSession
-    vectors, wanted = _vectors(df, id_col, vector_col), _vectors(queries, id_col, vector_col)
+    vectors, wanted = _vectors(df, id_col, vector_col), _vectors(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
     norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     folder = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
     schema = "query_id long, rank int, vec_id long, score long"
