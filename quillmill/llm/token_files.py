@@ -20,6 +20,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +42,21 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.tokenizer, self.code = Tokenizer.from_file(path), "H" if dtype == "<u2" else "I"
         self.memo = Memo(self._encode)
 
     def _encode(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array(self.code, self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, _WORDS.findall(text)))
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as bytes; the words that are new in these texts are encoded in one call."""
+        memo = self.memo
+        # A-Z go first: the normaliser lower-cases them anyway, but special strings are matched as they stand.
+        words = [_WORDS.findall(t if "<|" in t else t.encode().lower().decode()) for t in texts]
+        new = [w for w in set().union(*words) if w not in memo and w not in memo.old]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[w] = array(self.code, e.ids).tobytes()
+        return [b"".join(map(memo.__getitem__, own)) for own in words]
 
 
 _encoders: dict[tuple[str, str], WordEncoder] = {}
@@ -89,10 +97,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
         docs_n = tokens = 0
         for batch in batches:
             sizes, ids = [], batch.column(0)
-            for value in batch.column(1):
-                data = encode(value.as_py()) + end
-                out["bin"].write(data)
-                sizes.append(len(data) // int(dtype[-1]))
+            for i in range(0, len(batch), 200):
+                for data in encode.batch(batch.column(1).slice(i, 200).to_pylist()):
+                    out["bin"].write(data + end)
+                    sizes.append(len(data) // int(dtype[-1]) + 1)
             ends = tokens + np.cumsum(np.array(sizes, "<u8"), dtype="<u8")
             out["off"].write(ends.tobytes())
             out["doc"].write(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
