@@ -58,7 +58,7 @@ def hash64(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 15), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, per_bucket: int = 50_000, total: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, per_bucket: int = 5_000, total: int | None = None) -> DataFrame:
     """Numbers the rows of each key from 0 by `order`, whose first column is a long in [0, 2**60).
 
     No task sees a whole key: rows are numbered inside (key, range of the first order column), and the
