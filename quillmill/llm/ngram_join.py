@@ -131,6 +131,27 @@ def _postings(words: int, num: int, den: int):
     return run
 
 
+#: Runs that are merged at a time, and candidates that are probed one by one.
+WAYS, FEW = 16, 16
+
+
+def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in sorted runs without repeats, and how many runs hold each: from a heap the shortest runs are merged."""
+    heap = [(len(r), i, r, np.ones(len(r), np.int64)) for i, r in enumerate(runs)]
+    heapq.heapify(heap)
+    made = len(heap)
+    while len(heap) > 1:
+        part = [heapq.heappop(heap) for _ in range(min(WAYS, len(heap)))]
+        y, met = np.concatenate([p[2] for p in part]), np.concatenate([p[3] for p in part])
+        at = np.argsort(y, kind="stable")
+        y = y[at]
+        new = np.flatnonzero(np.append(True, y[1:] != y[:-1]))
+        y, met = y[new], np.add.reduceat(met[at], new)
+        heapq.heappush(heap, (len(y), made, y, met))
+        made += 1
+    return heap[0][2], heap[0][3]
+
+
 def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
     """The smallest id of each member's component by links; `side` (0 or 1): only links across, or all where None."""
     order = np.lexsort((ids, [len(s) for s in sets]))
@@ -155,6 +176,7 @@ def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, sid
     for x in range(1, m):
         n = int(size[x])
         need = -(-num * n // den)  # T: overlap with the smallest partner that can link
+        least = int(np.searchsorted(size, need))  # smaller sets can't link
         lists = token[start[x] : start[x + 1]]
         lists = lists[np.argsort(df[lists], kind="stable")]
         aside = max(0, need - 3)  # L
@@ -163,35 +185,49 @@ def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, sid
         for t in short:
             if df[t] > 1:
                 run = view[at[t] : at[t + 1]]
-                run = run[: np.searchsorted(run, x)]
+                run = run[np.searchsorted(run, least) : np.searchsorted(run, x)]
                 run = run[label[run] != label[x]]
                 if side is not None:
                     run = run[side[run] != side[x]]
                 if len(run):
-                    runs.append(run.tolist())
+                    runs.append(run)
         if len(runs) < need - aside:
             continue
-        met, last = 0, -1
-        found = []
-        for y in heapq.merge(*runs):
-            met = met + 1 if y == last else 1
-            if y != last:
-                found.append([y, 0])
-                last = y
-            found[-1][1] = met
-        for y, met in found:
-            if met < need - aside or label[x] == label[y] or size[y] * den < num * n:
-                continue
-            enough, left = -(-num * (n + int(size[y])) // (num + den)), len(long)
-            for t in long:
-                if met >= enough or met + left < enough:
-                    break
-                left -= 1
-                low, high = int(at[t]), int(at[t + 1])
-                p = bisect_left(posted, y, low, high)
-                met += p < high and posted[p] == y
-            if met >= enough:
-                unite(x, y)
+        y, met = merged(runs)
+        y, met = y[met >= need - aside], met[met >= need - aside]
+        best = np.argsort(-met, kind="stable")
+        y, met = y[best], met[best]
+        enough = -(-num * (n + size[y]) // (num + den))
+
+        def probe(first: int, last: int, done: int) -> None:
+            for z, have, want in zip(y[first:last].tolist(), met[first:last].tolist(), enough[first:last].tolist(), strict=True):
+                if label[x] == label[z]:
+                    continue
+                left = len(long) - done
+                for t in long[done:]:
+                    if have >= want or have + left < want:
+                        break
+                    left -= 1
+                    low, high = int(at[t]), int(at[t + 1])
+                    p = bisect_left(posted, z, low, high)
+                    have += p < high and posted[p] == z
+                if have >= want:
+                    unite(x, z)
+
+        probe(0, FEW, 0)
+        y, met, enough = y[FEW:], met[FEW:], enough[FEW:]
+        new = label[y] != label[x]
+        y, met, enough = y[new], met[new], enough[new]
+        # Many candidates are probed together, until few are left.
+        done = 0
+        while len(y) > FEW and done < len(long):
+            own = view[at[long[done]] : at[long[done] + 1]]
+            p = np.searchsorted(own, y)
+            met += own[np.minimum(p, len(own) - 1)] == y
+            done += 1
+            able = met + len(long) - done >= enough
+            y, met, enough = y[able], met[able], enough[able]
+        probe(0, len(y), done)
     root = np.empty(m, np.int64)
     for own in members.values():
         root[own] = ids[own].min()

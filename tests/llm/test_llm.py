@@ -279,3 +279,29 @@ def test_pipeline(spark, tmp_path):
         first.setdefault(norm(x[1]), x)
     kept = list(first.values())
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _, c in brute_components(kept, 5, 80, 100) if d == c)
+
+
+def test_divide_skip_equals_all_pairs_with_many_candidates_and_tiny_sets():
+    import numpy as np
+    from quillmill.llm.ngram_join import divide_skip
+
+    random = np.random.default_rng(7)
+    passage = random.integers(0, 1 << 62, 40)
+    own = [np.unique(np.append(passage[random.random(40) < 0.9], random.integers(0, 1 << 62, random.integers(0, 9)))).astype(np.uint64) for _ in range(150)]
+    own += [np.array([k % 4], np.uint64) for k in range(12)] + [np.array([1, 2, k], np.uint64) for k in (3, 4)]
+    ids = random.permutation(len(own)).astype(np.int64)
+    for side in (None, (ids % 2).astype(np.int64)):
+        root = {int(i): int(i) for i in ids}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        sets = [set(s.tolist()) for s in own]
+        for a in range(len(own)):
+            for b in range(a):
+                if (side is None or side[a] != side[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low, high = sorted((find(int(ids[a])), find(int(ids[b]))))
+                    root[high] = low
+        assert divide_skip(ids, own, 80, 100, side).tolist() == [find(int(i)) for i in ids]
