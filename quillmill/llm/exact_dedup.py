@@ -55,16 +55,22 @@ def _finish(df: DataFrame, id_col: str) -> DataFrame:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns: one for each distinct text.
 
-    Where several rows share both text and id, the one that is least in all its columns stays.
+    Where several rows share both text and id, the one that is least in all its columns stays. Losers go
+    by id where every dropped id has one row; where one has several, or null has, they go by id and digest.
     """
     groups = checkpoint(exact_groups(docs, id_col, text_col).where("group_size > 1"))
-    losers = groups.where(~F.col("kept")).select(F.col(id_col).alias("_drop")).distinct()
-    left = docs.join(losers, docs[id_col].eqNullSafe(losers["_drop"]), "left_anti")
-    again = groups.where("kept").groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again")
+    losers = groups.where(~F.col("kept")).select(F.col(id_col).alias("_drop"), F.col("text_sha256").alias("_sha")).distinct()
+    digest = sha256(normal_form(docs[text_col]))
+    ids = docs.select(F.col(id_col).alias("_own"))
+    held = ids.join(losers.select("_drop").distinct(), F.col("_own").eqNullSafe(F.col("_drop")), "left_semi")
+    shared = held.groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = docs[id_col].eqNullSafe(losers["_drop"])
+    left = docs.join(losers, gone if shared.isEmpty() else gone & (digest == losers["_sha"]), "left_anti")
+    again = groups.where("kept").groupBy(F.col(id_col).alias("_again"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again", "_sha")
     if again.isEmpty():
         return left
     # Rows that share id and text: one of each.
-    same = left[id_col].eqNullSafe(again["_again"])
+    same = left[id_col].eqNullSafe(again["_again"]) & (sha256(normal_form(left[text_col])) == again["_sha"])
     one = left.join(again, same, "left_semi").groupBy(F.col(id_col).alias("_i"), normal_form(F.col(text_col)).alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
     return left.join(again, same, "left_anti").unionByName(one.select("_row.*"))
 

@@ -103,6 +103,13 @@ def test_exact_dedup(docs, spark):
     assert again.columns == docs.columns and sorted(r.doc_id for r in again.collect()) == sorted(min(g) for g in groups.values())
 
 
+def test_drop_copies_with_null_and_repeated_ids(spark):
+    rows = [(5, "A"), (None, "A"), (None, "alone"), (None, "twice"), (None, "twice"), (9, "A"), (9, "B"), (9, "B"), (9, "C"), (12, "C"), (13, "D")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(5, "A"), (None, "alone"), (None, "twice"), (9, "B"), (9, "C"), (13, "D")]
+    assert sorted(map(tuple, exact_dedup.drop_copies(df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
