@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -125,6 +126,31 @@ def test_pfair_deviates_by_less_than_a_block():
         assert run == share
 
 
+@pytest.mark.parametrize("weights,rows", [({i: 0.5 if i == 0 else 0.5 / 19 for i in range(20)}, 30_000), ({i: (1 + i) ** 0.5 for i in range(1500)}, 20_000)])
+def test_schedule_keeps_to_the_target_weights(weights, rows):
+    total, run = sum(weights.values()), collections.Counter()
+    blocks = dict.fromkeys(weights, rows)  # no source ends early
+    for t, (s, k) in enumerate(itertools.islice(mixing.schedule(blocks, weights), rows), 1):
+        assert k == run[s]
+        run[s] += 1
+        if t % 97 == 0:
+            assert max(abs(run[x] - weights[x] / total * t) for x in weights) < 1 + 1e-6
+
+
+def test_mixing_by_unequal_weights_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 700)
+    rows = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1200).alias("source"), F.lit("t").alias("text"))
+    weights = {f"s{i}": 50.0 if i < 10 else 1.0 for i in range(1200)}
+    got = mixing.mix(rows, weights, block_rows=1).collect()
+    assert sorted(r.slot for r in got) == list(range(2400)) and len({r.row.doc_id for r in got}) == 2400
+    assert all(r.slot <= 2 * (10 * 50 + 1190) / 50 for r in got if int(r.row.source[1:]) < 10)
+
+
+def test_weights_that_are_not_positive_come_last():
+    got = [s for s, _ in mixing.schedule({"a": 4, "b": 3, "c": 2}, {"a": 1.0, "b": 0.0, "c": 3.0})]
+    assert sorted(got[:6]) == list("aaaacc") and got[6:] == list("bbb")
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs, {"hot": 3.0, "s0": 1.0}, block_rows=4, period=20).collect()
     assert sorted(r.row.doc_id for r in rows) == [x[0] for x in made()]
