@@ -6,6 +6,11 @@ an insertion shifts no later chunk. Chunks are about `average` bytes long and re
 digest. Runs of repeated chunks with `min_words` words or more are reported; of each chunk the first
 occurrence (smallest id, then place) stays.
 
+A passage's first 31 bytes and what lies before its first and after its last cut are in no whole chunk of
+it. So a run of fewer words is extended to both sides, to whole words, as far as its bytes equal those
+beside the first occurrence of its outer chunk (for the first occurrence itself: beside the last), at most
+`REACH` bytes and not into another run, and is then held against `min_words`.
+
 Copies inside a batch are combined before the shuffle: one row for a digest leaves a batch, the others are
 known to be repeats. So a passage in a third of all documents meets as one row for each batch.
 
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.llm.common import load
+from quillmill.llm.common import load, stored
 from quillmill.llm.shingles import BLOCK, SPACE, VALUE, U, _power, buffers, mix
 
 _GEAR = (mix(np.arange(256, dtype=U) + U(0x6765617200)) >> U(32)).astype(np.uint32)
@@ -81,7 +86,9 @@ def chunks(data: np.ndarray, edges: np.ndarray, average: int, shortest: int) ->
 VALUE_CASED = VALUE.copy()
 VALUE_CASED[65:91] = mix(np.arange(1, 27, dtype=U) + U(0xCA5ED)) | U(1)
 
-_SCHEMA = "doc long, begin int, end int, digest long, words int, docs int"
+_SCHEMA = "doc long, begin int, end int, digest long, words int, docs int, peer struct<doc: long, begin: int>"
+#: Bytes that are compared on each side of a short run.
+REACH = 512
 
 
 def _chunked(average: int, shortest: int, holders: bool):
@@ -105,30 +112,105 @@ def _chunked(average: int, shortest: int, holders: bool):
             # Of a digest that several documents here share one row meets the others; repeats inside one document all do.
             want = new | (docs_in[group] == 1)
             n = np.where(new, docs_in[group], 0)
+            # For each row an occurrence in another document of the batch.
+            lead = np.flatnonzero(new)
+            second = np.full(len(lead), -1)
+            other_at = np.flatnonzero(other & ~new)[::-1]
+            second[group[other_at]] = other_at
+            peer = np.where(doc == doc[lead[group]], second[group], lead[group])
             if not holders:
                 want, n = ~want, np.zeros(len(n), np.int64)
-            n = n[want]
+            n, peer = n[want], peer[want]
             for i in range(0, int(want.sum()), 100_000):
                 s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[want][s]), "begin": pa.array(begin[want][s].astype(np.int32)), "end": pa.array(end[want][s].astype(np.int32)), "digest": pa.array(digest[want][s].view(np.int64)), "words": pa.array(words[want][s].astype(np.int32)), "docs": pa.array(n[s].astype(np.int32))})
+                peers = pa.StructArray.from_arrays([pa.array(doc[peer[s]]), pa.array(begin[peer[s]].astype(np.int32))], ["doc", "begin"], mask=pa.array(peer[s] < 0))
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[want][s]), "begin": pa.array(begin[want][s].astype(np.int32)), "end": pa.array(end[want][s].astype(np.int32)), "digest": pa.array(digest[want][s].view(np.int64)), "words": pa.array(words[want][s].astype(np.int32)), "docs": pa.array(n[s].astype(np.int32)), "peer": peers})
 
     return run
 
 
+def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (key, own bytes, other bytes, backwards?, to the text's end?): (key, bytes that agree, cut to whole words, words begun in them).
+
+    Forwards the bytes before are the last of the run, which counts for nothing but whether a word begins.
+    """
+    for batch in batches:
+        size, words = [], []
+        for own, other, back, whole in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            a, b = np.frombuffer(own, np.uint8), np.frombuffer(other, np.uint8)
+            if back:
+                a, b = a[::-1], b[::-1]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            n = int(differ[0]) if len(differ) else m
+            gap = SPACE[a[:n]]
+            if back:
+                if not (whole and n == len(a)):
+                    at = np.flatnonzero(gap)
+                    n = int(at[-1]) + 1 if len(at) else 0
+                ink = ~SPACE[a[:n]][::-1]
+                begun = int((ink & ~np.append(False, ink[:-1])).sum()) if n else 0
+            else:
+                if not (whole and n == len(a)):
+                    at = np.flatnonzero(gap)
+                    n = int(at[-1]) if len(at) else 0
+                ink = ~gap[:n]
+                begun = int((ink[1:] & ~ink[:-1]).sum())
+                n = max(0, n - 1)
+            size.append(n)
+            words.append(begun)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(words, pa.int32())], ["key", "size", "begun"])
+
+
+def _extended(short: DataFrame, rows: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """The short runs that have `min_words` words once extended."""
+    texts = rows.select(F.col("doc").alias("_doc"), F.col(text_col).cast("binary").alias("_raw"))
+    have = F.octet_length("_raw")
+    kind = short.schema["key"].dataType.simpleString()
+    result = f"key {kind}, size int, begun int"
+    room_left = F.least(F.lit(REACH), F.col("begin") - F.coalesce("before", F.lit(0)))
+    room_right = F.least(F.lit(REACH), F.coalesce("after", have) - F.col("end"))
+    own = short.join(texts, F.col("key.doc") == F.col("_doc")).select(
+        "key", "left", "right", F.substr("_raw", F.col("begin") - room_left + 1, room_left).alias("a"), (room_left == F.col("begin")).alias("a_whole"),
+        F.substr("_raw", F.col("end"), room_right + 1).alias("b"), (F.col("end") + room_right == have).alias("b_whole"))
+    size = F.least(F.octet_length("a"), F.col("left.begin"))
+    lefts = own.join(texts, F.col("left.doc") == F.col("_doc")).select("key", "a", F.substr("_raw", F.col("left.begin") - size + 1, size).alias("o"), F.lit(True).alias("back"), "a_whole").mapInArrow(_agree, result)
+    rights = own.join(texts, F.col("right.doc") == F.col("_doc")).select("key", "b", F.substr("_raw", F.col("right.end"), F.octet_length("b")).alias("o"), F.lit(False).alias("back"), "b_whole").mapInArrow(_agree, result)
+    # Rows with equal ids: the most that any of them gives.
+    best = lambda df, n: df.where("size > 0").groupBy("key").agg(F.max(F.struct("size", "begun")).alias(n))
+    grown = short.join(best(lefts, "l"), "key", "left").join(best(rights, "r"), "key", "left")
+    l, r = F.coalesce("l.size", F.lit(0)), F.coalesce("r.size", F.lit(0))  # noqa: E741
+    n = F.col("n_words") + F.coalesce("l.begun", F.lit(0)) + F.coalesce("r.begun", F.lit(0))
+    span = lambda gone, b, e: F.when(gone & (e > b), F.array(F.struct(b.alias("begin"), e.alias("end")))).otherwise(F.expr("array()").cast("array<struct<begin:int,end:int>>"))
+    b, e = F.col("begin"), F.col("end")
+    removed = F.col("removed_bytes") + F.when(F.col("gone_left"), l).otherwise(0) + F.when(F.col("gone_right"), r).otherwise(0)
+    return grown.where(n >= min_words).select(
+        F.col("key.doc").alias("doc"), (b - l).alias("begin"), (e + r).alias("end"), n.cast("long").alias("n_words"), "n_chunks", removed.cast("long").alias("removed_bytes"),
+        F.concat(span(F.col("gone_left"), b - l, b), "spans", span(F.col("gone_right"), e, e + r)).alias("spans"))
+
+
 def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of repeated chunks: the id, begin, end (bytes), n_words, n_chunks, removed_bytes, kept."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col))
     meet = Window.partitionBy("digest")
     first = F.min(F.struct("doc", "begin")).over(meet)
-    held = rows.mapInArrow(_chunked(average, shortest, True), _SCHEMA).withColumn("n", F.sum("docs").over(meet)).withColumn("first", first).where("n > 1")
-    held = held.select("doc", "begin", "end", "words", (F.struct("doc", "begin") != F.col("first")).alias("gone"))
-    copies = rows.mapInArrow(_chunked(average, shortest, False), _SCHEMA).select("doc", "begin", "end", "words", F.lit(True).alias("gone"))
+    held = rows.mapInArrow(_chunked(average, shortest, True), _SCHEMA).withColumn("n", F.sum("docs").over(meet)).withColumn("first", first).withColumn("last", F.max(F.struct("doc", "begin")).over(meet)).where("n > 1")
+    # Where to compare: beside the first occurrence, and for those in its document beside another one.
+    other = F.when(F.col("first.doc") != F.col("doc"), F.col("first")).when(F.col("last.doc") != F.col("doc"), F.col("last")).otherwise(F.col("peer"))
+    held = held.select("doc", "begin", "end", "words", (F.struct("doc", "begin") != F.col("first")).alias("gone"), other.alias("at"))
+    copies = rows.mapInArrow(_chunked(average, shortest, False), _SCHEMA).select("doc", "begin", "end", "words", F.lit(True).alias("gone"), F.col("peer").alias("at"))
     by = Window.partitionBy("doc").orderBy("begin", "end")
     linked = held.unionByName(copies).withColumn("new", F.coalesce((F.lag("end").over(by) != F.col("begin")).cast("int"), F.lit(1)))
+    ends_at = F.struct(F.col("at.doc").alias("doc"), (F.col("at.begin") + F.col("end") - F.col("begin")).alias("end"))
     runs = linked.withColumn("run", F.sum("new").over(by)).groupBy("doc", "run").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
-        F.sum(F.when(F.col("gone"), F.col("end") - F.col("begin")).otherwise(0)).cast("long").alias("removed_bytes"), F.collect_list(F.when(F.col("gone"), F.struct("begin", "end"))).alias("spans"))
-    found = runs.where(F.col("n_words") >= min_words)
+        F.sum(F.when(F.col("gone"), F.col("end") - F.col("begin")).otherwise(0)).cast("long").alias("removed_bytes"), F.collect_list(F.when(F.col("gone"), F.struct("begin", "end"))).alias("spans"),
+        F.min_by("at", "begin").alias("left"), F.max_by(ends_at, "begin").alias("right"), F.min_by("gone", "begin").alias("gone_left"), F.max_by("gone", "begin").alias("gone_right"))
+    beside = Window.partitionBy("doc").orderBy("run")
+    runs = stored(runs.withColumn("before", F.lag("end").over(beside)).withColumn("after", F.lead("begin").over(beside)))
+    found = runs.where(F.col("n_words") >= min_words).drop("run", "left", "right", "gone_left", "gone_right", "before", "after")
+    short = runs.where(F.col("n_words") < min_words).withColumn("key", F.struct("doc", "run")).drop("doc", "run")
+    found = found.unionByName(_extended(short, rows, text_col, min_words))
     return found.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "n_chunks", "removed_bytes", (F.col("removed_bytes") == 0).alias("kept"), F.array_sort("spans").alias("spans"))
 
 

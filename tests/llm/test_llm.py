@@ -213,6 +213,24 @@ def test_substring_dedup_finds_planted_passages(spark):
         assert cut[i] == t if i >= 100 or i < 20 else len(cut[i]) < len(t) - 60
 
 
+def test_substring_dedup_finds_passages_of_few_short_words(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([3, 4, 4, 5, 5])))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = [prose(51) for _ in range(600)]
+    rows = [(2 * i + k, f"{prose(30 + k)} {p} {prose(40)}") for i, p in enumerate(passage) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = dict(rows)
+    got = collections.defaultdict(list)
+    for x in substring_dedup.repeated_runs(df).collect():
+        got[x.doc_id].append(x)
+        part = text[x.doc_id].encode()[x.begin : x.end].decode()
+        assert part.strip() in passage[x.doc_id // 2] and x.n_words >= 15 and abs(len(part.split()) - x.n_words) <= 1
+    recall = sum(i in got for i, _ in rows) / len(rows)
+    print("recall at 51 words", recall)
+    assert recall >= 0.985
+
+
 def test_gear_cuts_depend_on_content_alone():
     r = np.random.default_rng(1)
     a = r.integers(97, 123, 5000).astype(np.uint8)
