@@ -332,6 +332,20 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _, c in brute_components(kept, 5, 80, 100) if d == c)
 
 
+def test_pipeline_returns_the_mixed_order(spark, tmp_path):
+    import corpus_pipeline
+
+    whole = spark.createDataFrame(made(), SCHEMA)
+    whole.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        got = {r.mixed_position: r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = whole.where(F.col("doc_id").isin(list(got.values())))
+    assert [got[i] for i in range(len(got))] == [r.row.doc_id for r in sorted(mixing.mix(kept).collect(), key=lambda r: (r.slot, r.in_block))]
+
+
 def test_divide_skip_equals_all_pairs_with_many_candidates_and_tiny_sets():
     import numpy as np
     from quillmill.llm.ngram_join import divide_skip
