@@ -260,10 +260,14 @@ def jaccard_pairs(spark, d):
 SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' ELSE 'case' END AS method, instr(lower(text), lower(q))::BIGINT AS found_at FROM c""")
 def quote_anchor(spark, d):
     """Where a quote stands in a document: exactly, or but for case. A shared word narrows the candidates first."""
-    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).withColumn("w", F.element_at(F.array_sort(F.slice(F.split(F.lower("q"), " "), 2, 5), lambda a, b: F.length(b) - F.length(a)), 1))
+    # The first and last word may be part of a longer one in a document; a quote without others meets all documents.
+    inner = F.split(F.lower("q"), " ")
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).withColumn("w", F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
     words = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
     # Only quotes' words leave the documents; texts come back for the matching documents.
     near = words.drop("text").join(F.broadcast(quotes), "w").select("doc_id", "item_id", "q")
+    near = near.unionByName(table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(quotes.where("w IS NULL"))).select("doc_id", "item_id", "q"))
     both = near.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains(F.lower("text"), F.lower("q")))
     return both.select("item_id", "doc_id", F.when(F.contains("text", F.col("q")), "exact").otherwise("case").alias("method"), big(F.expr("instr(lower(text), lower(q))")).alias("found_at"))
 

@@ -123,3 +123,12 @@ def test_streamed_duplicates_are_dropped_once(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/events")
     stream = folds.event_stream(spark, f"{tmp_path}/events", df.schema, "*.parquet")
     assert folds.drained(folds.once(stream, "1 hour", "event_id"), "append", str(tmp_path)).count() == 2
+
+
+def test_quote_anchor_of_few_words(spark, tmp_path):
+    from quillmill.catalog import QUERIES
+
+    spark.createDataFrame([(1, "Single"), (2, "one two"), (3, "a longest b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "a single, here"), (8, "One twofold A longest b"), (9, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.item_id, r.doc_id, r.method, r.found_at) for r in QUERIES["quote_anchor"].run(spark, str(tmp_path)).collect())
+    assert got == [(1, 7, "case", 3), (2, 8, "case", 1), (3, 8, "case", 13)]
