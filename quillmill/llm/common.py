@@ -58,6 +58,28 @@ def hash64(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(text: Column) -> Column:
+    """With the id it tells rows of different texts apart, where ids repeat."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows that `decided` (_id, _hash, _keep) drops; rows it doesn't name stay.
+
+    Rows are known by id, null too, and row_hash. Where several rows share both and are to stay, the one
+    that is least in all its columns does.
+    """
+    same = lambda df, other: df[id_col].eqNullSafe(other["_id"]) & (row_hash(df[text_col]) == other["_hash"])
+    gone = decided.where(~F.col("_keep")).select("_id", "_hash").distinct()
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash"))
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (row_hash(docs[text_col]) == gone["_gone_hash"]), "left_anti")
+    again = checkpoint(decided.where("_keep").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", "_hash"))
+    if again.isEmpty():
+        return left
+    one = left.join(again, same(left, again), "left_semi").groupBy(F.col(id_col).alias("_i"), row_hash(F.col(text_col)).alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return left.join(again, same(left, again), "left_anti").unionByName(one.select("_row.*"))
+
+
 def gapless_rank(df: DataFrame, key: str, order: list[Column], out: str, per_bucket: int = 5_000, total: int | None = None) -> DataFrame:
     """Numbers the rows of each key from 0 by `order`, whose first column is a long in [0, 2**60).
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import checkpoint, load
+from quillmill.llm.common import checkpoint, keep_rows, load, row_hash
 
 
 def normal_form(text: Column) -> Column:
@@ -31,48 +31,42 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
-    """One row per row of `docs`: the id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("_id"), normal_form(F.col(text_col)).alias("_text")).withColumn("_digest", digest(F.col("_text")))
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("_digest", "_text", "_salt").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    winners = salted.groupBy("_digest", "_text").agg(F.min("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int, digest) -> DataFrame:
+    """One row per row of `docs`: _id, _hash, _digest, and of its group `stays` (of the row that does) and group_size."""
+    rows = docs.select(F.col(id_col).alias("_id"), row_hash(F.col(text_col)).alias("_hash"), normal_form(F.col(text_col)).alias("_text")).withColumn("_digest", digest(F.col("_text")))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("_digest", "_text", "_salt").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_n"))
+    winners = salted.groupBy("_digest", "_text").agg(F.min("_least").alias("stays"), F.sum("_n").alias("group_size"))
     # The text travels on only where a digest has several texts.
-    routed = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    routed = winners.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts"), F.min("stays").alias("stays"), F.sum("group_size").alias("group_size"))
     routed = checkpoint(routed)
-    out = rows.select("_id", "_digest").join(routed.where("_texts = 1"), "_digest").select("_id", "_digest", "keep_id", "group_size")
+    lone, out = routed.where("_texts = 1").drop("_texts"), ["_id", "_hash", "_digest", "stays", "group_size"]
+    # Groups over a thousandth of all rows are fewer than a thousand: their winners go to every task, so
+    # that no task meets a whole one of them.
+    total = routed.agg(F.sum("group_size")).first()[0] or 0
+    large = lone.where(F.col("group_size") * 1000 > total)
+    keyed = rows.select("_id", "_hash", "_digest").join(F.broadcast(large), "_digest", "left")
+    small = keyed.where("stays IS NULL").drop("stays", "group_size").join(lone.where(F.col("group_size") * 1000 <= total), "_digest")
+    found = keyed.where("stays IS NOT NULL").select(out).unionByName(small.select(out))
     shared = routed.where("_texts > 1").select("_digest")
     if not shared.isEmpty():
         apart = rows.join(shared, "_digest").join(winners.join(shared, "_digest"), ["_digest", "_text"])
-        out = out.unionByName(apart.select("_id", "_digest", "keep_id", "group_size"))
-    return _finish(out, id_col)
-
-
-def _finish(df: DataFrame, id_col: str) -> DataFrame:
-    kept = F.coalesce(F.col("_id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return df.select(F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"))
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with their columns: one for each distinct text.
-
-    Where several rows share both text and id, the one that is least in all its columns stays. Losers go
-    by id where every dropped id has one row; where one has several, or null has, they go by id and digest.
-    """
-    groups = checkpoint(exact_groups(docs, id_col, text_col).where("group_size > 1"))
-    losers = groups.where(~F.col("kept")).select(F.col(id_col).alias("_drop"), F.col("text_sha256").alias("_sha")).distinct()
-    digest = sha256(normal_form(docs[text_col]))
-    ids = docs.select(F.col(id_col).alias("_own"))
-    held = ids.join(losers.select("_drop").distinct(), F.col("_own").eqNullSafe(F.col("_drop")), "left_semi")
-    shared = held.groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    gone = docs[id_col].eqNullSafe(losers["_drop"])
-    left = docs.join(losers, gone if shared.isEmpty() else gone & (digest == losers["_sha"]), "left_anti")
-    again = groups.where("kept").groupBy(F.col(id_col).alias("_again"), F.col("text_sha256").alias("_sha")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_again", "_sha")
-    if again.isEmpty():
-        return left
-    # Rows that share id and text: one of each.
-    same = left[id_col].eqNullSafe(again["_again"]) & (sha256(normal_form(left[text_col])) == again["_sha"])
-    one = left.join(again, same, "left_semi").groupBy(F.col(id_col).alias("_i"), normal_form(F.col(text_col)).alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return left.join(again, same, "left_anti").unionByName(one.select("_row.*"))
+        found = found.unionByName(apart.select(out))
+    return found
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
+    """One row per row of `docs`: the id, keep_id, group_size, kept, text_sha256."""
+    df = _grouped(docs, id_col, text_col, salts, digest)
+    kept = F.col("_id").eqNullSafe(F.col("stays.id"))
+    return df.select(F.col("_id").alias(id_col), F.col("stays.id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest=sha256) -> DataFrame:
+    """The rows of `docs` that stay, with their columns: one for each distinct text, whatever ids repeat or lack."""
+    groups = _grouped(docs, id_col, text_col, salts, digest).where("group_size > 1")
+    stays = F.col("_id").eqNullSafe(F.col("stays.id")) & (F.col("_hash") == F.col("stays.hash"))
+    return keep_rows(docs, checkpoint(groups.select("_id", "_hash", stays.alias("_keep"))), id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,31 @@
 
 Two documents link when their shingle sets' Jaccard similarity is at least num/den. Steps:
 
-1. Equal sets are one node from then on, known by 128 bits of digest, and linked.
-2. Co-location without loss. Sizes that can link lie in one size class or the next. For such a pair of
-   classes at most D shingles are in one set only, so of k = D + 1 + spare ranges of the hash space at
-   least 1 + spare hold identical parts in both sets. A document posts one signature for each range; two
-   documents that link share one that isn't empty. (A document with over `spare` empty ranges posts these
-   too.) Copies in one batch are combined before the shuffle: one posting, and a link to its holder.
-3. Documents that share a signature form neighbourhoods: components of a sparse graph with one edge for
-   each posting, to the smallest document there. No pairs are made.
+1. Equal sets, known by 128 bits of digest, are one node, the row with the least row number (a number of
+   our own, so ids may be null or repeated).
+2. Who can link at all. A set of size n lacks at most n - T of its shingles in a partner, T being the
+   overlap with the smallest partner. Each set posts the shingles below a bound of the hash space (`sampled`;
+   a set that is unlucky posts all, too), so at least c = posted - (n - T) of these are in the partner as well. Shingles that
+   no other node posts are left out; a node with fewer than c left links with nothing. Most stop here.
+3. Neighbourhoods. In the order of rarity the first left - c + 1 of a node's postings hold one that the
+   partner's first hold, too. Nodes that share such a one are a neighbourhood: components of a sparse
+   graph with one edge for each posting, to the least node there. No pairs are made.
 4. Each neighbourhood is searched by DivideSkip in one task: the required overlap of a query set of size n
    is T; its L longest lists are set aside, the short ones are merged with a heap, documents met T - L times
    are probed for in the long lists by binary search, and those that reach the exact overlap link. Members
-   that are connected already are skipped. Neighbourhoods over `block` shingles are cut into blocks, and
-   every pair of blocks is searched: the same exact search in more, bounded tasks.
-5. Links become components.
+   that are connected already are skipped.
+5. A neighbourhood over `block` shingles is dealt over blocks, and some of its members (pivots) are in all
+   of them: blocks of a large family join up through these. Then steps 2 and 3 are repeated for it with
+   what is connected counted as one, so that shingles of one family alone fall out and the family with
+   them. What is still over `block` after `ROUNDS` rounds is searched by all pairs of blocks: exact too.
+
+A shingle that many documents hold is posted with its count from a table of the commonest (at most `HOT`,
+counted in batches before any shuffle) and doesn't meet in one task.
 
 Defined results: null text counts as empty; a text without words has an empty set, links with nothing and
-is its own component; fewer words than `words` make one shingle. Rows with equal ids are one node. Rows
-whose id is null are returned with their size and a null component. Ties need no rule: links are symmetric.
+is its own component; fewer words than `words` make one shingle. Rows with equal ids are nodes of their
+own; a component's id is the smallest id of its rows, and null where these have none. Ties need no rule:
+links are symmetric. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,97 +43,85 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.llm.common import checkpoint, load
+from quillmill.llm.common import checkpoint, keep_rows, load, row_hash, stored
 from quillmill.llm.components import components
 from quillmill.llm.shingles import U, mix, shingle_sets
 
-#: Up to so many neighbourhood members are sent to every task instead of shuffling texts (16 bytes each).
+#: Up to so many rows (of 40 bytes or so) are sent to every task instead of shuffling texts; counted first.
 BROADCAST_ROWS = 500_000
+#: Most of the commonest postings whose counts are sent to every task.
+HOT = 100_000
+#: Rounds before all pairs of blocks are searched, and members of a neighbourhood that are in all its blocks.
+ROUNDS, PIVOTS = 4, 16
 
 
-@lru_cache(maxsize=None)
-def size_class(c: int, num: int, den: int) -> tuple[int, int]:
-    """The least and the greatest size of class c; a set links only within its class or with the next or the last."""
-    low = 1 if c == 0 else size_class(c - 1, num, den)[1] + 1
-    return low, low * den // num
+def tier_of(n: int) -> int:
+    """Sizes below 16 are tier 0; from there a tier's greatest size is four times its least."""
+    return 0 if n < 16 else (n.bit_length() - 1) // 2 - 1
 
 
-def class_of(n: int, num: int, den: int) -> int:
-    c = 0
-    while size_class(c, num, den)[1] < n:
-        c += 1
-    return c
+@lru_cache(maxsize=None)
+def bound(tier: int, num: int, den: int) -> int:
+    """Hashes up to this are posted: as many as may lack in a partner, a tenth of the set and four deviations."""
+    share = 1.0 if tier == 0 else min(1.0, (den - num) / den + 0.1 + 2 / (4 ** (tier + 1)) ** 0.5)
+    return (int(share * (1 << 32)) << 32) - 1
+
+
+def sampled(own: np.ndarray, num: int, den: int) -> list[tuple[int, int, np.ndarray]]:
+    """(tier, least number that a partner posts there as well, keys) of a sorted set of hashes.
+
+    A set posts in its tier and, where it can link with a smaller size than that has, in the tier below;
+    so two sets that can link share one. Tiers from 32 hold whole sets whose sample says nothing.
+    """
+    n = len(own)
+    need = -(-num * n // den)
+    tier, out = tier_of(n), []
+    for t in (tier, tier - 1) if tier and need < 4 ** (tier + 1) else (tier,):
+        part = own[: np.searchsorted(own, U(bound(t, num, den)), "right")]
+        both = len(part) - (n - need)
+        out.append((t, max(both, 1), mix(part + U(t + 1) * U(0x51ED270B0FF1CE))))
+        if both < 1:
+            out.append((t + 32, need, mix(own + U(t + 33) * U(0x51ED270B0FF1CE))))
+    return out
 
 
-@lru_cache(maxsize=None)
-def ranges(c: int, num: int, den: int) -> tuple[int, int]:
-    """(k, spare) for pairs of sets in the classes c and c + 1."""
-    most = size_class(c, num, den)[1] + size_class(c + 1, num, den)[1]
-    differ = most * (den - num) // (den + num)
-    if differ == 0:
-        return 1, 0
-    spare, low = 1, size_class(c, num, den)[0]
-    while spare < 4 * differ + 8:
-        k = differ + 1 + spare
-        empty = k * np.exp(-low / k)
-        if spare >= empty + 4 * empty**0.5 + 1:
-            break
-        spare += 1
-    return differ + 1 + spare, spare
+_BASE = "_row long, _id long, _hash long, _n long, _a long, _b long, tiers array<struct<tier:int,least:int,keys:array<bigint>>>, hot array<struct<key:bigint,n:bigint>>"
 
 
-def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of a sorted set of hashes."""
-    c, out = class_of(len(own), num, den), []
-    total = np.zeros(len(own) + 1, U)
-    np.cumsum(mix(own + U(0x51ED270B)), out=total[1:])
-    for low in (c, c - 1):
-        if low < 0:
-            continue
-        k, spare = ranges(low, num, den)
-        j = np.arange(k, dtype=U)
-        cut = np.append(np.searchsorted(own, j * U(((1 << 64) - 1) // k)), len(own))
-        salt = mix(j + U(low) * U(1 << 32) + U(0xC0FFEE))
-        sig, full = mix((total[cut[1:]] - total[cut[:-1]]) ^ salt), cut[1:] > cut[:-1]
-        out.append(sig if k - full.sum() > spare else sig[full])
-    return np.concatenate(out)
+def _sketches(words: int, num: int, den: int):
+    """Rows of _BASE: sizes, digests and postings, and in a batch's first row the keys that many sets of the batch post."""
 
+    def made(batch: pa.RecordBatch, n: list, digests: list, posts: list) -> pa.RecordBatch:
+        flat = [p for own in posts for p in own]
+        keys = np.concatenate([np.zeros(0, U), *(k for *_, k in flat)]).view(np.int64)
+        edges = np.append(0, np.cumsum([len(k) for *_, k in flat], dtype=np.int64)).astype(np.int32)
+        tiers = pa.StructArray.from_arrays(
+            [pa.array([t for t, *_ in flat], pa.int32()), pa.array([c for _, c, _ in flat], pa.int32()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys))],
+            ["tier", "least", "keys"])
+        rows = np.append(0, np.cumsum([len(own) for own in posts], dtype=np.int64)).astype(np.int32)
+        key, times = np.unique(keys, return_counts=True)
+        many = times >= max(16, len(n) // 256)
+        hot = pa.StructArray.from_arrays([pa.array(key[many]), pa.array(times[many].astype(np.int64))], ["key", "n"])
+        at = np.full(len(n) + 1, len(hot), np.int32)
+        at[0] = 0
+        a, b = (pa.array([(d >> shift & (1 << 64) - 1) - (1 << 63) for d in digests], pa.int64()) for shift in (64, 0))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(n, pa.int64()), a, b, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), tiers), pa.ListArray.from_arrays(pa.array(at, pa.int32()), hot)],
+            ["_row", "_id", "_hash", "_n", "_a", "_b", "tiers", "hot"])
 
-def _sizes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            n, a, b = [], [], []
-            for own in shingle_sets(batch.column(1), words):
-                d = xxhash.xxh3_128_intdigest(own.tobytes())
+            begun, held, n, digests, posts = 0, 0, [], [], []
+            for i, own in enumerate(shingle_sets(batch.column(3), words)):
                 n.append(len(own))
-                a.append((d >> 64) - (1 << 63))
-                b.append((d & (1 << 64) - 1) - (1 << 63))
-            yield pa.RecordBatch.from_pydict({"_id": batch.column(0), "_n": pa.array(n, pa.int64()), "_a": pa.array(a, pa.int64()), "_b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _postings(words: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sigs, owners = batch.column(0).to_numpy(zero_copy_only=False), [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for i, own in zip(ids, shingle_sets(batch.column(1), words), strict=True):
-                if len(own):
-                    sigs.append(signatures(own, num, den))
-                    owners.append(np.full(len(sigs[-1]), i, np.int64))
-            sig, owner = np.concatenate(sigs), np.concatenate(owners)
-            at = np.lexsort((owner, sig))
-            sig, owner = sig[at], owner[at]
-            new = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-            holder = owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else owner
-            links = np.unique(np.stack([holder, owner], 1)[holder != owner], axis=0)
-            pair = mix(mix(links[:, 0].astype(U)) + links[:, 1].astype(U))
-            sig = np.concatenate([sig[new], pair, pair]).view(np.int64)
-            owner = np.concatenate([owner[new], links[:, 0], links[:, 1]])
-            for i in range(0, len(sig), 1 << 18):
-                yield pa.RecordBatch.from_pydict({"sig": pa.array(sig[i : i + (1 << 18)]), "doc": pa.array(owner[i : i + (1 << 18)])})
+                digests.append(xxhash.xxh3_128_intdigest(own.tobytes()))
+                posts.append(sampled(own, num, den) if len(own) else [])
+                held += len(own)
+                if held > 1 << 21 or i + 1 == len(batch):
+                    yield made(batch.slice(begun, i + 1 - begun), n, digests, posts)
+                    begun, held, n, digests, posts = i + 1, 0, [], [], []
 
     return run
 
@@ -152,8 +147,11 @@ def merged(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return heap[0][2], heap[0][3]
 
 
-def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
-    """The smallest id of each member's component by links; `side` (0 or 1): only links across, or all where None."""
+def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
+    """The smallest id of each member's component by links; `side` (0 or 1): only links across, or all where None.
+
+    Members that are equal in `known` are connected from the start.
+    """
     order = np.lexsort((ids, [len(s) for s in sets]))
     sets, ids = [sets[i] for i in order], ids[order]
     side = None if side is None else side[order]
@@ -165,6 +163,11 @@ def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, sid
     view = np.frombuffer(posted, np.int64)
     at = np.append(0, np.cumsum(df))
     label, members = np.arange(m), {i: [i] for i in range(m)}
+    if known is not None:
+        _, lead, group = np.unique(known[order], return_index=True, return_inverse=True)
+        label, members = lead[group], {}
+        for i, k in enumerate(label.tolist()):
+            members.setdefault(k, []).append(i)
 
     def unite(x: int, y: int) -> None:
         keep, gone = label[x], label[y]
@@ -237,27 +240,26 @@ def divide_skip(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, sid
 
 
 def _search(num: int, den: int):
+    """Links (a, b) inside each group of (key, row, label, side, own), whose rows come together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
-            key, ids, sets, sides = None, [], [], []
+            key, found = None, []
             for batch in batches:
-                for k, i, s, own in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                    if k != key and ids:
-                        yield ids, sets, sides
-                        ids, sets, sides = [], [], []
+                for k, *member in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                    if k != key and found:
+                        yield found
+                        found = []
                     key = k
-                    ids.append(i)
-                    sides.append(s)
-                    sets.append(np.frombuffer(own, U))
-            if ids:
-                yield ids, sets, sides
-
-        for ids, sets, sides in groups():
-            if len(ids) == 1:
+                    found.append((*member[:3], np.frombuffer(member[3], U)))
+            if found:
+                yield found
+
+        for found in groups():
+            if len(found) == 1:
                 continue
-            across = np.array(sides) if len(set(sides)) > 1 else None
-            own = np.array(ids, np.int64)
-            root = divide_skip(own, sets, num, den, across)
+            own, known, sides = (np.array([m[i] for m in found], np.int64) for i in range(3))
+            root = divide_skip(own, [m[3] for m in found], num, den, sides if len(np.unique(sides)) > 1 else None, known)
             linked = root != own
             yield pa.RecordBatch.from_pydict({"a": pa.array(own[linked]), "b": pa.array(root[linked])})
 
@@ -265,57 +267,139 @@ def _search(num: int, den: int):
 
 
 def _sets(words: int):
+    """The rows with the text, their last column, as the bytes of its set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
-                own = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_pydict({"doc": part.column(0), "own": pa.array(own, pa.binary())})
+                own = [s.tobytes() for s in shingle_sets(part.column(part.num_columns - 1), words)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary())], [*part.schema.names[:-1], "own"])
 
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _able(postings: DataFrame) -> DataFrame:
+    """Of (at, least, key, df), postings that others share: the nodes that have enough, with these by rarity; stored."""
+    held = postings.groupBy("at").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    return stored(held.where("size(own) >= least"))
+
+
+def _shared(able: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """_able again, over the nodes that were; shingles of one label alone (of one node where None) fall out."""
+    node = F.shiftright("at", 6)
+    posts = able.select("at", "least", F.explode("own.key").alias("key"), node.alias("label"))
+    if labels is not None:
+        known = labels.select(F.col("node").alias("label"), "root")
+        posts = posts.join(known, "label", "left").select("at", "least", "key", F.coalesce("root", "label").alias("label"))
+    kept = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return _able(posts.join(kept.select("key", "df"), "key").select("at", "least", "key", "df"))
+
+
+def _neighbourhoods(able: DataFrame) -> DataFrame:
+    first = able.select(F.shiftright("at", 6).alias("a"), F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("least") + 1)).alias("p")).select("a", F.col("p.key").alias("key"))
+    hubs = first.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("other")).where("b <> other").select("key", "b")
+    return components(first.join(hubs, "key").where("a <> b").select("a", "b"))
+
+
+def _dealt(members: DataFrame, block: int, last: bool, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(members with the places of each: block pairs and sides; members of neighbourhoods that aren't settled thereby)."""
+    hoods = members.groupBy("root").agg(F.ceil(F.sum("_n") / F.lit(block)).cast("int").alias("blocks"))
+    sized = checkpoint(members.join(hoods, "root"))
+    large = sized.where("blocks > 1")
+    spread = F.xxhash64("_row", F.lit(turn))
+    mine = F.pmod(spread, F.col("blocks")).cast("int")
+    place = lambda low, high, side: F.struct(low.alias("low"), high.alias("high"), side.alias("side"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if last:
+        # A member of block i is in all pairs (i, j) of blocks, as side 0 where it is the lower.
+        places = F.transform(every, lambda j: place(F.least(mine, j), F.greatest(mine, j), F.when(mine <= j, 0).otherwise(1)))
+        return sized.withColumn("places", places), large.limit(0)
+    lead = large.where(F.col("_n") * 4 * PIVOTS <= block).withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(spread))).where(F.col("rank") <= PIVOTS)
+    pivots = lead.select(F.col("_row").alias("pivot"))
+    placed = sized.join(pivots, F.col("_row") == F.col("pivot"), "left")
+    places = F.when(F.col("pivot").isNull(), F.array(place(mine, mine, F.lit(0)))).otherwise(F.transform(every, lambda j: place(j, j, F.lit(0))))
+    return placed.withColumn("places", places), large
+
+
+def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: _row, _id, _hash, _n, _a, _b; groups of rows with words: _n, _a, _b, root)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_hash(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text"))
+    numbered = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_hash", "_text")
+    base = stored(numbered.mapInArrow(_sketches(words, num, den), _BASE))
+    sized = base.select("_row", "_id", "_hash", "_n", "_a", "_b")
+    filled = sized.where("_n > 0")
+    named = stored(filled.groupBy("_n", "_a", "_b").agg(F.min("_row").alias("node")))
+    copies = filled.join(named.select("node"), F.col("_row") == F.col("node"), "left_anti").select(F.col("_row").alias("copy"))
+    if filled.count() - named.count() <= BROADCAST_ROWS:
+        nodes = base.join(F.broadcast(copies), F.col("_row") == F.col("copy"), "left_anti")
+    else:
+        nodes = base.join(named.select("node"), F.col("_row") == F.col("node"), "left_semi")
+
+    posts = nodes.select("_row", F.inline("tiers")).select((F.shiftleft("_row", 6) + F.col("tier")).alias("at"), "least", F.explode("keys").alias("key"))
+    hot = base.select(F.inline("hot")).groupBy("key").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "key").limit(HOT)
+    # Postings of the commonest keys are dealt by node: their counts are known.
+    dealt = posts.join(F.broadcast(hot), "key", "left").withColumn("place", F.when(F.col("df").isNull(), F.col("key")).otherwise(F.col("at")))
+    counted = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("place"))).select("at", "least", "key", F.coalesce("df", "n").alias("df"))
+    able = _shared(_able(counted.where("df > 1")), None)
+
+    found, labels, turn = None, None, 0
+    while True:
+        last = turn == ROUNDS
+        around = _neighbourhoods(able)
+        members = around.join(sized, F.col("node") == F.col("_row")).select("_row", "_id", "_hash", "_n", "root")
+        placed, open_ = _dealt(members, block, last, turn)
+        if labels is not None:
+            known = labels.select("node", F.col("root").alias("label"))
+            placed = placed.join(known, F.col("_row") == F.col("node"), "left")
+        label = F.col("_row") if labels is None else F.coalesce("label", "_row")
+        wanted = _small(checkpoint(placed.select("_row", F.col("_id").alias("_own"), F.col("_hash").alias("_h"), label.alias("label"), "root", "places")))
+        texts = rows.join(wanted, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_own"))).select("_row", "label", "root", "places", "_text")
+        if not wanted.join(sized, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_own"))).groupBy("_h", "_own").count().where("count > 1").isEmpty():
+            texts = texts.dropDuplicates(["_row"])  # rows that share id and text
+        kinds = "_row long, label long, root long, places array<struct<low:int,high:int,side:int>>, own binary"
+        sets = texts.mapInArrow(_sets(words), kinds).select("_row", "label", "root", "own", F.inline("places"))
+        by = ["root", "low", "high"]
+        keyed = sets.repartition(*by).sortWithinPartitions(*by)
+        links = checkpoint(keyed.select(F.concat_ws("|", *by).alias("key"), "_row", "label", "side", "own").mapInArrow(_search(num, den), "a long, b long"))
+        found = links if found is None else found.unionByName(links)
+        if last or open_.isEmpty():
+            break
+        labels = components(found)
+        left = open_.select(F.col("_row").alias("open"))
+        able = _shared(able.join(_small(left), F.shiftright("at", 6) == F.col("open"), "left_semi"), labels)
+        turn += 1
+    joined = components(found)
+    groups = named.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_n", "_a", "_b", F.coalesce("root", "node").alias("root"))
+    return sized, stored(groups)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000_000) -> DataFrame:
     """One row per row of `docs`: the id, n_shingles, component_id (smallest id reachable by links)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    sized = checkpoint(rows.mapInArrow(_sizes(words), "_id long, _n long, _a long, _b long"))
-    nodes = sized.where("_id IS NOT NULL AND _n > 0")
-    named = nodes.groupBy("_n", "_a", "_b").agg(F.min("_id").alias("_rep"))
-
-    known = rows.where("_id IS NOT NULL")
-    postings = known.mapInArrow(_postings(words, num, den), "sig long, doc long")
-    hub = F.min("doc").over(Window.partitionBy("sig"))
-    near = postings.select("doc", hub.alias("hub")).where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    around = components(near)
-
-    members = checkpoint(named.join(around, named["_rep"] == around["node"]).select(F.col("_rep").alias("doc"), F.col("root"), F.col("_n")))
-    hoods = members.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("_n").alias("shingles")).where("docs > 1").withColumn("blocks", F.ceil(F.col("shingles") / F.lit(block)).cast("int"))
-    wanted = checkpoint(members.join(hoods, "root").select("doc", "root", "blocks"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = known.join(side.select("doc"), F.col("_id") == F.col("doc"), "left_semi")
-    sets = texts.mapInArrow(_sets(words), "doc long, own binary").join(side, "doc")
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    # A member of block i goes to the tasks of all pairs (i, j) of blocks, as side 0 where it is the lower.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("low"), F.greatest(mine, j).alias("high"), F.when(mine <= j, 0).otherwise(1).alias("side")))
-    dealt = sets.select("doc", "own", "root", F.inline(pairs))
-    by = ["root", "low", "high"]
-    keyed = dealt.select(F.struct(*by).alias("key"), "doc", "side", "own", *by).repartition(*by).sortWithinPartitions(*by)
-    links = checkpoint(keyed.select(F.concat_ws("|", *by).alias("key"), "doc", "side", "own").mapInArrow(_search(num, den), "a long, b long"))
-    # Only neighbourhoods in several blocks give links that still have to be joined up.
-    found = components(links)
-
-    grouped = nodes.join(named, ["_n", "_a", "_b"]).select(F.col("_id"), F.col("_rep"))
-    placed = grouped.join(found, F.col("_rep") == F.col("node"), "left").select("_id", F.coalesce("root", "_rep").alias("_component"))
-    placed = placed.groupBy("_id").agg(F.min("_component").alias("_component"))
-    out = sized.join(placed, "_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("_component", "_id").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` that stay, with their columns: of each component the row with the smallest id."""
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **how)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    sized, groups = _linked(docs, words, num, den, id_col, text_col, block)
+    by = ["_n", "_a", "_b"]
+    least = sized.where("_n > 0").groupBy(*by).agg(F.min("_id").alias("least")).join(groups, by)
+    ids = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*by, "component_id")
+    out = sized.join(ids, by, "left")
+    named = F.when(F.col("_n") > 0, F.col("component_id")).otherwise(F.col("_id"))
+    return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), named.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = 2_000_000) -> DataFrame:
+    """The rows of `docs` that stay, with their columns: of each component one row, with its smallest id (null last).
+
+    Rows without words all stay.
+    """
+    sized, groups = _linked(docs, words, num, den, id_col, text_col, block)
+    rows = sized.join(groups, ["_n", "_a", "_b"])
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    stays = rows.groupBy("root").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    decided = rows.join(stays, "root").select("_id", "_hash", (order == F.col("stays")).alias("_keep"))
+    return keep_rows(docs, checkpoint(decided), id_col, text_col)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
