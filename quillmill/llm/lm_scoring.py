@@ -1,27 +1,34 @@
 """LM scoring by online logistic context mixing.
 
-A text is its tokens: words (lower-cased A-Z, runs outside [\\x20\\x09-\\x0D]), each closed by a terminator, and
-one end, which is the empty word. A token's bytes are coded bit by bit. For each bit several predictors,
-each a table slot hashed from a context of the word's bytes (the last 1, 2, 3 and 4 and all of them) and
-the bits before it, give a probability in the logistic domain; a weight set gated by place in the
-word and by how often the longest contexts were seen mixes them; a second table, by gate and by the mix's quantised logit, refines the
-result adaptively. The bits' probabilities multiply to the token's; for tokens of the corpus their own
-discounted frequency is the longest context and the bits stand for what the discount sets free.
-
-Learning covers every training document: the whole corpus's tokens are counted and fill the slots, so
-what is gathered grows with the corpus. The tables have a fixed size (TABLES * 2**SLOT_BITS slots), so what is sent to tasks doesn't. Mixing
-weights and the refinement are learned online, in mini-batches, from a bounded sample of distinct
-training tokens (`sample`), each seen with its own occurrence left out of the counts.
-
-Tokens are scored once each, in the corpus's table of distinct tokens, and documents read their tokens'
-counts and scores by a join for batches of documents, never from a broadcast that grows.
+A text is its tokens: words (lower-cased A-Z, runs outside [\\x20\\x09-\\x0D]) and one end, which is the empty
+word. Everything is coded bit by bit, and each bit's probability is mixed in the logistic domain from several
+predictors, slots of counts hashed from a context and the bits before:
+
+* Symbols. The `MOST_SYMBOLS` commonest training tokens that occur twice or more are symbols, all others
+  share one; a symbol's bits are its Huffman code. Contexts: none, the word before, the two words before.
+* Spelling. A token without a symbol is, under the shared one, either a training token by its discounted
+  count or, with what the discount frees, spelled: its bytes and a terminator. Contexts: its last one, two
+  and three bytes and all of them.
+
+A weight set gated by place in the code and by how often the two longest contexts were seen mixes the predictors; a second
+table, by gate and by the mix's quantised logit, refines the result adaptively. The bits' probabilities multiply.
+
+Learning covers every training document. 1. Tokens are counted into a table, which grows with the corpus.
+2. All training texts fill the symbols' slots and all rare training tokens, once each, the spellings'. 3.
+Weights and refinement are learned online over all of them: each partition goes through its texts in
+mini-batches, every bit seen with its own occurrence left out of the counts, and the partitions' results are
+averaged by what they saw. Slots grow with the tokens counted, up to 2**`MOST_BITS` for the two words before and a quarter
+of that for one: what goes to every task is bounded, and where contexts outgrow it the gates' weights say so.
+
+Only tokens without a symbol are joined with the table of tokens; texts aren't shuffled.
 
 Defined results: null text counts as empty and is the end alone; rows whose id is null are training rows;
-without training documents N and V are 0 and slots say one half; repeated rows are scored each; other columns are not read.
+without training documents N and V are 0 and bits are one half; repeated rows are scored each; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import collect_bounded, hash64, load, stored
+from quillmill.llm.common import collect_bounded, load, stored
 from quillmill.llm.language_id import held_out
-from quillmill.llm.shingles import VALUE, U, _power, mix
+from quillmill.llm.shingles import U, VALUE, _power, buffers, mix, words_of
 
-TABLES, SLOT_BITS = 5, 20
-SLOTS = TABLES << SLOT_BITS
+MOST_SYMBOLS, MOST_BITS = 1 << 16, 24
+#: Text that one task counts: its slots leave it once.
+COUNT_BYTES = 96 << 20
 #: Slots in a row of the table of counts.
 CHUNK = 1 << 14
 #: Seen counts that part the confidence classes of the two longest contexts.
@@ -43,50 +51,210 @@ STEPS = np.array([1, 3, 10, 40])
 PLACES = 3
 GATES = PLACES * (len(STEPS) + 1) ** 2
 BUCKETS = 33
+END = U(0x656E64)
+_SPREAD, _NODE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
 
 
-def confidence(n: np.ndarray) -> np.ndarray:
-    return np.searchsorted(STEPS, n, "right")
-
-
-def gates(place: np.ndarray, fourth: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    k = len(STEPS) + 1
-    return (place * k + fourth) * k + whole
-
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -11, 11)))
 
-class Words:
-    """The byte stream of words, each with its terminator, and the slots of every bit's contexts."""
 
-    def __init__(self, words: list[bytes]):
+def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    return (((context ^ (node * _NODE)) * _SPREAD) >> U(64 - bits)).astype(np.int64)
+
+
+class Mixer:
+    """Tables of bit counts, mixing weights by gate, refinement by gate and bucket."""
+
+    def __init__(self, counts: np.ndarray, tables: int):
+        """counts: (2, slots of all tables one after another); larger ones are scaled to 16 bits."""
+        self.counts = np.zeros(counts.shape, np.uint16)
+        for k in range(0, counts.shape[1], 1 << 20):
+            part = counts[:, k : k + (1 << 20)]
+            self.counts[:, k : k + (1 << 20)] = np.rint(part / np.maximum(part.max(0) / np.float32(65535), 1))
+        self.tables = tables
+        self.weights = np.full((GATES, tables + 1), 1.2 / tables, np.float32)
+        self.weights[:, tables] = 0
+        self.curve = np.full((GATES, tables + 1), 16.0)
+        self.refined = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1))
+
+    def _mixed(self, slots: list[np.ndarray], place: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, gates, logits); `without`: bits that are left out of their own slots' counts."""
+        x, seen = np.ones((self.tables + 1, len(place)), np.float32), []
+        for t, s in enumerate(slots):
+            n0, n1 = self.counts[0, s], self.counts[1, s]
+            if without is not None:
+                n0 = n0 - ((without == 0) & (n0 > 0)).astype(np.uint16)
+                n1 = n1 - ((without == 1) & (n1 > 0)).astype(np.uint16)
+            x[t] = _LOG[n1] - _LOG[n0]
+            if t >= self.tables - 2:
+                seen.append(np.searchsorted(STEPS, n0.astype(np.int32) + n1, "right"))
+        k = len(STEPS) + 1
+        gate = (place * k + seen[0]) * k + seen[1]
+        return x, gate, np.einsum("tn,nt->n", x, self.weights[gate])
+
+    def probability(self, slots: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        """Of a one, for each bit."""
+        _, gate, z = self._mixed(slots, place, None)
+        at = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
+        low = at.astype(np.int64)
+        up = at - low
+        p = 0.5 * squash(z) + 0.5 * (self.refined[gate, low] * (1 - up) + self.refined[gate, low + 1] * up)
+        return np.clip(p, 1e-5, 1 - 1e-5)
+
+    def learn(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, totals: np.ndarray, rate: float = 1.0) -> None:
+        """One mini-batch; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen."""
+        x, gate, z = self._mixed(slots, place, bit)
+        p = squash(z)
+        error, curve = (bit - p).astype(np.float32), (p * (1 - p)).astype(np.float32)
+        for t in range(self.tables + 1):
+            self.curve[:, t] = 0.98 * self.curve[:, t] + np.bincount(gate, curve * x[t] * x[t], GATES)
+            self.weights[:, t] += rate * np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
+        cell = gate * BUCKETS + np.clip(np.rint(z * 2), -(BUCKETS // 2), BUCKETS // 2).astype(np.int64) + BUCKETS // 2
+        totals[0] += np.bincount(cell, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
+        totals[1] += np.bincount(cell, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
+
+    def state(self, totals: np.ndarray) -> Iterator[tuple[int, float, float]]:
+        """(cell, weight, weighted value) of all that has been learned, for a sum over partitions."""
+        n = totals[0].sum(1)
+        for g in np.flatnonzero(n):
+            for t in range(self.tables + 1):
+                yield int(g * (self.tables + 1) + t), float(n[g]), float(n[g] * self.weights[g, t])
+        for g, b in zip(*np.nonzero(totals[0]), strict=True):
+            yield int(GATES * (self.tables + 1) + g * BUCKETS + b), float(totals[0, g, b]), float(totals[1, g, b])
+
+    def take(self, cells: list[tuple[int, float, float]], prior: float = 200.0) -> None:
+        size = GATES * (self.tables + 1)
+        for k, n, v in cells:
+            if k < size:
+                self.weights.reshape(-1)[k] = v / n
+            else:
+                p = self.refined.reshape(-1)
+                p[k - size] = (v + prior * p[k - size]) / (n + prior)
+
+
+def huffman(counts: list[int]) -> list[list[tuple[int, int]]]:
+    """For each symbol its (node, bit) from the root, of as many symbols less one nodes; ties by symbol."""
+    heap = [(max(c, 1), i, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    made, parent = len(counts), {}
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
+        heapq.heappush(heap, (a[0] + b[0], made, made))
+        made += 1
+    codes = []
+    for i in range(len(counts)):
+        own = []
+        while i in parent:
+            i, bit = parent[i]
+            own.append((i - len(counts), bit))
+        codes.append(own[::-1])
+    return codes
+
+
+class Symbols:
+    """The symbols' hashes and codes. Symbol i is words[i]; the one after the last is all other tokens."""
+
+    def __init__(self, words: list[bytes], counts: list[int], others: int, bits: int):
+        hashes = np.array([END if not w else 0 for w in words], U)
+        real = [i for i, w in enumerate(words) if w]
+        if real:
+            column = pa.array([words[i] for i in real], pa.large_binary())
+            hashes[real] = np.concatenate([h for _, _, _, h, _, _ in words_of(*buffers(column))])
+        order = np.argsort(hashes)
+        self.sorted, self.order = hashes[order], order
+        self.logs = np.log10(np.append(counts, 0) + 1.0)
+        codes = huffman([*counts, others])
+        self.length = np.array([len(c) for c in codes])
+        self.start = np.append(0, np.cumsum(self.length))[:-1]
+        flat = [x for c in codes for x in c]
+        self.node = np.array([x for x, _ in flat], np.int64)
+        self.bit = np.array([x for _, x in flat], np.uint8)
+        self.nodes, self.bits = len(codes), bits
+        self.slots = self.nodes + (1 << bits - 2) + (1 << bits)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.order[at], len(self.sorted))
+
+    def events(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(token, slots by table, place, bit) of the bits of tokens with these symbols and contexts."""
+        size = self.length[symbol]
+        token = np.repeat(np.arange(len(symbol)), size)
+        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        at = self.start[symbol][token] + depth
+        node = self.node[at]
+        raw = node.astype(U) + U(1)
+        slots = [node, self.nodes + _slot(one[token], raw, self.bits - 2), self.nodes + (1 << self.bits - 2) + _slot(two[token], raw, self.bits)]
+        return token, slots, np.minimum(depth // 4, PLACES - 1), self.bit[at]
+
+
+def sequences(column: pa.Array) -> Iterator[tuple]:
+    """(first document, document after the last, owner, hashes, one, two, begins, ends) of blocks' tokens; an end begins and ends at -1."""
+    data, edges = buffers(column)
+    for a, b, owner, h, s, e in words_of(data, edges):
+        n = np.bincount(owner, minlength=b - a)
+        last = np.cumsum(n + 1) - 1
+        word = np.ones(len(h) + b - a, bool)
+        word[last] = False
+        full = np.full(len(word), END, U)
+        begin, end = np.full(len(word), -1, np.int64), np.full(len(word), -1, np.int64)
+        full[word], begin[word], end[word] = h, s, e
+        one = np.append(END, full[:-1])
+        before = np.append(END, one[:-1])
+        first = np.append(0, last[:-1] + 1)
+        before[first] = END  # an end stands before every text
+        yield a, b, np.repeat(np.arange(b - a), n + 1), full, mix(one + U(1)), mix(mix(before + U(2)) + one), begin, end
+
+
+class Spelling:
+    """The byte stream of tokens, each with its terminator, and the slots of every bit's contexts."""
+
+    TABLES = 4
+
+    def __init__(self, words: list[bytes], bits: int):
         size = np.array([len(w) + 1 for w in words])
+        self.bits = bits
         self.start = np.append(0, np.cumsum(size))[:-1]
         data = self.data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        self.owner = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(data)) - self.start[self.owner]
+        place = np.arange(len(data)) - np.repeat(self.start, size)
         up, down = _power(len(data) + 1)
         total = np.zeros(len(data) + 1, U)
         np.cumsum(VALUE[data] * up[: len(data)], out=total[1:])
-        at = self.start[self.owner]
+        at = np.repeat(self.start, size)
         whole = mix((total[:-1] - total[at]) * down[at])
         code = data.astype(U) + U(1)
         orders, h = [], np.zeros(len(data), U)
-        for k in range(1, 5):
+        for k in range(1, self.TABLES + 1):
             before = np.zeros(len(data), U)
             before[k:] = code[:-k]
             before[place < k] = 0
             h = (h << U(9)) | before
-            orders.append(mix(h * U(8) + U(k)))
+            if k > 1:
+                orders.append(mix(h * U(8) + U(k)))
         self.contexts = [*orders, mix(whole + U(77))]
         self.place = np.minimum(place // 2, PLACES - 1)
 
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def events(self) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         """For each of the 8 bits of all bytes: (slots by table, bit)."""
         d = self.data.astype(np.uint32)
         for b in range(8):
             node = (np.uint32(1 << b) | (d >> np.uint32(8 - b))).astype(U)
-            spread = mix(node)
-            slots = [((c + spread) * U(0x9E3779B97F4A7C15) >> U(64 - SLOT_BITS)).astype(np.int64) + (t << SLOT_BITS) for t, c in enumerate(self.contexts)]
-            yield np.array(slots), (d >> np.uint32(7 - b)) & np.uint32(1)
+            yield [(t << self.bits) + _slot(c, node, self.bits) for t, c in enumerate(self.contexts)], ((d >> np.uint32(7 - b)) & np.uint32(1)).astype(np.uint8)
+
+
+def spelled(words: list[bytes], mixer: Mixer, bits: int) -> np.ndarray:
+    """The log10 probability of each token's bytes by the mixed bits."""
+    part = Spelling(words, bits)
+    total = np.zeros(len(part.data))
+    for slots, bit in part.events():
+        p = mixer.probability(slots, part.place)
+        total += np.log10(np.where(bit == 1, p, 1 - p))
+    return np.add.reduceat(total, part.start)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,102 +275,147 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"w": pa.array(words[i : i + 100_000], pa.binary()), "c": pa.array(n[i : i + 100_000], pa.int64())})
 
 
-def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits seen in each slot; every distinct token counts once, so rare tokens shape the spelling of new ones."""
-    counts = np.zeros(2 * SLOTS, np.int32)
-    for batch in batches:
-        for i in range(0, len(batch), 20_000):
-            for slots, bit in Words(batch.column(0).slice(i, 20_000).to_pylist()).bits():
-                np.add.at(counts, (slots + bit.astype(np.int64) * SLOTS).ravel(), 1)
-    counts = counts.reshape(2, SLOTS)
-    for k in range(0, SLOTS, CHUNK):
-        part = counts[:, k : k + CHUNK]
+def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bytes of a count, counts) of the bits in each slot."""
+    counts = np.zeros(2 * slots, np.int32)
+    for by_table, bit in events:
+        side = bit.astype(np.int64) * slots
+        for s in by_table:
+            np.add.at(counts, s + side, np.int32(1))
+    both = counts.reshape(2, slots)
+    for k in range(0, slots, CHUNK):
+        part = both[:, k : k + CHUNK]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "n": pa.array([part.tobytes()], pa.binary())})
+            part = part.astype(np.uint16) if part.max() < 1 << 16 else part
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "w": pa.array([part.itemsize], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
 
 
 def _add_slots(table: pa.Table) -> pa.Table:
-    total = np.zeros((2, CHUNK), np.int64)
-    for n in table["n"]:
-        total += np.frombuffer(n.as_py(), np.int32).reshape(2, CHUNK)
+    total = None
+    for w, n in zip(table["w"], table["n"], strict=True):
+        part = np.frombuffer(n.as_py(), np.uint16 if w.as_py() == 2 else np.int32).astype(np.int64)
+        total = part if total is None else total + part
     return pa.table({"k": table["k"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
 
-def stretch(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
+def _counts(parts: DataFrame, slots: int) -> np.ndarray:
+    """The sums of _filled's rows, in the driver: slots / CHUNK rows, whatever the corpus."""
+    counts = np.zeros((2, slots), np.float32)
+    for r in parts.groupBy("k").applyInArrow(_add_slots, "k long, n binary").toLocalIterator():
+        part = np.frombuffer(r.n, np.int64).reshape(2, -1)
+        counts[:, r.k : r.k + part.shape[1]] = part
+    return counts
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -11, 11)))
+def _learned(mixer: Mixer, states: DataFrame) -> None:
+    cells = states.groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    mixer.take([(r.k, r.n, r.v) for r in collect_bounded(cells, GATES * (mixer.tables + 1 + BUCKETS), "cells")])
+
+
+def _state_rows(mixer: Mixer, totals: np.ndarray) -> pa.RecordBatch:
+    k, n, v = zip(*mixer.state(totals), strict=True) if totals[0].any() else ((), (), ())
+    return pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "n": pa.array(n, pa.float64()), "v": pa.array(v, pa.float64())})
+
+
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(12, int(n).bit_length()))
 
 
 class Model:
-    """Logits of the slots (float16), mixing weights by gate, refinement by gate and bucket."""
-
-    def __init__(self, counts: np.ndarray, sample: list[bytes], discount: float, total: int, distinct: int, step: int = 256, rate: float = 0.02):
-        self.discount, self.total, self.distinct = discount, total, distinct
-        self.weights = np.full((GATES, TABLES + 1), 0.3, np.float32)
-        self.weights[:, TABLES] = 0
-        centre = squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0)
-        self.refined = np.tile(centre, (GATES, 1))
-        for i in range(0, len(sample), step):
-            part = Words(sample[i : i + step])
-            own = np.ones(len(part.data), np.float32)
-            for slots, bit in part.bits():
-                n = counts[:, slots]
-                n0, n1 = np.maximum(n[0] - (bit == 0), 0), np.maximum(n[1] - (bit == 1), 0)
-                seen = n0 + n1
-                gate = gates(part.place, confidence(seen[3]), confidence(seen[4]))
-                self._learn(stretch(n0, n1), gate, bit, own, rate)
-        self.logits = stretch(counts[0], counts[1]).astype(np.float16)
-        self.sure = confidence(counts.sum(0)[3 << SLOT_BITS :]).astype(np.uint8)
-
-    def _learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, own: np.ndarray, rate: float) -> None:
-        x = np.vstack([x, np.ones((1, x.shape[1]), np.float32)])
-        z = (self.weights[gate].T * x).sum(0)
-        error = (bit - squash(z)) * own
-        total = np.maximum(np.bincount(gate, own, GATES), 1.0)
-        for t in range(TABLES + 1):
-            self.weights[:, t] += rate * 4 * np.bincount(gate, error * x[t], GATES) / total**0.5 / 8
-        bucket = np.clip(np.rint(z * 2), -(BUCKETS // 2), BUCKETS // 2).astype(np.int64) + BUCKETS // 2
-        at = gate * BUCKETS + bucket
-        n = np.bincount(at, own, GATES * BUCKETS)
-        hit = np.bincount(at, own * bit, GATES * BUCKETS)
-        p = self.refined.reshape(-1)
-        p += np.where(n > 0, (hit - n * p) / (n + 200), 0)
-
-    def log10(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
-        """Each token's log10 probability; seen: its count in training.
-
-        The longest context is the token itself: its discounted relative frequency, and what the
-        discount sets free goes to the mixed bits.
-        """
-        spelled = self.spelled(words)
-        if not self.total:
-            return spelled
-        free = self.discount * self.distinct / self.total
-        return np.log10(np.maximum(seen - self.discount, 0) / self.total + free * 10**spelled)
-
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each token's bytes by the mixed bits alone."""
-        part = Words(words)
-        total = np.zeros(len(part.data))
-        for slots, bit in part.bits():
-            gate = gates(part.place, self.sure[slots[3] - (3 << SLOT_BITS)].astype(np.int64), self.sure[slots[4] - (3 << SLOT_BITS)].astype(np.int64))
-            w = self.weights[gate]
-            z = w[:, TABLES].copy()
-            for t in range(TABLES):
-                z += w[:, t] * self.logits[slots[t]]
-            place = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
-            low = place.astype(np.int64)
-            up = place - low
-            p = 0.5 * squash(z) + 0.5 * (self.refined[gate, low] * (1 - up) + self.refined[gate, low + 1] * up)
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, part.start)
-
-
-def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str = "text", per_batch: int = 8000, sample: int = 60_000) -> DataFrame:
+    """Both mixers, the symbols, and the counts that the other tokens' probabilities need."""
+
+    def __init__(self, symbols: Symbols, mixer: Mixer, spelling: Mixer, spelling_bits: int, discount: float, others: int, distinct: int):
+        self.symbols, self.mixer, self.spelling, self.spelling_bits = symbols, mixer, spelling, spelling_bits
+        self.discount, self.others, self.distinct = discount, others, distinct
+
+    def coded(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token's symbol in its context."""
+        token, slots, place, bit = self.symbols.events(symbol, one, two)
+        p = self.mixer.probability(slots, place)
+        return np.bincount(token, np.log10(np.where(bit == 1, p, 1 - p)), len(symbol))
+
+    def other(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
+        """The log10 probability of tokens without a symbol, given that; seen: their counts in training."""
+        own = spelled(words, self.spelling, self.spelling_bits)
+        if not self.others:
+            return own
+        free = self.discount * self.distinct / self.others
+        return np.log10(np.maximum(seen - self.discount, 0) / self.others + free * 10**own)
+
+
+def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
+    """(model, N, V) of the stored table of tokens (w, c) and the training texts (one column)."""
+    spark = table.sparkSession
+    learned = table.where("c > 0")
+    n_all, n_distinct, n_bytes, once, twice = (x or 0 for x in learned.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.col("c") * (F.octet_length("w") + 1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    common = collect_bounded(learned.where("c > 1").orderBy(F.desc("c"), "w").limit(MOST_SYMBOLS), MOST_SYMBOLS, "symbols")
+    words, counts = [bytes(r.w) for r in common], [r.c for r in common]
+    symbols = Symbols(words, counts, n_all - sum(counts), _bits(32 * n_all))
+    tasks = max(1, -(-n_bytes // COUNT_BYTES))
+    shared = spark.sparkContext.broadcast(symbols)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+
+        def events():
+            for batch in batches:
+                for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
+                    for i in range(0, len(h), 1 << 15):
+                        s = slice(i, i + (1 << 15))
+                        _, slots, _, bit = own.events(own.find(h[s]), one[s], two[s])
+                        yield slots, bit
+
+        return _filled(events(), own.slots)
+
+    mixer = Mixer(_counts(texts.coalesce(tasks).mapInArrow(fill, "k long, w int, n binary"), symbols.slots), 3)
+    start = spark.sparkContext.broadcast(mixer)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, code, totals = start.value, shared.value, np.zeros((2, GATES, BUCKETS))
+        own.weights, own.curve = own.weights.copy(), own.curve.copy()
+        for batch in batches:
+            for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
+                for i in range(0, len(h), 1 << 10):
+                    s = slice(i, i + (1 << 10))
+                    _, slots, place, bit = code.events(code.find(h[s]), one[s], two[s])
+                    if len(bit):
+                        own.learn(slots, place, bit, totals)
+        yield _state_rows(own, totals)
+
+    _learned(mixer, texts.mapInArrow(learn, "k int, n double, v double"))
+
+    rare = learned.join(F.broadcast(learned.where("c > 1").orderBy(F.desc("c"), "w").limit(MOST_SYMBOLS).select("w")), "w", "left_anti")
+    others, distinct, size = (x or 0 for x in rare.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.octet_length("w") + 1)).first())
+    bits = min(20, _bits(size))
+    spread = rare.select("w").repartition(max(1, -(-size // (COUNT_BYTES // 8))))
+
+    def fill_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def events():
+            for batch in batches:
+                for i in range(0, len(batch), 5_000):
+                    yield from Spelling(batch.column(0).slice(i, 5_000).to_pylist(), bits).events()
+
+        return _filled(events(), Spelling.TABLES << bits)
+
+    spelling = Mixer(_counts(spread.mapInArrow(fill_spelling, "k long, w int, n binary"), Spelling.TABLES << bits), Spelling.TABLES)
+    first = spark.sparkContext.broadcast(spelling)
+
+    def learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, totals = first.value, np.zeros((2, GATES, BUCKETS))
+        own.weights, own.curve = own.weights.copy(), own.curve.copy()
+        for batch in batches:
+            for i in range(0, len(batch), 1_000):
+                part = Spelling(batch.column(0).slice(i, 1_000).to_pylist(), bits)
+                for slots, bit in part.events():
+                    own.learn(slots, part.place, bit, totals)
+        yield _state_rows(own, totals)
+
+    _learned(spelling, rare.select("w").mapInArrow(learn_spelling, "k int, n double, v double"))
+    return Model(symbols, mixer, spelling, bits, discount, others, distinct), n_all, n_distinct
+
+
+def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: the id, _train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     `train` is a Column that is true for the documents to learn from.
@@ -210,69 +423,59 @@ def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), train.alias("_train"), F.col(text_col).alias("_text"))
     table = stored(rows.select("_train", "_text").mapInArrow(_tokens, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    learned = table.where("c > 0")
-    n_all, n_distinct, once, twice = (x or 0 for x in learned.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
-
-    counts = np.zeros((2, SLOTS), np.int64)
-    merged = learned.mapInArrow(_count_slots, "k long, n binary").groupBy("k").applyInArrow(_add_slots, "k long, n binary")
-    for r in merged.toLocalIterator():  # SLOTS / CHUNK rows at most
-        counts[:, r.k : r.k + CHUNK] = np.frombuffer(r.n, np.int64).reshape(2, CHUNK)
-    spread = F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long")
-    limit = int(min(1.0, sample / max(1, n_distinct)) * (1 << 60))
-    picked = collect_bounded(learned.where(spread <= limit).select(spread.alias("h"), "w"), 2 * sample + 1000, "sample")
-    model = Model(counts, [bytes(r.w) for r in sorted(picked, key=lambda r: (r.h, r.w))], discount, n_all, n_distinct)
-    del counts
-    shared = spark.sparkContext.broadcast(model)  # a fixed size: see the module's head
+    model, n_all, n_distinct = train_model(table, rows.where("_train").select("_text"))
+    shared = spark.sparkContext.broadcast(model)  # of a bounded size: see the module's head
+    base = float(np.log10(n_all + n_distinct + 1.0))
 
-    def token_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            for i in range(0, len(batch), 20_000):
-                part = batch.slice(i, 20_000)
-                yield pa.RecordBatch.from_pydict({"w": part.column(0), "c": part.column(1), "lp": pa.array(shared.value.log10(part.column(0).to_pylist(), part.column(1).to_numpy()))})
-
-    scored = table.mapInArrow(token_scores, "w binary, c long, lp double")
-    total = docs.count()
-    batches_n = max(1, -(-total // per_batch))
-    dealt = rows.withColumn("_batch", F.pmod(hash64(F.col("_id")), F.lit(batches_n))).repartition(batches_n, "_batch")
+            data, _ = buffers(batch.column(2))
+            data = data.tobytes()
+            for a, b, owner, h, one, two, begin, end in sequences(batch.column(2)):
+                symbol = own.symbols.find(h)
+                lp = np.concatenate([own.coded(symbol[i : i + (1 << 15)], one[i : i + (1 << 15)], two[i : i + (1 << 15)]) for i in range(0, len(h), 1 << 15)])
+                known = symbol < own.symbols.nodes - 1
+                logs = np.where(known, own.symbols.logs[symbol] - base, 0)
+                n, total, plain, found = (np.bincount(owner, x, b - a) for x in (None, lp, logs, known))
+                size = np.bincount(owner, np.where(begin < 0, 1, end - begin + 1), b - a)
+                rest: list[Counter] = [Counter() for _ in range(b - a)]
+                at = np.flatnonzero(~known)
+                for d, s, e in zip(owner[at].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
+                    rest[d][data[s:e].lower() if s >= 0 else b""] += 1
+                others = [[{"w": w, "k": k} for w, k in r.items()] for r in rest]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(plain), pa.array(total), pa.array(size.astype(np.int64)), pa.array(others, pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32())])))],
+                    ["_id", "_train", "n", "known", "base", "lp", "size", "others"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    coded_rows = rows.mapInArrow(coded, f"_id {kind}, _train boolean, n long, known long, base double, lp double, size long, others array<struct<w:binary,k:int>>")
+    coded_rows = stored(coded_rows.withColumn("_row", F.monotonically_increasing_id()))
 
-    def batch_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def token_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: dict = {}
-            for k, text in zip(batch.column(3).to_pylist(), batch.column(2), strict=True):
-                own.setdefault(k, {b""}).update((text.as_py() or "").encode().lower().split())
-            for k, words in own.items():
-                words = list(words)
-                for i in range(0, len(words), 100_000):
-                    w = words[i : i + 100_000]
-                    yield pa.RecordBatch.from_pydict({"_batch": pa.array([k] * len(w), pa.int64()), "w": pa.array(w, pa.binary())})
-
-    # All of `dealt`, so that this side and the documents' side are one and the same shuffle.
-    wanted = dealt.mapInArrow(batch_tokens, "_batch long, w binary")
-    known = wanted.join(scored, "w").select("_batch", "w", "c", "lp")
-    base = np.log10(n_all + n_distinct + 1.0)
-    id_kind = docs.schema[id_col].dataType.simpleString()
-
-    def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(right["w"].to_pylist())}
-        c, lp = right["c"].to_numpy(), right["lp"].to_numpy()
-        logs = np.log10(c + 1.0) - base
-        out: dict = {k: [] for k in ("n", "known", "base", "score", "bpb")}
-        for text in left["_text"]:
-            raw = (text.as_py() or "").encode().lower().split()
-            size = sum(map(len, raw)) + len(raw) + 1
-            raw.append(b"")
-            i = np.fromiter(map(at.__getitem__, raw), np.int64, len(raw))
-            out["n"].append(len(raw))
-            out["known"].append(int((c[i] > 0).sum()))
-            out["base"].append(float(logs[i].sum()))
-            total = float(lp[i].sum())
-            out["score"].append(total)
-            out["bpb"].append(-total / np.log10(2) / size)
-        return pa.table({"id": left["_id"], "train": left["_train"], **{k: pa.array(v, pa.int64() if k in ("n", "known") else pa.float64()) for k, v in out.items()}})
-
-    both = dealt.groupBy("_batch").cogroup(known.groupBy("_batch")).applyInArrow(read, f"id {id_kind}, train boolean, n long, known long, base double, score double, bpb double")
-    return both.select(F.col("id").alias(id_col), F.col("train").alias("_train"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.col("bpb").alias("bits_per_byte"))
+            for i in range(0, len(batch), 5_000):
+                part = batch.slice(i, 5_000)
+                yield pa.RecordBatch.from_pydict({"w": part.column(0), "c": part.column(1), "lp": pa.array(shared.value.other(part.column(0).to_pylist(), part.column(1).to_numpy()))})
+
+    # Of each document its distinct tokens without a symbol; these alone are looked up.
+    wanted = coded_rows.select("_row", F.inline("others"))
+    scored = table.where(F.col("c") <= (min(n_all, _least_symbol(model)))).mapInArrow(token_scores, "w binary, c long, lp double")
+    k = F.col("k")
+    sums = wanted.join(scored, "w").groupBy("_row").agg(
+        F.sum(F.when(F.col("c") > 0, k).otherwise(0)).alias("more"), F.sum(k * (F.log10(F.col("c") + 1.0) - base)).alias("plain"), F.sum(k * F.col("lp")).alias("rest"))
+    out = coded_rows.drop("others").join(sums.withColumnRenamed("_row", "_of"), F.col("_row") == F.col("_of"), "left")
+    total = F.col("lp") + F.coalesce("rest", F.lit(0.0))
+    return out.select(
+        F.col("_id").alias(id_col), "_train", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("plain", F.lit(0.0))).alias("base_score"), total.alias("score"), (-total / float(np.log10(2)) / F.col("size")).alias("bits_per_byte"))
+
+
+def _least_symbol(model: Model) -> int:
+    """No token without a symbol has a greater count."""
+    logs = model.symbols.logs[:-1]
+    return int(round(10 ** logs.min())) - 1 if len(logs) == MOST_SYMBOLS else 1
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), edges
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, words' documents counted from it, words' hashes) for blocks of whole documents."""
+def words_of(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, document after the last, words' documents counted from the first, words' hashes, begins, ends) for blocks of whole documents."""
     a, n = 0, len(edges) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(edges, edges[a] + BLOCK, "right")) - 1)
@@ -76,10 +76,16 @@ def word_hashes(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.n
         total = np.zeros(len(part) + 1, U)
         np.cumsum(VALUE[part] * up[: len(part)], out=total[1:])
         h = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * _ODD)
-        yield a, np.searchsorted(own, s, "right") - 1, h
+        yield a, b, np.searchsorted(own, s, "right") - 1, h, s + edges[a], e + edges[a]
         a = b
 
 
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, words' documents counted from it, words' hashes) for blocks of whole documents."""
+    for a, _, owner, h, _, _ in words_of(data, edges):
+        yield a, owner, h
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct shingle hashes; with fewer words the whole sequence is one; without words none."""
     data, edges = buffers(column)
