@@ -58,6 +58,15 @@ def hash64(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 15), 16, 10).cast("long")
 
 
+#: Up to so many rows (of 60 bytes or so) are sent to every task instead of shuffling texts; counted first.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed or stored table for the small side of a join: broadcast where its count allows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def row_hash(text: Column) -> Column:
     """With the id it tells rows of different texts apart, where ids repeat."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -71,7 +80,7 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -
     """
     same = lambda df, other: df[id_col].eqNullSafe(other["_id"]) & (row_hash(df[text_col]) == other["_hash"])
     gone = decided.where(~F.col("_keep")).select("_id", "_hash").distinct()
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash"))
+    gone = small(checkpoint(gone.select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash"))))
     left = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (row_hash(docs[text_col]) == gone["_gone_hash"]), "left_anti")
     again = checkpoint(decided.where("_keep").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_id", "_hash"))
     if again.isEmpty():

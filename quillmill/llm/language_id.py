@@ -4,7 +4,7 @@ Features of a whole text: counts of hashed byte trigrams (A-Z lower-cased, bytes
 one space), square roots, unit length. A softmax regression predicts the language family; inside a
 family one-versus-one linear support vector machines (dual coordinate descent) vote for the language.
 The classifiers are fitted on the driver to a bounded sample of labelled rows (`sample`, the same number
-for each language, chosen by hash of the id); their size depends on the number of languages alone.
+for each language, chosen by hash of id and text); their size depends on the number of languages alone.
 
 Defined results: `und` with score 0 for a null text or one without a letter; languages that are not in
 FAMILIES are families of their own; a family of one language needs no second step; without labelled rows
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmill.llm.common import collect_bounded, hash64, load
 from quillmill.llm.shingles import BLOCK, buffers
@@ -156,7 +157,10 @@ def fit(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: s
     each = max(4, sample // len(found))
     share = {s: min(1.0, 1.5 * (each + 50) / n) for s, n in found.items()}
     limit = F.create_map(*[F.lit(x) for s, p in share.items() for x in (s, int(p * (1 << 60)))])
-    picked = known.withColumn("_h", hash64(F.col(id_col))).where(F.col("_h") <= limit[F.col(lang_col)])
+    # By id and text, so that rows that share an id are dealt apart; of what is below the limit the `each` smallest.
+    able = known.where(F.col(text_col).rlike(r"[^\x00-@\[-`{-\x7f]")).withColumn("_h", hash64(F.col(id_col), F.xxhash64(text_col))).where(F.col("_h") <= limit[F.col(lang_col)])
+    place = F.row_number().over(Window.partitionBy(lang_col).orderBy("_h"))
+    picked = able.select("_h", lang_col, text_col).withColumn("_place", place).where(F.col("_place") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +168,7 @@ def fit(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: s
                 part = batch.slice(a, len(c))
                 yield pa.RecordBatch.from_pydict({"h": part.column(0), "lang": part.column(1), "x": pa.array([r.tobytes() for r in np.minimum(c, 65535).astype(np.uint16)], pa.binary())})
 
-    rows = sorted(collect_bounded(picked.select("_h", F.col(lang_col), F.col(text_col)).mapInArrow(run, "h long, lang string, x binary"), 4 * (each + 50) * len(found), "sample"), key=lambda r: (r.h, r.lang, r.x))
+    rows = sorted(collect_bounded(picked.select("_h", F.col(lang_col), F.col(text_col)).mapInArrow(run, "h long, lang string, x binary"), each * len(found), "sample"), key=lambda r: (r.h, r.lang, r.x))
     taken: dict[str, int] = {}
     chosen = []
     for r in rows:

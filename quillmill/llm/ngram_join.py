@@ -43,12 +43,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.llm.common import checkpoint, keep_rows, load, row_hash, stored
+from quillmill.llm.common import SMALL_ROWS, checkpoint, keep_rows, load, row_hash, small, stored
 from quillmill.llm.components import components
 from quillmill.llm.shingles import U, mix, shingle_sets
 
-#: Up to so many rows (of 40 bytes or so) are sent to every task instead of shuffling texts; counted first.
-BROADCAST_ROWS = 500_000
 #: Most of the commonest postings whose counts are sent to every task.
 HOT = 100_000
 #: Rounds before all pairs of blocks are searched, and members of a neighbourhood that are in all its blocks.
@@ -62,8 +60,8 @@ def tier_of(n: int) -> int:
 
 @lru_cache(maxsize=None)
 def bound(tier: int, num: int, den: int) -> int:
-    """Hashes up to this are posted: as many as may lack in a partner, a tenth of the set and four deviations."""
-    share = 1.0 if tier == 0 else min(1.0, (den - num) / den + 0.1 + 2 / (4 ** (tier + 1)) ** 0.5)
+    """Hashes up to this are posted: as many as may lack in a partner, and a margin, so that only a set with much in common with others stays."""
+    share = 1.0 if tier == 0 else min(1.0, (den - num) / den + 0.07 + 1 / (4 ** (tier + 1)) ** 0.5)
     return (int(share * (1 << 32)) << 32) - 1
 
 
@@ -279,10 +277,6 @@ def _sets(words: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _able(postings: DataFrame) -> DataFrame:
     """Of (at, least, key, df), postings that others share: the nodes that have enough, with these by rarity; stored."""
     held = postings.groupBy("at").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
@@ -335,7 +329,7 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_c
     filled = sized.where("_n > 0")
     named = stored(filled.groupBy("_n", "_a", "_b").agg(F.min("_row").alias("node")))
     copies = filled.join(named.select("node"), F.col("_row") == F.col("node"), "left_anti").select(F.col("_row").alias("copy"))
-    if filled.count() - named.count() <= BROADCAST_ROWS:
+    if filled.count() - named.count() <= SMALL_ROWS:
         nodes = base.join(F.broadcast(copies), F.col("_row") == F.col("copy"), "left_anti")
     else:
         nodes = base.join(named.select("node"), F.col("_row") == F.col("node"), "left_semi")
@@ -357,7 +351,7 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_c
             known = labels.select("node", F.col("root").alias("label"))
             placed = placed.join(known, F.col("_row") == F.col("node"), "left")
         label = F.col("_row") if labels is None else F.coalesce("label", "_row")
-        wanted = _small(checkpoint(placed.select("_row", F.col("_id").alias("_own"), F.col("_hash").alias("_h"), label.alias("label"), "root", "places")))
+        wanted = small(checkpoint(placed.select("_row", F.col("_id").alias("_own"), F.col("_hash").alias("_h"), label.alias("label"), "root", "places")))
         texts = rows.join(wanted, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_own"))).select("_row", "label", "root", "places", "_text")
         if not wanted.join(sized, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_own"))).groupBy("_h", "_own").count().where("count > 1").isEmpty():
             texts = texts.dropDuplicates(["_row"])  # rows that share id and text
@@ -371,7 +365,7 @@ def _linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_c
             break
         labels = components(found)
         left = open_.select(F.col("_row").alias("open"))
-        able = _shared(able.join(_small(left), F.shiftright("at", 6) == F.col("open"), "left_semi"), labels)
+        able = _shared(able.join(small(left), F.shiftright("at", 6) == F.col("open"), "left_semi"), labels)
         turn += 1
     joined = components(found)
     groups = named.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_n", "_a", "_b", F.coalesce("root", "node").alias("root"))

@@ -1,15 +1,17 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-The gear hash of a position is the sum of its last 32 bytes' random numbers, each shifted once for each
-byte since; a chunk ends where it falls below a threshold, so ends depend on 32 bytes of content alone and
-an insertion shifts no later chunk. Chunks are about `average` bytes long and repeated ones are found by
-digest. Runs of repeated chunks with `min_words` words or more are reported; of each chunk the first
-occurrence (smallest id, then place) stays.
-
-A passage's first 31 bytes and what lies before its first and after its last cut are in no whole chunk of
-it. So a run of fewer words is extended to both sides, to whole words, as far as its bytes equal those
+The gear hash of a position is the sum of its last 16 bytes' random numbers, each shifted by its age; a
+chunk ends where it falls below a threshold, so ends depend on 16 bytes of content alone and an insertion
+shifts no later chunk. Chunks are about `average` bytes long and repeated ones are found by digest. Chunks
+that follow each other make one run where they repeat together: where an occurrence of each in another
+document (of the first and last in all, and the nearest in the batch, those known) lies at the same shift.
+Of each chunk the first occurrence (smallest id, then place) stays.
+
+A passage's first 15 bytes and what lies before its first and after its last cut are in no whole chunk of
+it. So a run of fewer than `min_words` words is extended to both sides, to whole words, as far as its bytes equal those
 beside the first occurrence of its outer chunk (for the first occurrence itself: beside the last), at most
-`REACH` bytes and not into another run, and is then held against `min_words`.
+`REACH` bytes and not into another run, and is then held against `min_words`. A passage without two cuts
+has no whole chunk and isn't found: recall by length is measured in the tests and stated in the README.
 
 Copies inside a batch are combined before the shuffle: one row for a digest leaves a batch, the others are
 known to be repeats. So a passage in a third of all documents meets as one row for each batch.
@@ -29,18 +31,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.llm.common import load, stored
+from quillmill.llm.common import load, row_hash, stored
 from quillmill.llm.shingles import BLOCK, SPACE, VALUE, U, _power, buffers, mix
 
 _GEAR = (mix(np.arange(256, dtype=U) + U(0x6765617200)) >> U(32)).astype(np.uint32)
 
 
+#: Bytes that decide on a cut.
+SIGHT = 16
+
+
 def gear(data: np.ndarray) -> np.ndarray:
-    """The hash after each byte, modulo 2**32: by doubling the window, five steps for 32 bytes."""
+    """The hash after each byte, modulo 2**32: by doubling the window, four steps for 16 bytes shifted by two bits each."""
     h = _GEAR[data]
-    for step in (1, 2, 4, 8, 16):
+    for step in (1, 2, 4, 8):
         longer = h.copy()
-        longer[step:] += h[:-step] << np.uint32(step)
+        longer[step:] += h[:-step] << np.uint32(2 * step)
         h = longer
     return h
 
@@ -52,9 +58,9 @@ def chunks(data: np.ndarray, edges: np.ndarray, average: int, shortest: int) ->
         b = max(a + 1, int(np.searchsorted(edges, edges[a] + BLOCK, "right")) - 1)
         part, own = data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
         if len(part):
-            # A window that reaches over a document's start would see its neighbour: no cuts in the first 31 bytes.
+            # A window that reaches over a document's start would see its neighbour: no cuts in the first bytes.
             cut = gear(part) < limit
-            near = np.arange(len(part)) - own[np.searchsorted(own, np.arange(len(part)), "right") - 1] < 31
+            near = np.arange(len(part)) - own[np.searchsorted(own, np.arange(len(part)), "right") - 1] < SIGHT - 1
             inside = part & 0xC0
             starts_char = np.append(inside[1:] != 0x80, True)
             ends = np.flatnonzero(cut & ~near & starts_char) + 1
@@ -86,9 +92,11 @@ def chunks(data: np.ndarray, edges: np.ndarray, average: int, shortest: int) ->
 VALUE_CASED = VALUE.copy()
 VALUE_CASED[65:91] = mix(np.arange(1, 27, dtype=U) + U(0xCA5ED)) | U(1)
 
-_SCHEMA = "doc long, begin int, end int, digest long, words int, docs int, peer struct<doc: long, begin: int>"
+_SCHEMA = "doc long, begin int, end int, digest long, words int, docs int, peer struct<doc: long, begin: int>, near struct<doc: long, begin: int>"
 #: Bytes that are compared on each side of a short run.
 REACH = 512
+#: Shorter repeats aren't reported: they often lack a whole chunk, and recall would be low.
+MIN_WORDS = 25
 
 
 def _chunked(average: int, shortest: int, holders: bool):
@@ -118,13 +126,18 @@ def _chunked(average: int, shortest: int, holders: bool):
             other_at = np.flatnonzero(other & ~new)[::-1]
             second[group[other_at]] = other_at
             peer = np.where(doc == doc[lead[group]], second[group], lead[group])
+            # And the nearest one: before this row, or after it where none is before.
+            run_of = np.cumsum(other) - 1
+            start_of = np.flatnonzero(other)
+            before, after = start_of[run_of] - 1, np.append(start_of, len(doc))[run_of + 1]
+            near = np.where((before >= 0) & (group[np.maximum(before, 0)] == group), before, np.where((after < len(doc)) & (group[np.minimum(after, len(doc) - 1)] == group), after, -1))
             if not holders:
                 want, n = ~want, np.zeros(len(n), np.int64)
-            n, peer = n[want], peer[want]
+            n, peer, near = n[want], peer[want], near[want]
             for i in range(0, int(want.sum()), 100_000):
                 s = slice(i, i + 100_000)
-                peers = pa.StructArray.from_arrays([pa.array(doc[peer[s]]), pa.array(begin[peer[s]].astype(np.int32))], ["doc", "begin"], mask=pa.array(peer[s] < 0))
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[want][s]), "begin": pa.array(begin[want][s].astype(np.int32)), "end": pa.array(end[want][s].astype(np.int32)), "digest": pa.array(digest[want][s].view(np.int64)), "words": pa.array(words[want][s].astype(np.int32)), "docs": pa.array(n[s].astype(np.int32)), "peer": peers})
+                peers, nears = (pa.StructArray.from_arrays([pa.array(doc[x]), pa.array(begin[x].astype(np.int32))], ["doc", "begin"], mask=pa.array(x < 0)) for x in (peer[s], near[s]))
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[want][s]), "begin": pa.array(begin[want][s].astype(np.int32)), "end": pa.array(end[want][s].astype(np.int32)), "digest": pa.array(digest[want][s].view(np.int64)), "words": pa.array(words[want][s].astype(np.int32)), "docs": pa.array(n[s].astype(np.int32)), "peer": peers, "near": nears})
 
     return run
 
@@ -189,7 +202,7 @@ def _extended(short: DataFrame, rows: DataFrame, text_col: str, min_words: int)
         F.concat(span(F.col("gone_left"), b - l, b), "spans", span(F.col("gone_right"), e, e + r)).alias("spans"))
 
 
-def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_words: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of repeated chunks: the id, begin, end (bytes), n_words, n_chunks, removed_bytes, kept."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col))
     meet = Window.partitionBy("digest")
@@ -197,10 +210,13 @@ def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_wor
     held = rows.mapInArrow(_chunked(average, shortest, True), _SCHEMA).withColumn("n", F.sum("docs").over(meet)).withColumn("first", first).withColumn("last", F.max(F.struct("doc", "begin")).over(meet)).where("n > 1")
     # Where to compare: beside the first occurrence, and for those in its document beside another one.
     other = F.when(F.col("first.doc") != F.col("doc"), F.col("first")).when(F.col("last.doc") != F.col("doc"), F.col("last")).otherwise(F.col("peer"))
-    held = held.select("doc", "begin", "end", "words", (F.struct("doc", "begin") != F.col("first")).alias("gone"), other.alias("at"))
-    copies = rows.mapInArrow(_chunked(average, shortest, False), _SCHEMA).select("doc", "begin", "end", "words", F.lit(True).alias("gone"), F.col("peer").alias("at"))
+    held = held.select("doc", "begin", "end", "words", (F.struct("doc", "begin") != F.col("first")).alias("gone"), other.alias("at"), F.array("first", "last", "peer", "near").alias("others"))
+    copies = rows.mapInArrow(_chunked(average, shortest, False), _SCHEMA).select("doc", "begin", "end", "words", F.lit(True).alias("gone"), F.col("peer").alias("at"), F.array("peer", "near").alias("others"))
+    shifts = F.transform(F.filter("others", lambda o: o["doc"] != F.col("doc")), lambda o: F.struct(o["doc"].alias("doc"), (o["begin"] - F.col("begin")).alias("shift")))
     by = Window.partitionBy("doc").orderBy("begin", "end")
-    linked = held.unionByName(copies).withColumn("new", F.coalesce((F.lag("end").over(by) != F.col("begin")).cast("int"), F.lit(1)))
+    chained = held.unionByName(copies).withColumn("shifts", shifts).drop("others")
+    follows = (F.lag("end").over(by) == F.col("begin")) & F.arrays_overlap(F.lag("shifts").over(by), F.col("shifts"))
+    linked = chained.withColumn("new", F.when(follows, 0).otherwise(1)).drop("shifts")
     ends_at = F.struct(F.col("at.doc").alias("doc"), (F.col("at.begin") + F.col("end") - F.col("begin")).alias("end"))
     runs = linked.withColumn("run", F.sum("new").over(by)).groupBy("doc", "run").agg(
         F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"),
@@ -215,19 +231,30 @@ def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_wor
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with the repeated chunks of reported runs, but their first occurrences, cut from the texts."""
-    spans = repeated_runs(docs, id_col=id_col, text_col=text_col, **how).where("removed_bytes > 0")
-    spans = spans.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_spans")).withColumnRenamed(id_col, "_key")
-    joined = docs.join(spans, docs[id_col] == spans["_key"], "left").drop("_key")
-    raw = F.col(text_col).cast("binary")
+    """`docs` with the repeated chunks of reported runs, but their first occurrences, cut from the texts.
+
+    Rows are told apart by a number of our own: ids may repeat and be null. What is first goes by id, null
+    ids last, then by the text's hash; rows equal in both are cut alike.
+    """
+    # A text is known by its id and hash; these get a number in the order of ids.
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), row_hash(F.col(text_col)).alias("hash"))
+    known = docs.select(key.alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    sorted_ = known.repartitionByRange("key").sortWithinPartitions("key").withColumn("row", F.monotonically_increasing_id())
+    numbered = stored(sorted_)
+    spans = repeated_runs(numbered, id_col="row", text_col="text", **how).where("removed_bytes > 0")
+    spans = spans.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("cut"))
+    spans = numbered.select("key", "row").join(spans, "row").select("key", "cut")
+    whole = docs.select(F.struct(*docs.columns).alias("all"), key.alias("key"))
+    joined = whole.join(spans, "key", "left")
+    raw = F.col("all")[text_col].cast("binary")
     # What lies between the cut spans, put together again.
-    ends = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    begins = F.concat(F.transform("_spans", lambda s: s["begin"]), F.array(F.octet_length(raw)))
+    ends = F.concat(F.array(F.lit(0)), F.transform("cut", lambda s: s["end"]))
+    begins = F.concat(F.transform("cut", lambda s: s["begin"]), F.array(F.octet_length(raw)))
     kept = F.transform(F.arrays_zip(ends.alias("e"), begins.alias("b")), lambda s: F.decode(F.substr(raw, s["e"] + 1, s["b"] - s["e"]), "UTF-8"))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat_ws("", kept))
-    return joined.withColumn(text_col, text).drop("_spans").select(*docs.columns)
+    text = F.when(F.col("cut").isNull(), F.col("all")[text_col]).otherwise(F.concat_ws("", kept))
+    return joined.select(F.col("all").withField(f"`{text_col}`", text).alias("all")).select("all.*")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run of 15 words or more in `documents` that occurs elsewhere too: documents without one have no row."""
+    """Every run of MIN_WORDS words or more in `documents` that occurs elsewhere too: documents without one have no row."""
     return repeated_runs(load(spark, sf_dir, "documents")).drop("spans")
