@@ -29,6 +29,7 @@ without training documents N and V are 0 and bits are one half; repeated rows ar
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -79,6 +80,14 @@ class Mixer:
         self.curve = np.full((GATES, tables + 1), 16.0)
         self.refined = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1))
 
+    def __getstate__(self) -> dict:
+        """Packed on its way to the tasks: most slots of a small corpus are empty."""
+        return self.__dict__ | {"counts": (self.counts.shape, zlib.compress(self.counts.tobytes(), 1))}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, packed = state["counts"]
+        self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(packed), np.uint16).reshape(shape)}
+
     def _mixed(self, slots: list[np.ndarray], place: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(inputs, gates, logits); `without`: bits that are left out of their own slots' counts."""
         x, seen = np.ones((self.tables + 1, len(place)), np.float32), []
