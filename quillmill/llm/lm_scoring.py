@@ -285,7 +285,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, bytes of a count, counts) of the bits in each slot."""
+    """Rows (chunk, bytes of a count, packed counts) of the bits in each slot."""
     counts = np.zeros(2 * slots, np.int32)
     for by_table, bit in events:
         side = bit.astype(np.int64) * slots
@@ -296,22 +296,22 @@ def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int) -
         part = both[:, k : k + CHUNK]
         if part.any():
             part = part.astype(np.uint16) if part.max() < 1 << 16 else part
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "w": pa.array([part.itemsize], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "w": pa.array([part.itemsize], pa.int32()), "n": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
 
 def _add_slots(table: pa.Table) -> pa.Table:
     total = None
     for w, n in zip(table["w"], table["n"], strict=True):
-        part = np.frombuffer(n.as_py(), np.uint16 if w.as_py() == 2 else np.int32).astype(np.int64)
+        part = np.frombuffer(zlib.decompress(n.as_py()), np.uint16 if w.as_py() == 2 else np.int32).astype(np.int64)
         total = part if total is None else total + part
-    return pa.table({"k": table["k"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"k": table["k"].slice(0, 1), "n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def _counts(parts: DataFrame, slots: int) -> np.ndarray:
     """The sums of _filled's rows, in the driver: slots / CHUNK rows, whatever the corpus."""
     counts = np.zeros((2, slots), np.float32)
     for r in parts.groupBy("k").applyInArrow(_add_slots, "k long, n binary").toLocalIterator():
-        part = np.frombuffer(r.n, np.int64).reshape(2, -1)
+        part = np.frombuffer(zlib.decompress(r.n), np.int64).reshape(2, -1)
         counts[:, r.k : r.k + part.shape[1]] = part
     return counts
 
