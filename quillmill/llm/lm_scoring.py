@@ -5,7 +5,8 @@ word. Everything is coded bit by bit, and each bit's probability is mixed in the
 predictors, slots of counts hashed from a context and the bits before:
 
 * Symbols. The `MOST_SYMBOLS` commonest training tokens that occur twice or more are symbols, all others
-  share one; a symbol's bits are its Huffman code. Contexts: none, the word before, the two words before.
+  share one; a symbol's bits are its Huffman code. Contexts: none; the word before; and the two words before,
+  whose slot holds the symbol that the most votes have after them, as bits while these agree with the code so far.
 * Spelling. A token without a symbol is, under the shared one, either a training token by its discounted
   count or, with what the discount frees, spelled: its bytes and a terminator. Contexts: its last one, two
   and three bytes and all of them.
@@ -17,7 +18,7 @@ Learning covers every training document. 1. Tokens are counted into a table, whi
 2. All training texts fill the symbols' slots and all rare training tokens, once each, the spellings'. 3.
 Weights and refinement are learned online over all of them: each partition goes through its texts in
 mini-batches, every bit seen with its own occurrence left out of the counts, and the partitions' results are
-averaged by what they saw. Slots grow with the tokens counted, up to 2**`MOST_BITS` for the two words before and a quarter
+averaged by what they saw. Slots grow with the tokens counted, up to 2**`MOST_BITS` for the two words before and half
 of that for one: what goes to every task is bounded, and where contexts outgrow it the gates' weights say so.
 
 Only tokens without a symbol are joined with the table of tokens; texts aren't shuffled.
@@ -42,7 +43,7 @@ from quillmill.llm.common import collect_bounded, load, stored
 from quillmill.llm.language_id import held_out
 from quillmill.llm.shingles import U, VALUE, _power, buffers, mix, words_of
 
-MOST_SYMBOLS, MOST_BITS = 1 << 16, 24
+MOST_SYMBOLS, MOST_BITS = 1 << 16, 23
 #: Text that one task counts: its slots leave it once.
 COUNT_BYTES = 96 << 20
 #: Slots in a row of the table of counts.
@@ -54,6 +55,9 @@ GATES = PLACES * (len(STEPS) + 1) ** 2
 BUCKETS = 33
 END = U(0x656E64)
 _SPREAD, _NODE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+U32 = np.uint32
+#: The input of an expected bit.
+HINT = np.float32(2)
 _LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
 
 
@@ -62,65 +66,93 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return (((context ^ (node * _NODE)) * _SPREAD) >> U(64 - bits)).astype(np.int64)
+    """node: already times _NODE."""
+    at = context ^ node
+    at *= _SPREAD
+    at >>= U(64 - bits)
+    return at.view(np.int64)
+
+
+#: A seen count, cut off at the last step, to its class.
+CLASS = np.searchsorted(STEPS, np.arange(STEPS[-1] + 1), "right").astype(np.uint8)
+#: Logits are read to a sixteenth, up to 12.
+FINE, EDGE = 16, 12
+LEVELS = 2 * FINE * EDGE + 1
 
 
 class Mixer:
     """Tables of bit counts, mixing weights by gate, refinement by gate and bucket."""
 
-    def __init__(self, counts: np.ndarray, tables: int):
-        """counts: (2, slots of all tables one after another); larger ones are scaled to 16 bits."""
-        self.counts = np.zeros(counts.shape, np.uint16)
+    def __init__(self, counts: np.ndarray, tables: int, votes: np.ndarray | None = None):
+        """counts: (2, slots of all tables one after another); larger ones are scaled to 16 bits, and a slot is its zeros and its ones << 16."""
+        self.slots = np.zeros(counts.shape[1], np.uint32)
         for k in range(0, counts.shape[1], 1 << 20):
             part = counts[:, k : k + (1 << 20)]
-            self.counts[:, k : k + (1 << 20)] = np.rint(part / np.maximum(part.max(0) / np.float32(65535), 1))
-        self.tables = tables
+            part = np.rint(part / np.maximum(part.max(0) / np.float32(65535), 1)).astype(np.uint32)
+            self.slots[k : k + (1 << 20)] = part[0] | part[1] << np.uint32(16)
+        self.tables, self.votes = tables, np.zeros(0, np.uint32) if votes is None else votes
         self.weights = np.full((GATES, tables + 1), 1.2 / tables, np.float32)
         self.weights[:, tables] = 0
         self.curve = np.full((GATES, tables + 1), 16.0)
         self.refined = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1))
+        self.ready = None
 
     def __getstate__(self) -> dict:
         """Packed on its way to the tasks: most slots of a small corpus are empty."""
-        return self.__dict__ | {"counts": (self.counts.shape, zlib.compress(self.counts.tobytes(), 1))}
+        return self.__dict__ | {"ready": None} | {n: zlib.compress(getattr(self, n).tobytes(), 1) for n in ("slots", "votes")}
 
     def __setstate__(self, state: dict) -> None:
-        shape, packed = state["counts"]
-        self.__dict__ = state | {"counts": np.frombuffer(zlib.decompress(packed), np.uint16).reshape(shape)}
+        self.__dict__ = state | {n: np.frombuffer(zlib.decompress(state[n]), np.uint32) for n in ("slots", "votes")}
 
-    def _mixed(self, slots: list[np.ndarray], place: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, gates, logits); `without`: bits that are left out of their own slots' counts."""
-        x, seen = np.ones((self.tables + 1, len(place)), np.float32), []
+    def _gate(self, place: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
+        k = len(STEPS) + 1
+        return (place * k + seen[0]) * k + seen[1]
+
+    def _dot(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = self.weights[:, self.tables][gate]
+        for t in range(self.tables):
+            z += self.weights[:, t][gate] * x[t]
+        return z
+
+    def logs(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, hint: tuple | None = None) -> np.ndarray:
+        """The log10 probability of each bit; hint: the last table's inputs and classes, where these aren't slots."""
+        if self.ready is None:  # once in each worker: what scoring needs of a slot, and of a gate and logit
+            zeros, ones = self.slots & np.uint32(65535), self.slots >> np.uint32(16)
+            z = np.arange(LEVELS) / FINE - EDGE
+            at = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
+            low = at.astype(np.int64)
+            p = 0.5 * squash(z) + 0.5 * (self.refined[:, low] * (1 - at + low) + self.refined[:, low + 1] * (at - low))
+            p = np.clip(p, 1e-5, 1 - 1e-5)
+            self.ready = _LOG[ones] - _LOG[zeros], CLASS[np.minimum(zeros + ones, STEPS[-1])], np.log10(np.stack([1 - p, p], 2)).astype(np.float32).reshape(-1)
+        logit, sure, table = self.ready
+        gate = self._gate(place, [sure[s] for s in slots[-2:]] if hint is None else [sure[slots[-1]], hint[1]])
+        z = self._dot([logit[s] for s in slots] + ([] if hint is None else [hint[0]]), gate)
+        level = np.rint(np.clip(z, -EDGE, EDGE) * FINE).astype(np.int64) + FINE * EDGE
+        return table[(gate * LEVELS + level) * 2 + bit]
+
+    def learn(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, totals: np.ndarray, hint: tuple | None = None) -> None:
+        """One mini-batch, each bit without its own occurrence; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen."""
+        x, seen = [], []
         for t, s in enumerate(slots):
-            n0, n1 = self.counts[0, s], self.counts[1, s]
-            if without is not None:
-                n0 = n0 - ((without == 0) & (n0 > 0)).astype(np.uint16)
-                n1 = n1 - ((without == 1) & (n1 > 0)).astype(np.uint16)
-            x[t] = _LOG[n1] - _LOG[n0]
+            both = self.slots[s]
+            zeros, ones = both & np.uint32(65535), both >> np.uint32(16)
+            zeros = zeros - ((bit == 0) & (zeros > 0))
+            ones = ones - ((bit == 1) & (ones > 0))
+            x.append(_LOG[ones] - _LOG[zeros])
             if t >= self.tables - 2:
-                seen.append(np.searchsorted(STEPS, n0.astype(np.int32) + n1, "right"))
-        k = len(STEPS) + 1
-        gate = (place * k + seen[0]) * k + seen[1]
-        return x, gate, np.einsum("tn,nt->n", x, self.weights[gate])
-
-    def probability(self, slots: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-        """Of a one, for each bit."""
-        _, gate, z = self._mixed(slots, place, None)
-        at = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
-        low = at.astype(np.int64)
-        up = at - low
-        p = 0.5 * squash(z) + 0.5 * (self.refined[gate, low] * (1 - up) + self.refined[gate, low + 1] * up)
-        return np.clip(p, 1e-5, 1 - 1e-5)
-
-    def learn(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, totals: np.ndarray, rate: float = 1.0) -> None:
-        """One mini-batch; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen."""
-        x, gate, z = self._mixed(slots, place, bit)
-        p = squash(z)
-        error, curve = (bit - p).astype(np.float32), (p * (1 - p)).astype(np.float32)
+                seen.append(CLASS[np.minimum(zeros + ones, STEPS[-1])])
+        if hint is not None:
+            x.append(hint[0])
+            seen.append(hint[1])
+        gate = self._gate(place, seen)
+        z = self._dot(x, gate)
+        p = 1 / (1 + np.exp(-np.clip(z, -11, 11)))
+        error, curve = bit - p, p * (1 - p)
+        x.append(np.ones(len(z), np.float32))
         for t in range(self.tables + 1):
             self.curve[:, t] = 0.98 * self.curve[:, t] + np.bincount(gate, curve * x[t] * x[t], GATES)
-            self.weights[:, t] += rate * np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
-        cell = gate * BUCKETS + np.clip(np.rint(z * 2), -(BUCKETS // 2), BUCKETS // 2).astype(np.int64) + BUCKETS // 2
+            self.weights[:, t] += np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
+        cell = gate * BUCKETS + np.rint(np.clip(z * 2, -(BUCKETS // 2), BUCKETS // 2)).astype(np.int64) + BUCKETS // 2
         totals[0] += np.bincount(cell, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
         totals[1] += np.bincount(cell, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
 
@@ -181,8 +213,10 @@ class Symbols:
         flat = [x for c in codes for x in c]
         self.node = np.array([x for x, _ in flat], np.int64)
         self.bit = np.array([x for _, x in flat], np.uint8)
+        self.salt = (self.node.astype(U) + U(1)) * _NODE
+        self.place = np.array([min(i // 4, PLACES - 1) for c in codes for i in range(len(c))], np.int64)
         self.nodes, self.bits = len(codes), bits
-        self.slots = self.nodes + (1 << bits - 2) + (1 << bits)
+        self.slots = self.nodes + (1 << bits - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
@@ -190,16 +224,52 @@ class Symbols:
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, self.order[at], len(self.sorted))
 
-    def events(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(token, slots by table, place, bit) of the bits of tokens with these symbols and contexts."""
+    def events(self, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(token, place in the codes, slots by table, place in the code, bit) of the bits of tokens with these symbols and contexts."""
         size = self.length[symbol]
         token = np.repeat(np.arange(len(symbol)), size)
-        depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        at = self.start[symbol][token] + depth
-        node = self.node[at]
-        raw = node.astype(U) + U(1)
-        slots = [node, self.nodes + _slot(one[token], raw, self.bits - 2), self.nodes + (1 << self.bits - 2) + _slot(two[token], raw, self.bits)]
-        return token, slots, np.minimum(depth // 4, PLACES - 1), self.bit[at]
+        at = np.arange(len(token)) + np.repeat(self.start[symbol] - np.cumsum(size) + size, size)
+        return token, at, [self.node[at], self.nodes + _slot(one[token], self.salt[at], self.bits - 1)], self.place[at], self.bit[at]
+
+    def hints(self, token: np.ndarray, at: np.ndarray, symbol: np.ndarray, two: np.ndarray, votes: np.ndarray, without: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(input, class) of the symbol that the votes expect, for each bit; `without`: less each token's own vote."""
+        vote = votes[self.context(two)]
+        guess, n = (vote >> U32(15)).astype(np.int64), (vote & U32(32767)).astype(np.int64)
+        if without:
+            n = n + np.where(guess == symbol, -1, n > 0)
+        known = n > 0
+        guess[~known] = 0
+        there = at + (self.start[guess] - self.start[symbol])[token]
+        inside = known[token] & (there < (self.start[guess] + self.length[guess])[token])
+        there[~inside] = 0
+        inside &= self.node[there] == self.node[at]
+        return np.where(inside, self.bit[there] * HINT * 2 - HINT, np.float32(0)), np.where(inside, CLASS[np.minimum(n, STEPS[-1])][token], np.uint8(0))
+
+    def context(self, two: np.ndarray) -> np.ndarray:
+        return _slot(two, U(0), self.bits)
+
+    def vote(self, votes: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> None:
+        """Adds the votes of tokens: of a slot the symbol with the most, and by how many more than all others together."""
+        slot = self.context(two)
+        key, n = np.unique(slot << 17 | symbol, return_counts=True)
+        slot = key >> 17
+        order = np.lexsort((n, slot))
+        key, n, slot = key[order], n[order], slot[order]
+        last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
+        total = np.diff(np.append(0, np.cumsum(n)[last]))
+        lead = 2 * n[last] - total
+        good = lead > 0
+        at = slot[last][good]
+        votes[at] = merged_votes(votes[at], ((key[last][good] & 131071) << 15 | np.minimum(lead[good], 32767)).astype(np.uint32))
+
+
+def merged_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Votes of two tables: equal symbols add up, others take from each other."""
+    n, m = (a & U32(32767)).astype(np.int64), (b & U32(32767)).astype(np.int64)
+    same = a >> U32(15) == b >> U32(15)
+    left = np.where(same, np.minimum(n + m, 32767), np.abs(n - m))
+    symbol = np.where(n >= m, a >> U32(15), b >> U32(15)).astype(np.int64)
+    return np.where(left > 0, symbol << 15 | left, 0).astype(np.uint32)
 
 
 def sequences(column: pa.Array) -> Iterator[tuple]:
@@ -252,7 +322,7 @@ class Spelling:
         """For each of the 8 bits of all bytes: (slots by table, bit)."""
         d = self.data.astype(np.uint32)
         for b in range(8):
-            node = (np.uint32(1 << b) | (d >> np.uint32(8 - b))).astype(U)
+            node = (np.uint32(1 << b) | (d >> np.uint32(8 - b))).astype(U) * _NODE
             yield [(t << self.bits) + _slot(c, node, self.bits) for t, c in enumerate(self.contexts)], ((d >> np.uint32(7 - b)) & np.uint32(1)).astype(np.uint8)
 
 
@@ -261,8 +331,7 @@ def spelled(words: list[bytes], mixer: Mixer, bits: int) -> np.ndarray:
     part = Spelling(words, bits)
     total = np.zeros(len(part.data))
     for slots, bit in part.events():
-        p = mixer.probability(slots, part.place)
-        total += np.log10(np.where(bit == 1, p, 1 - p))
+        total += mixer.logs(slots, part.place, bit)
     return np.add.reduceat(total, part.start)
 
 
@@ -284,8 +353,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"w": pa.array(words[i : i + 100_000], pa.binary()), "c": pa.array(n[i : i + 100_000], pa.int64())})
 
 
-def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, bytes of a count, packed counts) of the bits in each slot."""
+def _chunk(k: int, part: np.ndarray) -> pa.RecordBatch:
+    from pyspark import TaskContext
+
+    row = {"k": [k], "t": [TaskContext.get().partitionId()], "w": [part.itemsize], "n": [zlib.compress(part.tobytes(), 1)]}
+    return pa.RecordBatch.from_pydict({n: pa.array(v, kind) for (n, v), kind in zip(row.items(), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)})
+
+
+def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int, votes: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, task, bytes of a number, packed numbers) of the bits in each slot; of the votes with negative chunks."""
     counts = np.zeros(2 * slots, np.int32)
     for by_table, bit in events:
         side = bit.astype(np.int64) * slots
@@ -296,24 +372,33 @@ def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int) -
         part = both[:, k : k + CHUNK]
         if part.any():
             part = part.astype(np.uint16) if part.max() < 1 << 16 else part
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "w": pa.array([part.itemsize], pa.int32()), "n": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
+            yield _chunk(k, part)
+    for k in range(0, 0 if votes is None else len(votes), CHUNK):
+        if votes[k : k + CHUNK].any():
+            yield _chunk(-1 - k, votes[k : k + CHUNK])
 
 
 def _add_slots(table: pa.Table) -> pa.Table:
-    total = None
-    for w, n in zip(table["w"], table["n"], strict=True):
-        part = np.frombuffer(zlib.decompress(n.as_py()), np.uint16 if w.as_py() == 2 else np.int32).astype(np.int64)
-        total = part if total is None else total + part
+    """One chunk of all tasks, in the order of the tasks."""
+    k, total = table["k"][0].as_py(), None
+    for _, w, n in sorted(zip(table["t"].to_pylist(), table["w"].to_pylist(), table["n"], strict=True), key=lambda x: x[0]):
+        part = np.frombuffer(zlib.decompress(n.as_py()), np.uint16 if w == 2 else np.uint32)
+        part = part.astype(np.int64) if k >= 0 else part
+        total = part if total is None else total + part if k >= 0 else merged_votes(total, part)
     return pa.table({"k": table["k"].slice(0, 1), "n": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def _counts(parts: DataFrame, slots: int) -> np.ndarray:
-    """The sums of _filled's rows, in the driver: slots / CHUNK rows, whatever the corpus."""
-    counts = np.zeros((2, slots), np.float32)
+def _counts(parts: DataFrame, slots: int, contexts: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of _filled's rows, counts and votes, in the driver: (slots + contexts) / CHUNK rows, whatever the corpus."""
+    counts, votes = np.zeros((2, slots), np.float32), np.zeros(contexts, np.uint32)
     for r in parts.groupBy("k").applyInArrow(_add_slots, "k long, n binary").toLocalIterator():
-        part = np.frombuffer(zlib.decompress(r.n), np.int64).reshape(2, -1)
-        counts[:, r.k : r.k + part.shape[1]] = part
-    return counts
+        part = zlib.decompress(r.n)
+        if r.k < 0:
+            votes[-1 - r.k : -1 - r.k + CHUNK] = np.frombuffer(part, np.uint32)
+        else:
+            part = np.frombuffer(part, np.int64).reshape(2, -1)
+            counts[:, r.k : r.k + part.shape[1]] = part
+    return counts, votes
 
 
 def _learned(mixer: Mixer, states: DataFrame) -> None:
@@ -339,9 +424,8 @@ class Model:
 
     def coded(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The log10 probability of each token's symbol in its context."""
-        token, slots, place, bit = self.symbols.events(symbol, one, two)
-        p = self.mixer.probability(slots, place)
-        return np.bincount(token, np.log10(np.where(bit == 1, p, 1 - p)), len(symbol))
+        token, at, slots, place, bit = self.symbols.events(symbol, one)
+        return np.bincount(token, self.mixer.logs(slots, place, bit, self.symbols.hints(token, at, symbol, two, self.mixer.votes, False)), len(symbol))
 
     def other(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
         """The log10 probability of tokens without a symbol, given that; seen: their counts in training."""
@@ -360,24 +444,27 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
     discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
     common = collect_bounded(learned.where("c > 1").orderBy(F.desc("c"), "w").limit(MOST_SYMBOLS), MOST_SYMBOLS, "symbols")
     words, counts = [bytes(r.w) for r in common], [r.c for r in common]
-    symbols = Symbols(words, counts, n_all - sum(counts), _bits(32 * n_all))
+    symbols = Symbols(words, counts, n_all - sum(counts), _bits(8 * n_all))
     tasks = max(1, -(-n_bytes // COUNT_BYTES))
     shared = spark.sparkContext.broadcast(symbols)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, votes = shared.value, np.zeros(1 << shared.value.bits, np.uint32)
 
         def events():
             for batch in batches:
                 for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
-                    for i in range(0, len(h), 1 << 15):
-                        s = slice(i, i + (1 << 15))
-                        _, slots, _, bit = own.events(own.find(h[s]), one[s], two[s])
+                    for i in range(0, len(h), 1 << 13):
+                        s = slice(i, i + (1 << 13))
+                        symbol = own.find(h[s])
+                        own.vote(votes, two[s], symbol)
+                        _, _, slots, _, bit = own.events(symbol, one[s])
                         yield slots, bit
 
-        return _filled(events(), own.slots)
+        return _filled(events(), own.slots, votes)
 
-    mixer = Mixer(_counts(texts.coalesce(tasks).mapInArrow(fill, "k long, w int, n binary"), symbols.slots), 3)
+    counted, votes = _counts(texts.coalesce(tasks).mapInArrow(fill, "k long, t int, w int, n binary"), symbols.slots, 1 << symbols.bits)
+    mixer = Mixer(counted, 3, votes)
     start = spark.sparkContext.broadcast(mixer)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,9 +474,10 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
             for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
                 for i in range(0, len(h), 1 << 10):
                     s = slice(i, i + (1 << 10))
-                    _, slots, place, bit = code.events(code.find(h[s]), one[s], two[s])
+                    symbol = code.find(h[s])
+                    token, at, slots, place, bit = code.events(symbol, one[s])
                     if len(bit):
-                        own.learn(slots, place, bit, totals)
+                        own.learn(slots, place, bit, totals, code.hints(token, at, symbol, two[s], own.votes, True))
         yield _state_rows(own, totals)
 
     _learned(mixer, texts.mapInArrow(learn, "k int, n double, v double"))
@@ -407,7 +495,7 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
 
         return _filled(events(), Spelling.TABLES << bits)
 
-    spelling = Mixer(_counts(spread.mapInArrow(fill_spelling, "k long, w int, n binary"), Spelling.TABLES << bits), Spelling.TABLES)
+    spelling = Mixer(_counts(spread.mapInArrow(fill_spelling, "k long, t int, w int, n binary"), Spelling.TABLES << bits)[0], Spelling.TABLES)
     first = spark.sparkContext.broadcast(spelling)
 
     def learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +531,7 @@ def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str
             data = data.tobytes()
             for a, b, owner, h, one, two, begin, end in sequences(batch.column(2)):
                 symbol = own.symbols.find(h)
-                lp = np.concatenate([own.coded(symbol[i : i + (1 << 15)], one[i : i + (1 << 15)], two[i : i + (1 << 15)]) for i in range(0, len(h), 1 << 15)])
+                lp = np.concatenate([own.coded(symbol[i : i + (1 << 13)], one[i : i + (1 << 13)], two[i : i + (1 << 13)]) for i in range(0, len(h), 1 << 13)])
                 known = symbol < own.symbols.nodes - 1
                 logs = np.where(known, own.symbols.logs[symbol] - base, 0)
                 n, total, plain, found = (np.bincount(owner, x, b - a) for x in (None, lp, logs, known))
