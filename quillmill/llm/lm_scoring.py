@@ -93,7 +93,7 @@ class Mixer:
         self.tables, self.votes = tables, np.zeros(0, np.uint32) if votes is None else votes
         self.weights = np.full((GATES, tables + 1), 1.2 / tables, np.float32)
         self.weights[:, tables] = 0
-        self.curve = np.full((GATES, tables + 1), 16.0)
+        self.curve, self.turn = np.full((GATES, tables + 1), 16.0), 0
         self.refined = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1))
         self.ready = None
 
@@ -135,9 +135,9 @@ class Mixer:
         x, seen = [], []
         for t, s in enumerate(slots):
             both = self.slots[s]
-            zeros, ones = both & np.uint32(65535), both >> np.uint32(16)
-            zeros = zeros - ((bit == 0) & (zeros > 0))
-            ones = ones - ((bit == 1) & (ones > 0))
+            # Less the bit itself, which is in one of the halves.
+            both = np.where(bit, both - ((both >> U32(16)) > 0) * U32(65536), both - ((both & U32(65535)) > 0))
+            zeros, ones = both & U32(65535), both >> U32(16)
             x.append(_LOG[ones] - _LOG[zeros])
             if t >= self.tables - 2:
                 seen.append(CLASS[np.minimum(zeros + ones, STEPS[-1])])
@@ -147,14 +147,20 @@ class Mixer:
         gate = self._gate(place, seen)
         z = self._dot(x, gate)
         p = 1 / (1 + np.exp(-np.clip(z, -11, 11)))
-        error, curve = bit - p, p * (1 - p)
+        error = bit - p
         x.append(np.ones(len(z), np.float32))
+        if self.turn % 4 == 0:
+            # The curvature changes slowly: it is measured in every fourth batch, for the four.
+            curve = p * (1 - p)
+            for t in range(self.tables + 1):
+                self.curve[:, t] = 0.92 * self.curve[:, t] + 4 * np.bincount(gate, curve * x[t] * x[t], GATES)
+        self.turn += 1
         for t in range(self.tables + 1):
-            self.curve[:, t] = 0.98 * self.curve[:, t] + np.bincount(gate, curve * x[t] * x[t], GATES)
             self.weights[:, t] += np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
         cell = gate * BUCKETS + np.rint(np.clip(z * 2, -(BUCKETS // 2), BUCKETS // 2)).astype(np.int64) + BUCKETS // 2
-        totals[0] += np.bincount(cell, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
-        totals[1] += np.bincount(cell, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
+        seen_bits = np.bincount(cell * 2 + bit, minlength=2 * GATES * BUCKETS).reshape(GATES, BUCKETS, 2)
+        totals[0] += seen_bits.sum(2)
+        totals[1] += seen_bits[:, :, 1]
 
     def state(self, totals: np.ndarray) -> Iterator[tuple[int, float, float]]:
         """(cell, weight, weighted value) of all that has been learned, for a sum over partitions."""
@@ -237,10 +243,9 @@ class Symbols:
         guess, n = (vote >> U32(15)).astype(np.int64), (vote & U32(32767)).astype(np.int64)
         if without:
             n = n + np.where(guess == symbol, -1, n > 0)
-        known = n > 0
-        guess[~known] = 0
+        guess[n <= 0] = 0
         there = at + (self.start[guess] - self.start[symbol])[token]
-        inside = known[token] & (there < (self.start[guess] + self.length[guess])[token])
+        inside = there < np.where(n > 0, self.start[guess] + self.length[guess], -1)[token]
         there[~inside] = 0
         inside &= self.node[there] == self.node[at]
         return np.where(inside, self.bit[there] * HINT * 2 - HINT, np.float32(0)), np.where(inside, CLASS[np.minimum(n, STEPS[-1])][token], np.uint8(0))
@@ -459,11 +464,14 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
                         symbol = own.find(h[s])
                         own.vote(votes, two[s], symbol)
                         _, _, slots, _, bit = own.events(symbol, one[s])
-                        yield slots, bit
+                        yield slots[1:], bit  # without a context: see below
 
         return _filled(events(), own.slots, votes)
 
     counted, votes = _counts(texts.coalesce(tasks).mapInArrow(fill, "k long, t int, w int, n binary"), symbols.slots, 1 << symbols.bits)
+    plain = np.zeros((2, symbols.nodes))
+    np.add.at(plain, (symbols.bit, symbols.node), np.repeat([*counts, n_all - sum(counts)], symbols.length))
+    counted[:, : symbols.nodes] = plain
     mixer = Mixer(counted, 3, votes)
     start = spark.sparkContext.broadcast(mixer)
 
@@ -472,8 +480,8 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
         own.weights, own.curve = own.weights.copy(), own.curve.copy()
         for batch in batches:
             for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
-                for i in range(0, len(h), 1 << 10):
-                    s = slice(i, i + (1 << 10))
+                for i in range(0, len(h), 1 << 11):
+                    s = slice(i, i + (1 << 11))
                     symbol = code.find(h[s])
                     token, at, slots, place, bit = code.events(symbol, one[s])
                     if len(bit):
@@ -531,7 +539,7 @@ def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str
             data = data.tobytes()
             for a, b, owner, h, one, two, begin, end in sequences(batch.column(2)):
                 symbol = own.symbols.find(h)
-                lp = np.concatenate([own.coded(symbol[i : i + (1 << 13)], one[i : i + (1 << 13)], two[i : i + (1 << 13)]) for i in range(0, len(h), 1 << 13)])
+                lp = np.concatenate([own.coded(symbol[i : i + (1 << 12)], one[i : i + (1 << 12)], two[i : i + (1 << 12)]) for i in range(0, len(h), 1 << 12)])
                 known = symbol < own.symbols.nodes - 1
                 logs = np.where(known, own.symbols.logs[symbol] - base, 0)
                 n, total, plain, found = (np.bincount(owner, x, b - a) for x in (None, lp, logs, known))
