@@ -132,3 +132,31 @@ def test_quote_anchor_of_few_words(spark, tmp_path):
     spark.createDataFrame([(7, "a single, here"), (8, "One twofold A longest b"), (9, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.item_id, r.doc_id, r.method, r.found_at) for r in QUERIES["quote_anchor"].run(spark, str(tmp_path)).collect())
     assert got == [(1, 7, "case", 3), (2, 8, "case", 1), (3, 8, "case", 13)]
+
+
+def test_json_paths(spark):
+    from quillmill.functions import json_paths as J
+
+    rows = [(1, '{"a": {"b": 1, "c": [true, "x"]}, "d": null}'), (2, "not json"), (3, None), (4, "{}"), (5, "7")]
+    got = J.leaves(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect()
+    assert {(r.id, r.path, r.value) for r in got} == {(1, "/a/b", "1"), (1, "/a/c/0", "true"), (1, "/a/c/1", "x"), (1, "/d", None), (5, "", "7")}
+
+    m = F.create_map(*[F.lit(x) for x in ("/a/b", "1", "/a/c", "2", "/ab", "3")])
+    one = lambda c: dict(spark.range(1).select(c.alias("m")).first().m)
+    assert one(J.patch(m, [{"op": "remove", "path": "/a"}])) == {"/ab": "3"}
+    assert one(J.patch(m, [{"op": "move", "from": "/a", "path": "/x/y"}])) == {"/x/y/b": "1", "/x/y/c": "2", "/ab": "3"}
+    assert one(J.patch(m, [{"op": "add", "path": "/ab/z", "value": "9"}])) == {"/a/b": "1", "/a/c": "2", "/ab/z": "9"}
+    whole = {"/a/b": "1", "/a/c": "2", "/ab": "3"}
+    assert one(J.patch(m, [{"op": "remove", "path": "/ab"}, {"op": "test", "path": "/a/b", "value": "8"}])) == whole
+    assert one(J.patch(m, [{"op": "replace", "path": "/nope", "value": "8"}])) == whole
+    other = F.create_map(F.lit("/a"), F.lit("5"), F.lit("/ab"), F.lit(None).cast("string"))
+    assert one(J.merge(m, other)) == {"/a": "5"}
+
+
+def test_clinical_enums(spark):
+    from quillmill.functions import enums
+
+    cases = [("sedation_type", " Conscious Sedation ", "Moderate"), ("sedation_type", "MAC", "MAC"), ("airway_type", "8.0 endotracheal tube", "ETT"), ("pleural_side", "RT", "Right"),
+             ("stent_type", "uncovered metal stent", "Metallic-Uncovered"), ("ventilation_mode", "N/A", None), ("disposition", "something else", None), ("disposition", None, None), ("final_diagnosis", "adenocarcinoma", "Malignancy")]
+    for field, raw, value in cases:
+        assert spark.range(1).select(enums.canonical(field, F.lit(raw).cast("string")).alias("v")).first().v == value, (field, raw)
