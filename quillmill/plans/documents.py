@@ -205,14 +205,26 @@ def doc_families(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(tags).alias("family"))
 
 
-@query("""SELECT scope, sum(CASE WHEN regexp_matches(substr(f, greatest(1, p - scope), p - greatest(1, p - scope)), '\\b(no|not|without|never|in|an)\\b') THEN 1 ELSE 0 END)::BIGINT AS negated, count(*) AS hits FROM
-(SELECT regexp_replace(lower(text), '[^ -~\\n]', ' ', 'g') AS f, instr(regexp_replace(lower(text), '[^ -~\\n]', ' ', 'g'), 'the') AS p FROM documents), (VALUES (30), (60), (200)) AS v(scope) WHERE p > 0 GROUP BY 1""")
+@query("""WITH t AS (SELECT regexp_replace(lower(text), '[^ -~\\n]', ' ', 'g') AS f FROM documents), s AS (SELECT f, string_split(f, 'the') AS parts FROM t),
+h AS (SELECT f, unnest(list_transform(range(1, len(parts)), lambda i: len(array_to_string(parts[1:i], 'the')) + 1)) AS p FROM s)
+SELECT scope, sum(CASE WHEN regexp_matches(substr(f, greatest(1, p - scope), p - greatest(1, p - scope)), '\\b(no|not|without|never|in|an)\\b') THEN 1 ELSE 0 END)::BIGINT AS negated, count(*) AS hits
+FROM h, (VALUES (30), (60), (200)) AS v(scope) GROUP BY 1""")
 def negated_terms(spark, d):
-    """Hits of a term and those with a negation cue in the 30, 60 and 200 characters before it."""
-    folded = table(spark, d, "documents").select(T.ascii_fold(F.lower("text")).alias("f")).withColumn("p", F.instr("f", "the")).where("p > 0")
-    each = folded.select("f", "p", F.explode(F.array(F.lit(30), F.lit(60), F.lit(200))).alias("scope"))
-    first = F.greatest(F.lit(1), F.col("p") - F.col("scope"))
-    return each.groupBy("scope").agg(big(F.count_if(S.negated(F.substr("f", first, F.col("p") - first), r"\b(no|not|without|never|in|an)\b"))).alias("negated"), F.count(F.lit(1)).alias("hits"))
+    """All hits of a term and those with a negation cue in the 30, 60 and 200 characters before them."""
+    folded = table(spark, d, "documents").select(T.ascii_fold(F.lower("text")).alias("f")).where(F.contains("f", F.lit("the")))
+    starts = F.transform(S.matches(F.col("f"), "the"), lambda m: m["start"] + 1)
+
+    def cued(scope):
+        def test(p):
+            first = F.greatest(F.lit(1), p - scope)
+            return S.negated(F.substr("f", first, p - first), r"\b(no|not|without|never|in|an)\b")
+
+        return F.size(F.filter("ps", test))
+
+    # Counted inside the row: neither texts nor contexts are copied for each hit.
+    each = folded.select("f", starts.alias("ps"))
+    scopes = F.array(*[F.struct(F.lit(k).alias("scope"), cued(k).alias("negated"), F.size("ps").alias("hits")) for k in (30, 60, 200)])
+    return each.select(F.inline(scopes)).groupBy("scope").agg(big(F.sum("negated")).alias("negated"), big(F.sum("hits")).alias("hits"))
 
 
 @query("SELECT doc_id, md5(substr(text, greatest(1, p - 40), p - greatest(1, p - 40) + 43)) AS snippet_md5 FROM (SELECT doc_id, text, instr(text, 'the') AS p FROM documents) WHERE p > 0")
@@ -243,33 +255,48 @@ _TOK = "list_sort(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}')))"
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({_TOK.format(c='text')}) AS w FROM documents), n AS (SELECT doc_id, count(*) AS nd FROM t GROUP BY 1), u AS (SELECT item_id, unnest({_TOK.format(c='text')}) AS w FROM benchmark), m AS (SELECT item_id, count(*) AS ni FROM u GROUP BY 1),
-r AS (SELECT w FROM u GROUP BY 1 HAVING count(*) <= 8), c AS (SELECT DISTINCT doc_id, item_id FROM t JOIN r USING (w) JOIN u USING (w)), i AS (SELECT doc_id, item_id, count(*) AS k FROM c JOIN t USING (doc_id) JOIN u USING (item_id, w) GROUP BY 1, 2)
+i AS (SELECT doc_id, item_id, count(*) AS k FROM t JOIN u USING (w) GROUP BY 1, 2)
 SELECT doc_id, item_id, round(k / (nd + ni - k), 6) AS jaccard FROM i JOIN n USING (doc_id) JOIN m USING (item_id) WHERE k / (nd + ni - k) >= 0.2""")
 def jaccard_pairs(spark, d):
-    """Token-set similarity of documents and benchmark items that share a rare token."""
+    """Token-set similarity of documents and benchmark items of 0.2 or more, by a prefix filter that loses no pair.
+
+    A fifth of each set is in the other, so of a document's tokens that items have, in the order of rarity,
+    all but a fifth of the set (less one) hold a shared one; likewise of an item's.
+    """
     docs = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), "[a-z]{4,}").alias("ws"))
     items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text"), "[a-z]{4,}").alias("vs"))
-    posted = items.select("item_id", F.explode("vs").alias("w"))
-    rare = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n <= 8").select("w")
-    pairs = docs.select("doc_id", F.explode("ws").alias("w")).join(posted.join(rare, "w"), "w").select("doc_id", "item_id").distinct()
+    posted = items.select("item_id", F.size("vs").alias("size"), F.explode("vs").alias("w"))
+    rarity = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def first(rows, key):
+        held = rows.join(rarity, "w").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("own"))
+        need = F.floor((F.col("size") + 4) / 5).cast("int")
+        return held.where(F.size("own") >= need).select(key, F.explode(F.slice("own", F.lit(1), F.size("own") - need + 1)).alias("x")).select(key, F.col("x.w").alias("w"))
+
+    pairs = first(docs.select("doc_id", F.size("ws").alias("size"), F.explode("ws").alias("w")), "doc_id").join(first(posted, "item_id"), "w").select("doc_id", "item_id").distinct()
     both = pairs.join(docs, "doc_id").join(items, "item_id")
     return both.select("doc_id", "item_id", T.jaccard(F.col("ws"), F.col("vs")).alias("j")).where("j >= 0.2").select("doc_id", "item_id", F.round("j", 6).alias("jaccard"))
 
 
-@query("""WITH b AS (SELECT item_id, substr(text, 1, 60) AS q FROM benchmark), c AS (SELECT doc_id, text, item_id, q FROM documents, b WHERE contains(lower(text), lower(q)))
-SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' ELSE 'case' END AS method, instr(lower(text), lower(q))::BIGINT AS found_at FROM c""")
+@query("""WITH b AS (SELECT item_id, text AS q, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS nq FROM benchmark),
+t AS (SELECT doc_id, text, regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g') AS nt FROM documents)
+SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' WHEN contains(lower(text), lower(q)) THEN 'case' ELSE 'space' END AS method, instr(nt, nq)::BIGINT AS found_at FROM t, b WHERE contains(nt, nq)""")
 def quote_anchor(spark, d):
-    """Where a quote stands in a document: exactly, or but for case. A shared word narrows the candidates first."""
+    """Where a whole quote stands in a document: exactly, but for case, or but for case and white space. A shared word narrows the candidates first."""
+    space = lambda c: F.regexp_replace(F.lower(c), r"[ \t\r\n]+", " ")
+    docs = table(spark, d, "documents").select("doc_id", "text", space("text").alias("nt"))
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), F.trim(space("text")).alias("nq"))
     # The first and last word may be part of a longer one in a document; a quote without others meets all documents.
-    inner = F.split(F.lower("q"), " ")
+    inner = F.split("nq", " ")
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
-    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q")).withColumn("w", F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
-    words = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
+    keyed = quotes.withColumn("w", F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
     # Only quotes' words leave the documents; texts come back for the matching documents.
-    near = words.drop("text").join(F.broadcast(quotes), "w").select("doc_id", "item_id", "q")
-    near = near.unionByName(table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(quotes.where("w IS NULL"))).select("doc_id", "item_id", "q"))
-    both = near.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains(F.lower("text"), F.lower("q")))
-    return both.select("item_id", "doc_id", F.when(F.contains("text", F.col("q")), "exact").otherwise("case").alias("method"), big(F.expr("instr(lower(text), lower(q))")).alias("found_at"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("nt", " "))).alias("w"))
+    near = words.join(keyed, "w").select("doc_id", "item_id")
+    near = near.unionByName(docs.select("doc_id").crossJoin(keyed.where("w IS NULL").select("item_id")))
+    both = near.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("nt", F.col("nq")))
+    method = F.when(F.contains("text", F.col("q")), "exact").when(F.contains(F.lower("text"), F.lower("q")), "case").otherwise("space")
+    return both.select("item_id", "doc_id", method.alias("method"), big(F.expr("instr(nt, nq)")).alias("found_at"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, substr(md5(doc_id::VARCHAR || ':' || source), 1, 12) AS short_id FROM documents")

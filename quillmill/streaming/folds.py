@@ -58,8 +58,21 @@ def locked_fold(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream to the end of what is there and returns its result table."""
-    name = "drained_" + uuid.uuid4().hex
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream to the end of what is there and returns its result table.
+
+    Every micro-batch is written below `checkpoint`, a folder that all executors share, by its number, so that
+    one that is run again replaces itself; in complete mode the last one is the result.
+    """
+    path = f"{checkpoint}/drained_{uuid.uuid4().hex}"
+    last = -1
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        nonlocal last
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        last = max(last, batch)
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    if last < 0:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={last}" if mode == "complete" else f"{path}/rows/batch=*")
