@@ -45,7 +45,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int, digest) ->
     # that no task meets a whole one of them.
     total = routed.agg(F.sum("group_size")).first()[0] or 0
     large = lone.where(F.col("group_size") * 1000 > total)
-    keyed = rows.select("_id", "_hash", "_digest").join(F.broadcast(large), "_digest", "left")
+    # Both sides of the split read this; written once, the texts aren't hashed again for the second.
+    keyed = checkpoint(rows.select("_id", "_hash", "_digest").join(F.broadcast(large), "_digest", "left"))
     small = keyed.where("stays IS NULL").drop("stays", "group_size").join(lone.where(F.col("group_size") * 1000 <= total), "_digest")
     found = keyed.where("stays IS NOT NULL").select(out).unionByName(small.select(out))
     shared = routed.where("_texts > 1").select("_digest")
