@@ -109,9 +109,10 @@ class Mixer:
         return (place * k + seen[0]) * k + seen[1]
 
     def _dot(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.weights[:, self.tables][gate]
+        weights = np.ascontiguousarray(self.weights.T)
+        z = weights[self.tables].take(gate)
         for t in range(self.tables):
-            z += self.weights[:, t][gate] * x[t]
+            z += weights[t].take(gate) * x[t]
         return z
 
     def logs(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, hint: tuple | None = None) -> np.ndarray:
@@ -125,22 +126,23 @@ class Mixer:
             p = np.clip(p, 1e-5, 1 - 1e-5)
             self.ready = _LOG[ones] - _LOG[zeros], CLASS[np.minimum(zeros + ones, STEPS[-1])], np.log10(np.stack([1 - p, p], 2)).astype(np.float32).reshape(-1)
         logit, sure, table = self.ready
-        gate = self._gate(place, [sure[s] for s in slots[-2:]] if hint is None else [sure[slots[-1]], hint[1]])
-        z = self._dot([logit[s] for s in slots] + ([] if hint is None else [hint[0]]), gate)
+        gate = self._gate(place, [sure.take(s) for s in slots[-2:]] if hint is None else [sure.take(slots[-1]), hint[1]])
+        z = self._dot([logit.take(s) for s in slots] + ([] if hint is None else [hint[0]]), gate)
         level = np.rint(np.clip(z, -EDGE, EDGE) * FINE).astype(np.int64) + FINE * EDGE
-        return table[(gate * LEVELS + level) * 2 + bit]
+        return table.take((gate * LEVELS + level) * 2 + bit)
 
     def learn(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, totals: np.ndarray, hint: tuple | None = None) -> None:
         """One mini-batch, each bit without its own occurrence; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen."""
         x, seen = [], []
+        half = bit.astype(U32) << U32(4)
         for t, s in enumerate(slots):
-            both = self.slots[s]
+            both = self.slots.take(s)
             # Less the bit itself, which is in one of the halves.
-            both = np.where(bit, both - ((both >> U32(16)) > 0) * U32(65536), both - ((both & U32(65535)) > 0))
+            both -= ((both >> half & U32(65535)) > 0).astype(U32) << half
             zeros, ones = both & U32(65535), both >> U32(16)
-            x.append(_LOG[ones] - _LOG[zeros])
+            x.append(_LOG.take(ones) - _LOG.take(zeros))
             if t >= self.tables - 2:
-                seen.append(CLASS[np.minimum(zeros + ones, STEPS[-1])])
+                seen.append(CLASS.take(np.minimum(zeros + ones, STEPS[-1])))
         if hint is not None:
             x.append(hint[0])
             seen.append(hint[1])
@@ -217,10 +219,7 @@ class Symbols:
         self.length = np.array([len(c) for c in codes])
         self.start = np.append(0, np.cumsum(self.length))[:-1]
         flat = [x for c in codes for x in c]
-        self.node = np.array([x for x, _ in flat], np.int64)
-        self.bit = np.array([x for _, x in flat], np.uint8)
-        self.salt = (self.node.astype(U) + U(1)) * _NODE
-        self.place = np.array([min(i // 4, PLACES - 1) for c in codes for i in range(len(c))], np.int64)
+        self.code = np.array([node << 1 | bit for node, bit in flat], np.int32)
         self.nodes, self.bits = len(codes), bits
         self.slots = self.nodes + (1 << bits - 1)
 
@@ -231,24 +230,34 @@ class Symbols:
         return np.where(self.sorted[at] == h, self.order[at], len(self.sorted))
 
     def events(self, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(token, place in the codes, slots by table, place in the code, bit) of the bits of tokens with these symbols and contexts."""
-        size = self.length[symbol]
-        token = np.repeat(np.arange(len(symbol)), size)
-        at = np.arange(len(token)) + np.repeat(self.start[symbol] - np.cumsum(size) + size, size)
-        return token, at, [self.node[at], self.nodes + _slot(one[token], self.salt[at], self.bits - 1)], self.place[at], self.bit[at]
-
-    def hints(self, token: np.ndarray, at: np.ndarray, symbol: np.ndarray, two: np.ndarray, votes: np.ndarray, without: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(input, class) of the symbol that the votes expect, for each bit; `without`: less each token's own vote."""
+        """(bits of each token, place in the codes, slots by table, place in the code, bit) of the bits of tokens with these symbols and contexts."""
+        size = self.length.take(symbol)
+        ahead = np.cumsum(size) - size
+        inner = np.arange(int(size.sum())) - np.repeat(ahead, size)
+        at = inner + np.repeat(self.start.take(symbol), size)
+        code = self.code.take(at)
+        node = (code >> 1).astype(np.int64)
+        slots = [node, self.nodes + _slot(np.repeat(one, size), (node + 1).view(U) * _NODE, self.bits - 1)]
+        return size, at, slots, np.minimum(inner >> 2, PLACES - 1), (code & 1).astype(np.uint8)
+
+    def hints(self, size: np.ndarray, at: np.ndarray, node: np.ndarray, symbol: np.ndarray, two: np.ndarray, votes: np.ndarray, without: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(input, class) of the symbol that the votes expect, for each bit; `without`: less each token's own vote.
+
+        The arguments are as events() returns them; node: its first slots.
+        """
         vote = votes[self.context(two)]
         guess, n = (vote >> U32(15)).astype(np.int64), (vote & U32(32767)).astype(np.int64)
         if without:
             n = n + np.where(guess == symbol, -1, n > 0)
         guess[n <= 0] = 0
-        there = at + (self.start[guess] - self.start[symbol])[token]
-        inside = there < np.where(n > 0, self.start[guess] + self.length[guess], -1)[token]
+        first = self.start.take(guess)
+        there = at + np.repeat(first - self.start.take(symbol), size)
+        inside = there < np.repeat(np.where(n > 0, first + self.length.take(guess), -1), size)
         there[~inside] = 0
-        inside &= self.node[there] == self.node[at]
-        return np.where(inside, self.bit[there] * HINT * 2 - HINT, np.float32(0)), np.where(inside, CLASS[np.minimum(n, STEPS[-1])][token], np.uint8(0))
+        code = self.code.take(there)
+        inside &= code >> 1 == node
+        sure = np.repeat(CLASS.take(np.clip(n, 0, STEPS[-1])), size)
+        return np.where(inside, (code & 1) * (2 * HINT) - HINT, np.float32(0)).astype(np.float32), sure * inside
 
     def context(self, two: np.ndarray) -> np.ndarray:
         return _slot(two, U(0), self.bits)
@@ -429,8 +438,9 @@ class Model:
 
     def coded(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The log10 probability of each token's symbol in its context."""
-        token, at, slots, place, bit = self.symbols.events(symbol, one)
-        return np.bincount(token, self.mixer.logs(slots, place, bit, self.symbols.hints(token, at, symbol, two, self.mixer.votes, False)), len(symbol))
+        size, at, slots, place, bit = self.symbols.events(symbol, one)
+        logs = self.mixer.logs(slots, place, bit, self.symbols.hints(size, at, slots[0], symbol, two, self.mixer.votes, False))
+        return np.bincount(np.repeat(np.arange(len(symbol)), size), logs, len(symbol))
 
     def other(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
         """The log10 probability of tokens without a symbol, given that; seen: their counts in training."""
@@ -470,7 +480,7 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
 
     counted, votes = _counts(texts.coalesce(tasks).mapInArrow(fill, "k long, t int, w int, n binary"), symbols.slots, 1 << symbols.bits)
     plain = np.zeros((2, symbols.nodes))
-    np.add.at(plain, (symbols.bit, symbols.node), np.repeat([*counts, n_all - sum(counts)], symbols.length))
+    np.add.at(plain, (symbols.code & 1, symbols.code >> 1), np.repeat([*counts, n_all - sum(counts)], symbols.length))
     counted[:, : symbols.nodes] = plain
     mixer = Mixer(counted, 3, votes)
     start = spark.sparkContext.broadcast(mixer)
@@ -483,9 +493,9 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
                 for i in range(0, len(h), 1 << 11):
                     s = slice(i, i + (1 << 11))
                     symbol = code.find(h[s])
-                    token, at, slots, place, bit = code.events(symbol, one[s])
+                    size, at, slots, place, bit = code.events(symbol, one[s])
                     if len(bit):
-                        own.learn(slots, place, bit, totals, code.hints(token, at, symbol, two[s], own.votes, True))
+                        own.learn(slots, place, bit, totals, code.hints(size, at, slots[0], symbol, two[s], own.votes, True))
         yield _state_rows(own, totals)
 
     _learned(mixer, texts.mapInArrow(learn, "k int, n double, v double"))
