@@ -17,7 +17,7 @@ table, by gate and by the mix's quantised logit, refines the result adaptively.
 Learning covers every training document. 1. Tokens are counted into a table, which grows with the corpus.
 2. All training texts fill the symbols' slots and all rare training tokens, once each, the spellings'. 3.
 Weights and refinement are learned online over all of them: each partition goes through its texts in
-mini-batches, every bit seen with its own occurrence left out of the counts, and the partitions' results are
+mini-batches, every bit seen with its own occurrence left out of a context's counts, and the partitions' results are
 averaged by what they saw. Slots grow with the tokens counted, up to 2**`MOST_BITS` for the two words before and half
 of that for one: what goes to every task is bounded, and where contexts outgrow it the gates' weights say so.
 
@@ -53,6 +53,8 @@ STEPS = np.array([1, 3, 10, 40])
 PLACES = 3
 GATES = PLACES * (len(STEPS) + 1) ** 2
 BUCKETS = 33
+#: Least curvature of a weight: a gate that few bits reach learns slowly and doesn't overshoot.
+LEAST_CURVE = 16.0
 END = U(0x656E64)
 _SPREAD, _NODE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 U32 = np.uint32
@@ -137,8 +139,10 @@ class Mixer:
         half = bit.astype(U32) << U32(4)
         for t, s in enumerate(slots):
             both = self.slots.take(s)
-            # Less the bit itself, which is in one of the halves.
-            both -= ((both >> half & U32(65535)) > 0).astype(U32) << half
+            if t or hint is None:
+                # Less the bit itself, which is in one of the halves. Not without a context: codes are made from these counts,
+                # so zeros and ones are nearly equal, and what a bit leaves behind would tell it.
+                both -= ((both >> half & U32(65535)) > 0).astype(U32) << half
             zeros, ones = both & U32(65535), both >> U32(16)
             x.append(_LOG.take(ones) - _LOG.take(zeros))
             if t >= self.tables - 2:
@@ -155,7 +159,7 @@ class Mixer:
             # The curvature changes slowly: it is measured in every fourth batch, for the four.
             curve = p * (1 - p)
             for t in range(self.tables + 1):
-                self.curve[:, t] = 0.92 * self.curve[:, t] + 4 * np.bincount(gate, curve * x[t] * x[t], GATES)
+                self.curve[:, t] = np.maximum(0.92 * self.curve[:, t] + 4 * np.bincount(gate, curve * x[t] * x[t], GATES), LEAST_CURVE)
         self.turn += 1
         for t in range(self.tables + 1):
             self.weights[:, t] += np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
@@ -223,6 +227,19 @@ class Symbols:
         self.nodes, self.bits = len(codes), bits
         self.slots = self.nodes + (1 << bits - 1)
 
+    @property
+    def node(self) -> np.ndarray:
+        return (self.code >> 1).astype(np.int64)
+
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.code & 1).astype(np.uint8)
+
+    @property
+    def salt(self) -> np.ndarray:
+        """What a node adds to a context."""
+        return (self.node + 1).view(U) * _NODE
+
     def find(self, h: np.ndarray) -> np.ndarray:
         if not len(self.sorted):
             return np.zeros(len(h), np.int64)
@@ -480,7 +497,7 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
 
     counted, votes = _counts(texts.coalesce(tasks).mapInArrow(fill, "k long, t int, w int, n binary"), symbols.slots, 1 << symbols.bits)
     plain = np.zeros((2, symbols.nodes))
-    np.add.at(plain, (symbols.code & 1, symbols.code >> 1), np.repeat([*counts, n_all - sum(counts)], symbols.length))
+    np.add.at(plain, (symbols.bit, symbols.node), np.repeat([*counts, n_all - sum(counts)], symbols.length))
     counted[:, : symbols.nodes] = plain
     mixer = Mixer(counted, 3, votes)
     start = spark.sparkContext.broadcast(mixer)

@@ -436,6 +436,21 @@ def test_lm_reads_the_words_before(spark):
     assert got[1000].score > got[1001].score + 10 and got[1000].score > got[1000].base_score + 10
 
 
+def test_lm_weights_stay_bounded():
+    """Gates that few bits reach after many batches without them, and codes without a context whose bits nearly balance."""
+    r = np.random.default_rng(3)
+    slots = 64
+    m = lm_scoring.Mixer(r.integers(1, 30, (2, slots)).astype(np.float32), 3, np.zeros(16, np.uint32))
+    totals = np.zeros((2, lm_scoring.GATES, lm_scoring.BUCKETS))
+    for turn in range(400):
+        n = 2048 if turn % 97 else 3
+        place = np.full(n, 0 if turn % 97 else 2)
+        bit = r.integers(0, 2, n).astype(np.uint8)
+        hint = np.where(r.random(n) < 0.5, lm_scoring.HINT, -lm_scoring.HINT).astype(np.float32), np.full(n, turn % 5)
+        m.learn([r.integers(0, slots, n), r.integers(0, slots, n)], place, bit, totals, hint)
+    assert np.abs(m.weights).max() < 10
+
+
 def test_empty_tables(none):
     path = P.path("byte_bpe_50k.json")
     assert bpe.encode_decode(none, path).count() == 0
