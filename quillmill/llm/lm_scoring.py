@@ -53,8 +53,8 @@ STEPS = np.array([1, 3, 10, 40])
 PLACES = 3
 GATES = PLACES * (len(STEPS) + 1) ** 2
 BUCKETS = 33
-#: Least curvature of a weight: a gate that few bits reach learns slowly and doesn't overshoot.
-LEAST_CURVE = 16.0
+#: Least curvature of a weight, and of a bit: a gate that few bits reach learns slowly and doesn't overshoot.
+LEAST_CURVE, LEAST_BIT = 16.0, np.float32(0.05)
 END = U(0x656E64)
 _SPREAD, _NODE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 U32 = np.uint32
@@ -155,9 +155,9 @@ class Mixer:
         p = 1 / (1 + np.exp(-np.clip(z, -11, 11)))
         error = bit - p
         x.append(np.ones(len(z), np.float32))
-        if self.turn % 4 == 0:
-            # The curvature changes slowly: it is measured in every fourth batch, for the four.
-            curve = p * (1 - p)
+        if self.turn % 4 == 0 or (np.bincount(gate, minlength=GATES) > self.curve[:, self.tables]).any():
+            # The curvature changes slowly: it is measured in every fourth batch, for the four, and where a gate has many bits at once.
+            curve = np.maximum(p * (1 - p), LEAST_BIT)  # sure bits count, too: a wrong one moves the weights by little
             for t in range(self.tables + 1):
                 self.curve[:, t] = np.maximum(0.92 * self.curve[:, t] + 4 * np.bincount(gate, curve * x[t] * x[t], GATES), LEAST_CURVE)
         self.turn += 1
