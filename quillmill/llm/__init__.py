@@ -9,12 +9,13 @@ def queries() -> dict:
     from quillmill.llm.lm_scoring import op9_lm_score
     from quillmill.llm.mixing import op1_mixing
     from quillmill.llm.ngram_join import op3_ngram_join
+    from quillmill.llm.periodic_runs import op11_periodic_runs
     from quillmill.llm.sharding import op4_sharding
     from quillmill.llm.substring_dedup import op6_substring_dedup
     from quillmill.llm.token_files import op7_token_files
     from quillmill.llm.topk import op5_topk
 
-    found = (op1_mixing, op2_exact_dedup, op3_ngram_join, op4_sharding, op5_topk, op6_substring_dedup, op7_token_files, op8_language_id, op9_lm_score, op10_bpe)
+    found = (op1_mixing, op2_exact_dedup, op3_ngram_join, op4_sharding, op5_topk, op6_substring_dedup, op7_token_files, op8_language_id, op9_lm_score, op10_bpe, op11_periodic_runs)
     return {f.__name__: f for f in found}
 
 
