@@ -14,8 +14,9 @@ def queries() -> dict:
     from quillmill.llm.substring_dedup import op6_substring_dedup
     from quillmill.llm.token_files import op7_token_files
     from quillmill.llm.topk import op5_topk
+    from quillmill.llm.url_filter import op12_url_filter
 
-    found = (op1_mixing, op2_exact_dedup, op3_ngram_join, op4_sharding, op5_topk, op6_substring_dedup, op7_token_files, op8_language_id, op9_lm_score, op10_bpe, op11_periodic_runs)
+    found = (op1_mixing, op2_exact_dedup, op3_ngram_join, op4_sharding, op5_topk, op6_substring_dedup, op7_token_files, op8_language_id, op9_lm_score, op10_bpe, op11_periodic_runs, op12_url_filter)
     return {f.__name__: f for f in found}
 
 
