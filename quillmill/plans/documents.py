@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import text as T
 from quillmill.operators import spans as S
+from quillmill.operators.quotes import anchor_quotes
+from quillmill.operators.terms import find_terms
 from quillmill.plans.registry import query
 from quillmill.sources.tables import table
 
@@ -278,25 +280,38 @@ def jaccard_pairs(spark, d):
     return both.select("doc_id", "item_id", T.jaccard(F.col("ws"), F.col("vs")).alias("j")).where("j >= 0.2").select("doc_id", "item_id", F.round("j", 6).alias("jaccard"))
 
 
-@query("""WITH b AS (SELECT item_id, text AS q, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS nq FROM benchmark),
-t AS (SELECT doc_id, text, regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g') AS nt FROM documents)
-SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' WHEN contains(lower(text), lower(q)) THEN 'case' ELSE 'space' END AS method, instr(nt, nq)::BIGINT AS found_at FROM t, b WHERE contains(nt, nq)""")
+@query(r"""WITH b AS (SELECT item_id, q, lower(q) AS lq, array_to_string(list_transform(list_filter(string_split_regex(q, '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+') AS p
+  FROM (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM benchmark) WHERE q <> ''),
+t AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+h AS (SELECT *, CASE WHEN contains(text, q) THEN 'exact' WHEN contains(low, lq) THEN 'case_insensitive' WHEN regexp_matches(text, p) THEN 'whitespace' ELSE 'whitespace_case_insensitive' END AS method FROM t, b WHERE regexp_matches(low, lower(p))),
+s AS (SELECT item_id, doc_id, method, CASE method WHEN 'exact' THEN q WHEN 'case_insensitive' THEN lq WHEN 'whitespace' THEN regexp_extract(text, p) ELSE regexp_extract(low, lower(p)) END AS found, CASE WHEN method IN ('exact', 'whitespace') THEN text ELSE low END AS place FROM h)
+SELECT item_id, doc_id, method, (instr(place, found) - 1)::INTEGER AS start_at, (instr(place, found) - 1 + length(found))::INTEGER AS end_at FROM s""")
 def quote_anchor(spark, d):
-    """Where a whole quote stands in a document: exactly, but for case, or but for case and white space. A shared word narrows the candidates first."""
-    space = lambda c: F.regexp_replace(F.lower(c), r"[ \t\r\n]+", " ")
-    docs = table(spark, d, "documents").select("doc_id", "text", space("text").alias("nt"))
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), F.trim(space("text")).alias("nq"))
-    # The first and last word may be part of a longer one in a document; a quote without others meets all documents.
-    inner = F.split("nq", " ")
-    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
-    keyed = quotes.withColumn("w", F.try_element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
-    # Only quotes' words leave the documents; texts come back for the matching documents.
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("nt", " "))).alias("w"))
-    near = words.join(keyed, "w").select("doc_id", "item_id")
-    near = near.unionByName(docs.select("doc_id").crossJoin(keyed.where("w IS NULL").select("item_id")))
-    both = near.join(docs, "doc_id").join(quotes, "item_id").where(F.contains("nt", F.col("nq")))
-    method = F.when(F.contains("text", F.col("q")), "exact").when(F.contains(F.lower("text"), F.lower("q")), "case").otherwise("space")
-    return both.select("item_id", "doc_id", method.alias("method"), big(F.expr("instr(nt, nq)")).alias("found_at"))
+    """Where the quotes of `benchmark` stand in documents: exactly, but for case, or but for white space."""
+    found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark")).where("method <> 'fuzzy'")
+    return found.select("item_id", "doc_id", "method", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query(None)
+def quote_anchor_fuzzy(spark, d):
+    """Quotes of `benchmark` whose closest window in a document has a partial ratio of 90 or more, none of the other tiers fitting."""
+    found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark")).where("method = 'fuzzy'")
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+_LOW = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT {_LOW.format(c='w')} AS term FROM (SELECT p_name AS w FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')) FROM benchmark) WHERE w <> ''),
+x AS (SELECT doc_id, {_LOW.format(c='text')} AS low FROM documents)
+SELECT doc_id, term, ((length(low) - length(replace(low, term, ''))) / length(term))::BIGINT AS hits, (instr(low, term) - 1)::INTEGER AS first_at FROM x JOIN t ON contains(low, term)""")
+def dictionary_terms(spark, d):
+    """How often and where first each document has the terms of a dictionary of part names and benchmark words, case apart."""
+    part, items = table(spark, d, "part"), table(spark, d, "benchmark")
+    names = part.select(F.col("p_name").alias("term")).unionByName(part.select(F.explode(F.split("p_name", " ")).alias("term")))
+    terms = names.unionByName(items.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("term")))
+    found = find_terms(table(spark, d, "documents"), terms)
+    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"), F.min("start").alias("first_at"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha, substr(md5(doc_id::VARCHAR || ':' || source), 1, 12) AS short_id FROM documents")
