@@ -35,7 +35,11 @@ def mask(c: Column, pattern: str, fill: str = " ") -> Column:
 
 def strip_tags(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    c = F.regexp_replace(c, r"<[^>]*>", " ")
+    # A tag is from a "<" to the next ">": cut at each ">" first, so that a text of many "<" is read once.
+    parts = F.split(c, ">", -1)
+    open_at = lambda p: F.instr(p, "<")
+    closed = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.when(open_at(p) > 0, F.concat(F.substring_index(p, "<", 1), F.lit(" "))).otherwise(F.concat(p, F.lit(">"))))
+    c = F.concat(F.array_join(closed, ""), F.element_at(parts, -1))
     return strip_all(F.regexp_replace(c, r"\s+", " "))
 
 

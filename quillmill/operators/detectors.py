@@ -6,34 +6,16 @@ its data by a word before it ("MRN: ..."); its span is that of the capture group
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.operators.spans import Detector, folded, found
+
 # Day patterns, detectors with their confidences, and the priority of types.
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _NUMERIC = r"(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:\d{4}|\d{2})"
 _WORDED = _MONTH + r"\s+\d{1,2},?\s+\d{2,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: A word's edge where only ASCII letters, digits and "_" are of words; Java's own takes in other letters.
-_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-
-
-@dataclass(frozen=True)
-class Detector:
-    type: str
-    pattern: str
-    confidence: float
-    group: int = 0
-    #: A text without this needn't be searched.
-    holds: str = ""
-
-    @property
-    def java(self) -> str:
-        return self.pattern.replace(r"\b", _EDGE)
-
 
 DETECTORS = (
     Detector("EMAIL", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.98, holds="@"),
@@ -51,51 +33,32 @@ DETECTORS = (
 )
 PRIORITY = {"SSN": 100, "MRN": 95, "ACCOUNT": 90, "EMAIL": 85, "PHONE": 80, "DATE": 70, "IP": 60, "URL": 50}
 
-SPAN = "struct<start:int,end:int,type:string,confidence:double>"
-
-
-def _spans(text: Column, d: Detector) -> Column:
-    hits, groups = F.regexp_extract_all(text, F.lit(d.java), F.lit(0)), F.regexp_extract_all(text, F.lit(d.java), F.lit(d.group))
-    gaps = F.slice(F.split(text, d.java, -1), F.lit(1), F.size(hits))
-    zipped = F.arrays_zip(hits.alias("m"), groups.alias("c"), gaps.alias("g"))
-
-    def step(a: Column, x: Column) -> Column:
-        # A group is the end of its match in every detector.
-        end = a["at"] + F.length(x["g"]) + F.length(x["m"])
-        span = F.struct((end - F.length(x["c"])).alias("start"), end.alias("end"), F.lit(d.type).alias("type"), F.lit(d.confidence).alias("confidence"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
+SPAN = {"start": "int", "end": "int", "type": "string", "confidence": "double"}
 
 
 def detect(text: Column, detectors: tuple[Detector, ...] = DETECTORS) -> Column:
-    """All spans of all detectors by start, the longer first. Null and empty texts have none."""
-    found = [F.when((text.contains(d.holds) if d.holds else F.lit(True)) & text.rlike(d.java), _spans(text, d)) for d in detectors]
-    every = F.flatten(F.array_compact(F.array(*found)))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
-    return F.array_sort(every, order)
+    """All spans of all detectors by start, the longer first. Empty texts have none, null ones null."""
+    return F.transform(found(text, detectors), lambda s: F.struct(*[s[k].alias(k) for k in SPAN]))
 
 
-def _stronger(a: Column, b: Column) -> Column:
-    """Whether b is stronger than a: by confidence, then the type's priority, then length."""
-    rank = lambda s: reduce(lambda c, x: c.when(s["type"] == x[0], x[1]), PRIORITY.items(), F.when(F.lit(False), 0)).otherwise(0)
-    key = lambda s: F.struct(s["confidence"].alias("c"), rank(s).alias("p"), (s["end"] - s["start"]).alias("n"))
-    return key(b) > key(a)
+def _strength(s: tuple) -> tuple:
+    return s[3], PRIORITY.get(s[2], 0), s[1] - s[0]
 
 
-def merge_strongest(spans: Column) -> Column:
-    """Ordered spans that overlap or touch become one, with the type and confidence of the strongest."""
+def _strongest(spans: list[tuple]) -> list[tuple]:
+    kept: list[tuple] = []
+    for s in spans:
+        if not kept or s[0] > kept[-1][1]:
+            kept.append(s)
+            continue
+        old = kept[-1]
+        kept[-1] = (old[0], max(old[1], s[1]), s[2] if _strength(s) > _strength(old) else old[2], max(old[3], s[3]))
+    return kept
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        joined = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.when(_stronger(last, s), s["type"]).otherwise(last["type"]).alias("type"),
-            F.greatest(last["confidence"], s["confidence"]).alias("confidence"))
-        apart = (F.size(kept) == 0) | (s["start"] > last["end"])
-        return F.when(apart, F.concat(kept, F.array(s))).otherwise(F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(joined)))
 
-    return F.aggregate(spans, F.array().cast(f"array<{SPAN}>"), step)
+def merge_strongest(spans: Column) -> Column:
+    """Ordered spans that overlap or touch become one, with the type and confidence of the strongest: by confidence, then the type's priority, then length."""
+    return folded(spans, _strongest, SPAN)
 
 
 def span_id(*parts: Column) -> Column:

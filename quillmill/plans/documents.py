@@ -280,20 +280,34 @@ def jaccard_pairs(spark, d):
     return both.select("doc_id", "item_id", T.jaccard(F.col("ws"), F.col("vs")).alias("j")).where("j >= 0.2").select("doc_id", "item_id", F.round("j", 6).alias("jaccard"))
 
 
+@query("""WITH b AS (SELECT item_id, text AS q, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS nq FROM benchmark),
+t AS (SELECT doc_id, text, regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g') AS nt FROM documents)
+SELECT item_id, doc_id, CASE WHEN contains(text, q) THEN 'exact' WHEN contains(lower(text), lower(q)) THEN 'case' ELSE 'space' END AS method, instr(nt, nq)::BIGINT AS found_at FROM t, b WHERE nq <> '' AND contains(nt, nq)""")
+def quote_anchor(spark, d):
+    """Which documents hold a whole quote: exactly, but for case, or but for case and white space; an automaton over all quotes finds them."""
+    space = lambda c: F.regexp_replace(F.lower(c), r"[ \t\r\n]+", " ")
+    docs = table(spark, d, "documents").select("doc_id", "text", space("text").alias("nt"))
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), F.trim(space("text")).alias("nq"))
+    found = find_terms(docs, quotes, text_col="nt", term_col="nq", fold=False).groupBy("doc_id", "term").agg(F.min("start").alias("first"))
+    both = found.join(quotes, F.col("term") == F.col("nq")).join(docs.select("doc_id", "text"), "doc_id")
+    method = F.when(F.contains("text", F.col("q")), "exact").when(F.contains(F.lower("text"), F.lower("q")), "case").otherwise("space")
+    return both.select("item_id", "doc_id", method.alias("method"), big(F.col("first") + 1).alias("found_at"))
+
+
 @query(r"""WITH b AS (SELECT item_id, q, lower(q) AS lq, array_to_string(list_transform(list_filter(string_split_regex(q, '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+') AS p
   FROM (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM benchmark) WHERE q <> ''),
 t AS (SELECT doc_id, text, lower(text) AS low FROM documents),
 h AS (SELECT *, CASE WHEN contains(text, q) THEN 'exact' WHEN contains(low, lq) THEN 'case_insensitive' WHEN regexp_matches(text, p) THEN 'whitespace' ELSE 'whitespace_case_insensitive' END AS method FROM t, b WHERE regexp_matches(low, lower(p))),
 s AS (SELECT item_id, doc_id, method, CASE method WHEN 'exact' THEN q WHEN 'case_insensitive' THEN lq WHEN 'whitespace' THEN regexp_extract(text, p) ELSE regexp_extract(low, lower(p)) END AS found, CASE WHEN method IN ('exact', 'whitespace') THEN text ELSE low END AS place FROM h)
 SELECT item_id, doc_id, method, (instr(place, found) - 1)::INTEGER AS start_at, (instr(place, found) - 1 + length(found))::INTEGER AS end_at FROM s""")
-def quote_anchor(spark, d):
+def quote_places(spark, d):
     """Where the quotes of `benchmark` stand in documents: exactly, but for case, or but for white space."""
     found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark")).where("method <> 'fuzzy'")
     return found.select("item_id", "doc_id", "method", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 @query(None)
-def quote_anchor_fuzzy(spark, d):
+def quote_places_fuzzy(spark, d):
     """Quotes of `benchmark` whose closest window in a document has a partial ratio of 90 or more, none of the other tiers fitting."""
     found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark")).where("method = 'fuzzy'")
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("start").alias("start_at"), F.col("end").alias("end_at"))
