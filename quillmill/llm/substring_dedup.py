@@ -8,9 +8,9 @@ document (of the first and last in all, and the nearest in the batch, those know
 Of each chunk the first occurrence (smallest id, then place) stays.
 
 A passage's first 15 bytes and what lies before its first and after its last cut are in no whole chunk of
-it. So a run of fewer than `min_words` words is extended to both sides, to whole words, as far as its bytes equal those
+it. So a run is extended to both sides, to whole words, as far as its bytes equal those
 beside the first occurrence of its outer chunk (for the first occurrence itself: beside the last), at most
-`REACH` bytes and not into another run, and is then held against `min_words`. A passage without two cuts
+`REACH` bytes (what agrees for longer has whole chunks of its own) and not into another run, and is then held against `min_words`. A passage without two cuts
 has no whole chunk and isn't found: recall by length is measured in the tests and stated in the README.
 
 Copies inside a batch are combined before the shuffle: one row for a digest leaves a batch, the others are
@@ -93,10 +93,10 @@ VALUE_CASED = VALUE.copy()
 VALUE_CASED[65:91] = mix(np.arange(1, 27, dtype=U) + U(0xCA5ED)) | U(1)
 
 _SCHEMA = "doc long, begin int, end int, digest long, words int, docs int, peer struct<doc: long, begin: int>, near struct<doc: long, begin: int>"
-#: Bytes that are compared on each side of a short run.
+#: Bytes that are compared on each side of a run.
 REACH = 512
-#: Shorter repeats aren't reported: they often lack a whole chunk, and recall would be low.
-MIN_WORDS = 25
+#: Shorter repeats aren't reported; those of up to 30 words may lack a whole chunk and be missed, see the README.
+MIN_WORDS = 15
 
 
 def _chunked(average: int, shortest: int, holders: bool):
@@ -143,7 +143,7 @@ def _chunked(average: int, shortest: int, holders: bool):
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (key, own bytes, other bytes, backwards?, to the text's end?): (key, bytes that agree, cut to whole words, words begun in them).
+    """For (key, own bytes, other bytes, backwards?, to the text's end?): (key, bytes that agree, cut to whole words, words begun in them; -1 for a last word of the run that isn't whole).
 
     Forwards the bytes before are the last of the run, which counts for nothing but whether a word begins.
     """
@@ -169,29 +169,31 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n = int(at[-1]) if len(at) else 0
                 ink = ~gap[:n]
                 begun = int((ink[1:] & ~ink[:-1]).sum())
+                if not n and len(a) > 1 and not SPACE[a[:2]].any():
+                    begun = -1  # the run ends inside a word, which isn't whole in both
                 n = max(0, n - 1)
             size.append(n)
             words.append(begun)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(words, pa.int32())], ["key", "size", "begun"])
 
 
-def _extended(short: DataFrame, rows: DataFrame, text_col: str, min_words: int) -> DataFrame:
-    """The short runs that have `min_words` words once extended."""
+def _extended(runs: DataFrame, rows: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """The runs, extended, that have `min_words` words then."""
     texts = rows.select(F.col("doc").alias("_doc"), F.col(text_col).cast("binary").alias("_raw"))
     have = F.octet_length("_raw")
-    kind = short.schema["key"].dataType.simpleString()
+    kind = runs.schema["key"].dataType.simpleString()
     result = f"key {kind}, size int, begun int"
     room_left = F.least(F.lit(REACH), F.col("begin") - F.coalesce("before", F.lit(0)))
     room_right = F.least(F.lit(REACH), F.coalesce("after", have) - F.col("end"))
-    own = short.join(texts, F.col("key.doc") == F.col("_doc")).select(
+    own = runs.join(texts, F.col("key.doc") == F.col("_doc")).select(
         "key", "left", "right", F.substr("_raw", F.col("begin") - room_left + 1, room_left).alias("a"), (room_left == F.col("begin")).alias("a_whole"),
         F.substr("_raw", F.col("end"), room_right + 1).alias("b"), (F.col("end") + room_right == have).alias("b_whole"))
     size = F.least(F.octet_length("a"), F.col("left.begin"))
     lefts = own.join(texts, F.col("left.doc") == F.col("_doc")).select("key", "a", F.substr("_raw", F.col("left.begin") - size + 1, size).alias("o"), F.lit(True).alias("back"), "a_whole").mapInArrow(_agree, result)
     rights = own.join(texts, F.col("right.doc") == F.col("_doc")).select("key", "b", F.substr("_raw", F.col("right.end"), F.octet_length("b")).alias("o"), F.lit(False).alias("back"), "b_whole").mapInArrow(_agree, result)
     # Rows with equal ids: the most that any of them gives.
-    best = lambda df, n: df.where("size > 0").groupBy("key").agg(F.max(F.struct("size", "begun")).alias(n))
-    grown = short.join(best(lefts, "l"), "key", "left").join(best(rights, "r"), "key", "left")
+    best = lambda df, n: df.where("size > 0 OR begun < 0").groupBy("key").agg(F.max(F.struct("size", "begun")).alias(n))
+    grown = runs.join(best(lefts, "l"), "key", "left").join(best(rights, "r"), "key", "left")
     l, r = F.coalesce("l.size", F.lit(0)), F.coalesce("r.size", F.lit(0))  # noqa: E741
     n = F.col("n_words") + F.coalesce("l.begun", F.lit(0)) + F.coalesce("r.begun", F.lit(0))
     span = lambda gone, b, e: F.when(gone & (e > b), F.array(F.struct(b.alias("begin"), e.alias("end")))).otherwise(F.expr("array()").cast("array<struct<begin:int,end:int>>"))
@@ -202,7 +204,7 @@ def _extended(short: DataFrame, rows: DataFrame, text_col: str, min_words: int)
         F.concat(span(F.col("gone_left"), b - l, b), "spans", span(F.col("gone_right"), e, e + r)).alias("spans"))
 
 
-def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, average: int = 20, shortest: int = 8, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per run of repeated chunks: the id, begin, end (bytes), n_words, n_chunks, removed_bytes, kept."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col))
     meet = Window.partitionBy("digest")
@@ -224,9 +226,7 @@ def repeated_runs(docs: DataFrame, average: int = 32, shortest: int = 8, min_wor
         F.min_by("at", "begin").alias("left"), F.max_by(ends_at, "begin").alias("right"), F.min_by("gone", "begin").alias("gone_left"), F.max_by("gone", "begin").alias("gone_right"))
     beside = Window.partitionBy("doc").orderBy("run")
     runs = stored(runs.withColumn("before", F.lag("end").over(beside)).withColumn("after", F.lead("begin").over(beside)))
-    found = runs.where(F.col("n_words") >= min_words).drop("run", "left", "right", "gone_left", "gone_right", "before", "after")
-    short = runs.where(F.col("n_words") < min_words).withColumn("key", F.struct("doc", "run")).drop("doc", "run")
-    found = found.unionByName(_extended(short, rows, text_col, min_words))
+    found = _extended(runs.withColumn("key", F.struct("doc", "run")).drop("doc", "run"), rows, text_col, min_words)
     return found.select(F.col("doc").alias(id_col), "begin", "end", "n_words", "n_chunks", "removed_bytes", (F.col("removed_bytes") == 0).alias("kept"), F.array_sort("spans").alias("spans"))
 
 
