@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillmill.functions import enums
@@ -53,24 +55,32 @@ def json_deep_merge(spark, d):
     return out.select("event_id", *[J.get(F.col("r"), p).alias(n) for n, p in named.items()])
 
 
-#: Raw texts that the enum query deals over the orders: every phrase of a field, one in a sentence, and two that mean nothing.
+#: Raw texts that the enum query deals over the orders: a field's phrases, each rule's fragments in a sentence, and texts that mean nothing.
 def _raw(field: str) -> list[str]:
-    phrases = [p for p, _, _ in enums.rules(field)]
-    return [*phrases, f"  Patient: {phrases[-1].upper()} as noted ", "N/A", "unclear"]
+    own = enums.FIELDS[field]
+    held = [" and ".join(f.lstrip("~^").replace("\\b", "") for f in alternative) for _, alternatives in own.rules for alternative in alternatives]
+    return [*own.phrases, *held, *(f"  Patient: {h.upper()} as noted\n" for h in held), *(f"{p} again" for p in own.phrases), "N/A", "unclear", " "]
 
 
 def _enum_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    raw = ", ".join(f"({quote(f)}, {i}, {len(_raw(f))}, {quote(t)})" for f in enums.FIELDS for i, t in enumerate(_raw(f)))
-    rule = ", ".join(f"({quote(f)}, {i}, {quote(p)}, {whole}, {quote(v)})" for f in enums.FIELDS for i, (p, whole, v) in enumerate(enums.rules(f)))
-    nothing = ", ".join(map(quote, enums.NOTHING))
+    each = lambda rows: ", ".join(f"({', '.join(r)})" for r in rows)
+    fragments = lambda x: "[" + ", ".join(map(quote, x)) + "]"
+    raw = each((quote(f), str(i), str(len(_raw(f))), quote(t)) for f in enums.FIELDS for i, t in enumerate(_raw(f)))
+    phrase = each((quote(f), quote(p), quote(v)) for f, own in enums.FIELDS.items() for p, v in own.phrases.items())
+    rule = each((quote(f), str(i), fragments(x), quote(v)) for f, own in enums.FIELDS.items() for i, (v, x) in enumerate((v, x) for v, many in own.rules for x in many))
+    never = each((quote(f), fragments(x)) for f, own in enums.FIELDS.items() for x in own.never)
+    nothing = each((quote(f), quote(x)) for f, own in enums.FIELDS.items() for x in own.nothing)
+    default = each((quote(f), quote("itself" if own.default == enums.ITSELF else own.default)) for f, own in enums.FIELDS.items() if own.default)
+    holds = "len(list_filter(frags, lambda f: NOT CASE WHEN starts_with(f, '~') THEN regexp_matches(t.txt, substr(f, 2)) ELSE contains(t.txt, f) END)) = 0"
     return f"""
-    WITH raw(field, i, n, txt) AS (VALUES {raw}), rule(field, pos, phrase, whole, val) AS (VALUES {rule}),
-    meant AS (
-        SELECT raw.field, raw.i, raw.n, min_by(rule.val, rule.pos) AS val
-        FROM raw LEFT JOIN rule ON raw.field = rule.field AND lower(trim(txt)) NOT IN ({nothing})
-            AND CASE WHEN whole THEN lower(trim(txt)) = phrase ELSE contains(lower(trim(txt)), phrase) END
-        GROUP BY ALL)
+    WITH raw(field, i, n, own) AS (VALUES {raw}), phrase(field, txt, val) AS (VALUES {phrase}), rule(field, pos, frags, val) AS (VALUES {rule}), never(field, frags) AS (VALUES {never}),
+    nothing(field, txt) AS (VALUES {nothing}), fallback(field, val) AS (VALUES {default}),
+    t AS (SELECT field, i, n, regexp_replace(own, '^\\s+|\\s+$', '', 'g') AS kept, lower(kept) AS txt FROM raw),
+    held AS (SELECT t.field, i, min_by(val, pos) AS val FROM t JOIN rule ON t.field = rule.field AND {holds} GROUP BY ALL),
+    meant AS (SELECT t.field, t.i, n, CASE WHEN (t.field, t.txt) IN (SELECT (field, txt) FROM nothing) OR EXISTS (SELECT 1 FROM never WHERE never.field = t.field AND {holds}) THEN NULL
+        ELSE coalesce(phrase.val, held.val, CASE WHEN fallback.val = 'itself' THEN kept ELSE fallback.val END) END AS val
+        FROM t LEFT JOIN phrase ON phrase.field = t.field AND phrase.txt = t.txt LEFT JOIN held ON held.field = t.field AND held.i = t.i LEFT JOIN fallback ON fallback.field = t.field)
     SELECT field, val AS "value", count(*) AS n FROM orders JOIN meant ON o_orderkey % meant.n = meant.i GROUP BY ALL
     """
 
@@ -79,10 +89,8 @@ def _enum_sql() -> str:
 def clinical_enums(spark, d):
     """Each enum field over raw texts dealt by order: how often each allowed value is meant."""
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
-
-    def one(field: str):
-        texts = F.array(*map(F.lit, _raw(field)))
-        raw = F.element_at(texts, (F.col("o_orderkey") % len(_raw(field)) + 1).cast("int"))
-        return F.struct(F.lit(field).alias("field"), enums.canonical(field, raw).alias("value"))
-
-    return orders.select(F.inline(F.array(*map(one, enums.FIELDS)))).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    dealt = F.array(*[F.struct(F.lit(f).alias("field"), F.element_at(F.array(*map(F.lit, _raw(f))), (F.col("o_orderkey") % len(_raw(f)) + 1).cast("int")).alias("raw")) for f in enums.FIELDS])
+    # Texts repeat: each is made canonical once.
+    texts = orders.select(F.inline(dealt)).groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
+    meant = reduce(lambda c, f: c.when(F.col("field") == f, enums.canonical(f, F.col("raw"))), enums.FIELDS, F.when(F.lit(False), F.lit(None).cast("string")))
+    return texts.select("field", meant.alias("value"), "n").groupBy("field", "value").agg(F.sum("n").alias("n"))

@@ -156,7 +156,7 @@ def test_json_paths(spark):
 def test_clinical_enums(spark):
     from quillmill.functions import enums
 
-    cases = [("sedation_type", " Conscious Sedation ", "Moderate"), ("sedation_type", "MAC", "MAC"), ("airway_type", "8.0 endotracheal tube", "ETT"), ("pleural_side", "RT", "Right"),
-             ("stent_type", "uncovered metal stent", "Metallic-Uncovered"), ("ventilation_mode", "N/A", None), ("disposition", "something else", None), ("disposition", None, None), ("final_diagnosis", "adenocarcinoma", "Malignancy")]
+    cases = [("sedation_type", " Conscious Sedation ", "Moderate"), ("sedation_type", "MAC", "MAC"), ("airway_type", "8.0 endotracheal tube", "Tracheostomy"), ("pleural_side", "RT", "Right"),
+             ("stent_type", "uncovered metal stent", "Metallic-Covered"), ("ventilation_mode", "N/A", None), ("disposition", "something else", None), ("disposition", None, None), ("final_diagnosis", "adenocarcinoma", "Malignancy")]
     for field, raw, value in cases:
         assert spark.range(1).select(enums.canonical(field, F.lit(raw).cast("string")).alias("v")).first().v == value, (field, raw)
