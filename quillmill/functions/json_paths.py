@@ -6,27 +6,18 @@ all below it. Null maps stay null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.json_docs import json_leaves
+
 
-def leaves(df: DataFrame, key: str, json: str, most_depth: int = 4) -> DataFrame:
-    """(key, path, value) of all leaves of a JSON column; what lies deeper than `most_depth` stays JSON text.
+def leaves(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value) of all leaves of a JSON column, at any depth; keys in paths are escaped as in JSON pointers.
 
     Text that isn't JSON and null have no leaves; empty objects and arrays have none either.
     """
-    spark, out = df.sparkSession, []
-    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL")
-    for depth in range(most_depth):
-        kind = F.schema_of_variant("v")
-        inner = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
-        out.append(level.where(~inner))
-        nested = level.where(inner).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "item"))
-        level = nested.select(key, F.concat("path", F.lit("/"), F.coalesce("name", F.col("pos").cast("string"))).alias("path"), F.col("item").alias("v"))
-    out.append(level)
-    return reduce(DataFrame.unionByName, [x.select(key, "path", F.col("v").cast("string").alias("value")) for x in out])
+    return df.select(key, F.inline(json_leaves(F.col(json))))
 
 
 def under(path: Column, top: str) -> Column:
@@ -45,17 +36,21 @@ def remove(record: Column, path: str) -> Column:
     return F.map_filter(record, lambda k, _: ~under(k, path))
 
 
+def _clear(record: Column, path: str) -> Column:
+    """The record without what is at and below a path, and without leaves above it."""
+    above = [path[:i] for i in range(1, len(path)) if path[i] == "/"]
+    return F.map_filter(record, lambda k, _: ~under(k, path) & ~k.isin(above) if above else ~under(k, path))
+
+
 def put(record: Column, path: str, value: Column) -> Column:
     """The record with one leaf there, instead of all below it and of leaves above it."""
-    above = [path[:i] for i in range(1, len(path)) if path[i] == "/"]
-    kept = F.map_filter(record, lambda k, _: ~under(k, path) & ~k.isin(above) if above else ~under(k, path))
-    return F.map_concat(kept, F.create_map(F.lit(path), value.cast("string")))
+    return F.map_concat(_clear(record, path), F.create_map(F.lit(path), value.cast("string")))
 
 
 def copy(record: Column, source: str, target: str) -> Column:
     part = F.map_filter(record, lambda k, _: under(k, source))
     moved = F.transform_keys(part, lambda k, _: F.concat(F.lit(target), F.substring(k, len(source) + 1, 1 << 30)))
-    return F.when(has(record, source), F.map_concat(remove(record, target), moved)).otherwise(record)
+    return F.when(has(record, source), F.map_concat(_clear(record, target), moved)).otherwise(record)
 
 
 def patch(record: Column, steps: list[dict]) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from quillmill.functions import enums
+from quillmill.functions import json_docs as D
 from quillmill.functions import json_paths as J
 from quillmill.plans.registry import query
 
@@ -40,6 +42,20 @@ def json_patch(spark, d):
     return out.select("event_id", *[J.get(F.col("r"), p).alias(n) for n, p in named.items()], F.size("r").alias("n_leaves"))
 
 
+_STEPS = [{"op": "test", "path": "/type", "value": "purchase"}, {"op": "add", "path": "/tags/1", "value": "new"}, {"op": "add", "path": "/tags/-", "value": {"n": 1.50}}, {"op": "remove", "path": "/tags/0"},
+          {"op": "move", "from": "/p/k~1x", "path": "/k~0"}, {"op": "copy", "from": "/tags/0", "path": "/p/m"}, {"op": "replace", "path": "/day", "value": None}]
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN '["new","b",{"n":1.5}]' ELSE '["a","b"]' END AS tags, CASE WHEN event_type = 'purchase' THEN event_id::VARCHAR END AS moved,
+CASE WHEN event_type = 'purchase' THEN 'new' END AS copied, CASE WHEN event_type <> 'purchase' THEN 'another value at /type' END AS error FROM events""")
+def json_document_patch(spark, d):
+    """A JSON patch with arrays and escaped keys over whole documents; where its test fails the document stays."""
+    doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.struct(F.col("event_id").alias("k/x")).alias("p"), F.date_format("ts", "yyyy-MM-dd").alias("day")))
+    out = _events(spark, d).select("event_id", D.json_patched(doc, F.lit(json.dumps(_STEPS))).alias("r"))
+    at = lambda path: F.get_json_object("r.json", path)
+    return out.select("event_id", at("$.tags").alias("tags"), at("$['k~']").alias("moved"), at("$.p.m").alias("copied"), F.col("r.error").alias("error"))
+
+
 @query("""
 SELECT event_id, event_type AS type, CASE WHEN value < 50 THEN NULL WHEN value >= 90 THEN NULL ELSE json_extract_string(props, '$.k') END AS k,
        CASE WHEN value >= 90 THEN 'top' END AS props, CASE WHEN value < 50 THEN 'low' END AS band

@@ -149,6 +149,8 @@ def test_json_paths(spark):
     whole = {"/a/b": "1", "/a/c": "2", "/ab": "3"}
     assert one(J.patch(m, [{"op": "remove", "path": "/ab"}, {"op": "test", "path": "/a/b", "value": "8"}])) == whole
     assert one(J.patch(m, [{"op": "replace", "path": "/nope", "value": "8"}])) == whole
+    copied = F.create_map(*[F.lit(x) for x in ("/a", "1", "/x", "2")])
+    assert one(J.patch(copied, [{"op": "copy", "from": "/x", "path": "/a/b"}])) == {"/x": "2", "/a/b": "2"}  # a leaf has nothing below it
     other = F.create_map(F.lit("/a"), F.lit("5"), F.lit("/ab"), F.lit(None).cast("string"))
     assert one(J.merge(m, other)) == {"/a": "5"}
 
