@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quillmill.functions import text as T
 from quillmill.operators import bundling as B
 from quillmill.operators import rules as R
+from quillmill.operators.cycles import cycles
 from quillmill.plans.registry import query
 from quillmill.sources.tables import table
 
@@ -140,6 +141,18 @@ def kb_cycle_check(spark, d):
     return spark.sql("WITH RECURSIVE e(a, b) AS (SELECT * FROM VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6)), r(a, b, n) AS (SELECT a, b, 1 FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON r.b = e.a WHERE n < 6) SELECT DISTINCT CAST(a AS BIGINT) AS node FROM r WHERE a = b")
 
 
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),
+e AS (SELECT a, b FROM (SELECT a, b, count(*) AS n FROM l WHERE b IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 2),
+p(path, last) AS (SELECT [a, b], b FROM e WHERE a < b UNION ALL SELECT list_append(path, e.b), e.b FROM p JOIN e ON e.a = p.last WHERE e.b > path[1] AND NOT list_contains(path, e.b) AND len(path) < 6)
+SELECT array_to_string(path, ' -> ') AS cycle, len(path)::INTEGER AS nodes FROM p JOIN e ON e.a = last AND e.b = path[1] UNION ALL SELECT a::VARCHAR, 1 FROM e WHERE a = b""")
+def bundling_cycles(spark, d):
+    """Cycles of up to six suppliers, each of which is among the two that most often follow the one before in an order."""
+    inside = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(inside).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    edges = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where("r <= 2")
+    return cycles(edges, 6).select(F.array_join(F.col("cycle").cast("array<string>"), " -> ").alias("cycle"), F.size("cycle").alias("nodes"))
+
+
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END AS quality, toxic, toxic = 1 AND quality = 1 AS flagged FROM labels")
 def label_constraints(spark, d):
     both = (F.col("toxic") == 1) & (F.col("quality") == 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import bucket_of
 from quillmill.operators import learning as L
 from quillmill.operators import reconcile as C
+from quillmill.operators.stratify import CIRCLE, GOLDEN, stratified_split
 from quillmill.plans.registry import query
 from quillmill.sources.tables import table
 
@@ -87,3 +88,20 @@ def tfidf_lr(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
     model = L.text_classifier(docs.join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id"), "text", "label")
     return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(f"""WITH d AS (SELECT 'g' || (doc_id // 3)::VARCHAR AS unit, list_filter(['quality=' || quality, 'toxic=' || toxic, 'lang=' || lang, 'source=' || source], lambda x: x IS NOT NULL) AS labels FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT unit, count(*) AS weight FROM d GROUP BY unit), c AS (SELECT unit, label, count(*) AS n FROM (SELECT unit, unnest(labels) AS label FROM d) GROUP BY ALL),
+u AS (SELECT unit, list(label ORDER BY label) AS labels, string_agg(label || ':' || n, chr(9) ORDER BY label) AS own FROM c GROUP BY unit),
+l AS (SELECT * FROM (SELECT unit, label, count(*) OVER (PARTITION BY label) AS label_n FROM c) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY label_n, label) = 1),
+x AS (SELECT unit, unnest(flatten(list_transform(labels, lambda a: list_transform(list_filter(labels, lambda b: b > a), lambda b: a || chr(9) || b)))) AS pair FROM u),
+p AS (SELECT * FROM (SELECT unit, pair, count(*) OVER (PARTITION BY pair) AS n FROM x) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n, pair) = 1),
+o AS (SELECT unit, coalesce(sum(weight) OVER (ORDER BY label_n, label, n, pair, own, md5(unit), unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM w JOIN u USING (unit) JOIN l USING (unit) JOIN p USING (unit)),
+s AS (SELECT unit, ((place % {CIRCLE}) * {GOLDEN}) % {CIRCLE} AS spot FROM o)
+SELECT label, CASE WHEN spot < {int(0.7 * CIRCLE)} THEN 'train' WHEN spot < {int(0.85 * CIRCLE)} THEN 'test' ELSE 'held' END AS split, count(*) AS n FROM (SELECT unit, unnest(labels) AS label FROM d) JOIN s USING (unit) GROUP BY ALL""")
+def stratified_labels(spark, d):
+    """Documents split by their labels, languages and sources, groups of three documents whole: rows of each label in each split."""
+    name = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.floor(F.col("doc_id") / 3).alias("unit_no"), F.array_compact(F.array(*map(name, ("quality", "toxic", "lang", "source")))).alias("labels"))
+    split = stratified_split(rows, "unit_no", "labels", {"train": 0.7, "test": 0.15, "held": 0.15})
+    return split.select(F.explode("labels").alias("label"), "split").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))

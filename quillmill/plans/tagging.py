@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import spans as S
 from quillmill.operators import tagging as G
+from quillmill.operators import vault as V
 from quillmill.plans.documents import _span_sql
 from quillmill.plans.registry import query
+from quillmill.sources.shared import stored
 from quillmill.sources.tables import table
 
 #: Words of the tables that stand for protected words and billing words here, as no table has clinical notes.
@@ -80,3 +82,16 @@ def doc_spans_best_of(spark, d):
     """Overlaps of patterns' and tagger's spans resolved; tested against a plain fold."""
     each = labelled_spans(table(spark, d, "documents"), ["doc_id"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*S.LABELLED))).alias("s"))
     return each.select("doc_id", F.inline(S.merged_best_of(F.col("s")))).withColumnsRenamed({"start": "start_at", "end": "end_at"})
+
+
+@query(f"WITH {_span_sql('doc_id')} SELECT entity, CASE WHEN hash_doc % 3 = 0 THEN 'new' ELSE 'old' END AS key_id, count(*) AS opened, count(DISTINCT m) AS texts FROM (SELECT *, doc_id AS hash_doc FROM spans) GROUP BY ALL")
+def vault_round_trip(spark, d):
+    """Personal data sealed, a third of it under another key, and opened again."""
+    found = S.find(table(spark, d, "documents"), "text", S.PII, ["doc_id"]).select("doc_id", F.concat_ws(":", "doc_id", "entity", "start").alias("id"), "entity", "match")
+    # Keys of a fixture: real ones come from a store of secrets.
+    keys = spark.range(2).select(F.when(F.col("id") == 0, "old").otherwise("new").alias("key_id"), F.sha2(F.col("id").cast("string"), 256).alias("h")).select("key_id", F.unhex("h").alias("key"))
+    vault = stored(V.sealed(found, "id", "match", keys, "old"))
+    moved = F.split("id", ":")[0].cast("bigint") % 3 == 0
+    both = V.rotated(vault.where(moved), keys, "new").unionByName(vault.where(~moved))
+    plain = V.opened(both, keys).where("value IS NOT NULL")
+    return plain.groupBy(F.split("id", ":")[1].alias("entity"), "key_id").agg(F.count(F.lit(1)).alias("opened"), F.countDistinct("value").alias("texts"))
