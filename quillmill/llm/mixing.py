@@ -7,10 +7,10 @@ Shares that sum to one make this feasible, so after every slot each source is le
 from its target's share, however long the run. When a source has no blocks left the others go on with
 their weights rescaled: a new phase, which counts from its own start. Nothing is dropped or repeated.
 
-The driver makes the schedule from one count for each source, in time proportional to the blocks, and
-writes it in parts of a bounded size; rows get their slots by an equi-join, with native functions only.
+The driver makes the schedule from one count for each source, in time proportional to the blocks, of which
+there are at most MOST_BLOCKS and one for each source, and writes it in parts of a bounded size; rows get their slots by an equi-join, with native functions only.
 
-Defined results: rows whose source is null form a source of their own, "" on ties of its name; sources
+Defined results: rows whose source is null belong to the source ""; sources
 without a target weight get `default_weight` of the mean; sources whose weight isn't positive follow when
 the others are done, in equal shares; within a source rows follow the hash of their id, then id, then text hash;
 an empty table gives no rows; columns of `docs` stay inside `row`, so no name clashes.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import collect_bounded, gapless_rank, hash64, load, shared_folder
 
 #: A phase begins with a step for each source, so the driver's work grows with the square of their number.
+#: Rows of a block, at least, and blocks, at most, by default.
+LEAST_ROWS, MOST_BLOCKS = 8, 4_000_000
 MOST_SOURCES = 10_000
 #: Slots of the schedule that leave the driver at once.
 PART = 100_000
@@ -102,11 +104,12 @@ def _scheduled(spark: SparkSession, slots: Iterator[tuple], period: int) -> Data
     return spark.read.schema(table.schema).parquet(path)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 8, period: int = 1000, alpha: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int | None = None, period: int = 1000, alpha: float = 0.5, default_weight: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Rows of `docs` as the struct `row`, with source_no, block_no, slot (of the block) and in_block.
 
     Without `weights` a source's weight is its count to the power `alpha`. `period` slots make a row of the
-    schedule on its way to the executors; the result doesn't depend on it.
+    schedule on its way to the executors; the result doesn't depend on it. Blocks have LEAST_ROWS rows, or as many as
+    make MOST_BLOCKS of them, unless `block_rows` says how many.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col), F.lit(""))
@@ -116,6 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     else:
         mean = sum(weights.values()) / max(1, len(weights))
         target = {s: weights.get(s, default_weight * mean) for s, _ in counted}
+    block_rows = block_rows or max(LEAST_ROWS, -(-sum(n for _, n in counted) // MOST_BLOCKS))
     number = {s: i for i, (s, _) in enumerate(counted)}
     blocks = {number[s]: -(-n // block_rows) for s, n in counted}
     slots = _scheduled(spark, schedule(blocks, {number[s]: w for s, w in target.items()}), period)

@@ -103,6 +103,8 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     folder = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
     schema = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(folder)
+    if norm is None:  # no candidates
+        return spark.read.schema(schema).parquet(folder)
 
     def answer(rows: list) -> None:
         ids, q = np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.float64).reshape(len(rows), -1)

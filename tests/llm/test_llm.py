@@ -476,6 +476,98 @@ def test_lm_weights_stay_bounded():
     assert np.abs(m.weights).max() < 10
 
 
+def test_topk_without_candidates(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<float>")
+    assert topk.exact_topk(v.where("vec_id = 2"), v).count() == topk.exact_topk(v.limit(0), v).count() == 0
+
+
+def test_mixing_blocks_follow_the_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 5)
+    got = mixing.mix(docs).select("row.doc_id", "row.source", "source_no", "slot", "in_block").collect()
+    assert sorted(r.doc_id for r in got) == sorted(x[0] for x in made()) and len({r.slot for r in got}) <= 5 + len({r.source_no for r in got})
+    assert len({r.source_no for r in got if not r.source}) <= 1  # null counts as ""
+
+
+OP_COLUMNS = {
+    "op1_mixing": "doc_id bigint, source string, block_no bigint, slot bigint, in_block bigint",
+    "op2_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op3_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op4_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op5_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op7_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op9_lm_score": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    "op10_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+}
+
+
+@pytest.fixture(scope="module")
+def small_dir(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(made(3), SCHEMA).drop("_id", "slot").write.parquet(f"{folder}/documents.parquet")
+    r = random.Random(1)
+    spark.createDataFrame([(i, [r.gauss(0, 0.2) for _ in range(5)], i % 3) for i in range(120)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", list(OP_COLUMNS))
+def test_queries_keep_their_contracts(spark, small_dir, name):
+    """Columns, types and what a brute-force version says of each document."""
+    import quillmill.llm
+
+    got = quillmill.llm.queries()[name](spark, small_dir)
+    want = [tuple(x.split(" ")) for x in OP_COLUMNS[name].split(", ")]
+    assert got.dtypes[: len(want)] == want
+    rows = {r[0]: r for r in got.collect()}
+    texts = {x[0]: x[1] or "" for x in made(3)}
+    if name != "op5_topk":
+        assert rows.keys() == texts.keys()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    if name == "op2_exact_dedup":
+        norm = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t) for d, t in texts.items()}
+        same = {d: [e for e, t in norm.items() if t == norm[d]] for d in norm}
+        assert {d: tuple(r)[:5] for d, r in rows.items()} == {d: (d, min(same[d]), len(same[d]), d == min(same[d]), sha(norm[d])) for d in norm}
+    elif name == "op3_ngram_join":
+        assert sorted(tuple(r)[:3] for r in rows.values()) == brute_components(made(3), 3, 90, 100)
+    elif name == "op4_sharding":
+        raw = {d: t.encode() for d, t in texts.items()}
+        assert all((r["size"], r["text_crc32"]) == (len(raw[d]) + 16, zlib.crc32(raw[d])) and 0 <= r["shard"] < 40 for d, r in rows.items())
+        assert {r["law"] for r in rows.values()} == {"bytes"} and {r["grown_shard"] for r in rows.values()} == {None}
+        for s in {r["shard"] for r in rows.values()}:
+            own = [r["slot"] for r in rows.values() if r["shard"] == s]
+            assert sorted(own) == list(range(len(own)))
+    elif name == "op5_topk":
+        assert {(r["query_id"], r["rank"]) for r in got.collect()} == {(q, k) for q in (0, 50, 100) for k in range(1, 6)}
+    elif name == "op7_token_files":
+        import tokenizers
+
+        t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+        start = 0
+        for d in sorted(texts):
+            ids = [*t.encode(texts[d], add_special_tokens=False).ids, 2]
+            assert tuple(rows[d])[:4] == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+    elif name in ("op8_language_id", "op9_lm_score"):
+        assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % (4 if name[2] == "8" else 7) == 2) for d, r in rows.items())
+        if name == "op8_language_id":
+            assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in texts[d])) and 0 <= r["score"] <= 1 for d, r in rows.items())
+        else:
+            words = {d: [*(w.decode() for w in re.sub(rb"[A-Z]+", lambda m: m[0].lower(), t.encode()).split()), None] for d, t in texts.items()}
+            count = collections.Counter(w for d in words if not rows[d]["held_out"] for w in words[d])
+            n, v = sum(count.values()), len(count)
+            for d, r in rows.items():
+                assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words[d]), sum(count[w] > 0 for w in words[d]), n)
+                assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words[d]), rel=1e-9)
+    elif name == "op10_bpe":
+        import tokenizers
+
+        t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        t.no_truncation(), t.no_padding()
+        for d, text in texts.items():
+            ids = t.encode(text, add_special_tokens=False).ids
+            assert tuple(rows[d])[:4] == (d, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+
+
 def test_empty_tables(none):
     path = P.path("byte_bpe_50k.json")
     assert bpe.encode_decode(none, path).count() == 0
