@@ -7,12 +7,16 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import text as T
 from quillmill.operators import spans as S
+from quillmill.operators.phrases import Phrase, repaired
 from quillmill.operators.quotes import anchor_quotes
 from quillmill.operators.terms import find_terms
+from quillmill.operators.versions import merge_versions
 from quillmill.plans.registry import query
 from quillmill.sources.tables import table
 
 big = lambda c: c.cast("bigint")
+#: Phrases of a dictionary that goes to every task whole.
+MOST_PHRASES = 100_000
 
 
 def _span_sql(keep: str, source: str = "documents", id_col: str = "doc_id") -> str:
@@ -405,3 +409,27 @@ def omission_scan(spark, d):
     """Documents with a pattern of poor quality whose label says otherwise."""
     hit = table(spark, d, "documents").where(F.col("text").rlike("[^ ]{25,}")).select("doc_id")
     return hit.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id")
+
+
+@query(None)
+def merged_versions(spark, d):
+    """Documents that begin alike, each merged with the first of them as another version of it."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring(F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")), 1, 40).alias("opening")).where(F.length("opening") == 40)
+    # Of each opening the first document and its text: one row, however many begin so.
+    first = docs.groupBy("opening").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("opening", "first")
+    pairs = docs.join(first, "opening").where(F.col("doc_id") != F.col("first.doc_id"))
+    out = pairs.select("doc_id", F.col("first.doc_id").alias("first_id"), merge_versions(F.col("first.text"), F.col("text")).alias("m"))
+    return out.select("doc_id", "first_id", "m.aligned", "m.inserted", "m.repaired", F.md5("m.text").alias("text_md5"))
+
+
+@query(None)
+def phrase_repairs(spark, d):
+    """Pairs of long words of the benchmark that documents hold in a garbled form, and what they should be."""
+    # Of each benchmark item two neighbouring words: as many phrases as items.
+    item = F.regexp_extract("text", "([A-Za-z]{6,} [A-Za-z]{6,})", 1)
+    chosen = table(spark, d, "benchmark").select(F.lower(item).alias("p")).where("p <> ''").distinct()
+    phrases = tuple(Phrase(r.p) for r in chosen.orderBy("p").limit(MOST_PHRASES + 1).collect())
+    if len(phrases) > MOST_PHRASES:
+        raise ValueError(f"over {MOST_PHRASES} phrases")
+    rows = table(spark, d, "documents").select("doc_id", F.inline(repaired(F.col("text"), phrases)["repairs"]))
+    return rows.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "replacement", "score")
