@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import bucket_of
 from quillmill.operators import learning as L
 from quillmill.operators import reconcile as C
+from quillmill.operators.calibrated import fit_calibrated
 from quillmill.operators.stratify import CIRCLE, GOLDEN, stratified_split
 from quillmill.plans.registry import query
 from quillmill.sources.tables import table
@@ -105,3 +106,12 @@ def stratified_labels(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", F.floor(F.col("doc_id") / 3).alias("unit_no"), F.array_compact(F.array(*map(name, ("quality", "toxic", "lang", "source")))).alias("labels"))
     split = stratified_split(rows, "unit_no", "labels", {"train": 0.7, "test": 0.15, "held": 0.15})
     return split.select(F.explode("labels").alias("label"), "split").groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(None)
+def calibrated_labels(spark, d):
+    """Probabilities of both labels for every document, from calibrated classifiers fitted to the labelled ones."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    model = fit_calibrated(docs.join(labels, "doc_id"), ["quality", "toxic"])
+    p = model.probabilities(docs)
+    return p.select("doc_id", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"))
