@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -179,6 +180,59 @@ def merged(doc: object, other: object) -> object:
     return out
 
 
+def values_like(value: object, pattern: re.Pattern) -> set[str]:
+    """Texts, whole numbers and keys, at any depth, that match a pattern wholly once trimmed and in capitals."""
+    out, open_ = set(), [value]
+    while open_:
+        v = open_.pop()
+        if isinstance(v, dict):
+            open_ += [*v, *v.values()]
+        elif isinstance(v, list):
+            open_ += v
+        elif isinstance(v, str):
+            text = str(int(float(v))) if isinstance(v, _Number) and len(v) < 300 else v.strip().upper()
+            if pattern.fullmatch(text):
+                out.add(text)
+    return out
+
+
+def rewritten(value: object, change: Callable[[str], str], fields: frozenset[str] | None, least: int = 4) -> object:
+    """The value with texts of `least` letters or more changed that are members named in `fields`, or any members, at any depth."""
+    if isinstance(value, list):
+        return [rewritten(v, change, fields, least) for v in value]
+    if not isinstance(value, dict):
+        return value
+    text = lambda v: isinstance(v, str) and not isinstance(v, _Number)
+    return {k: (change(v) if len(v) >= least and (fields is None or k in fields) else v) if text(v) else rewritten(v, change, fields, least) for k, v in value.items()}
+
+
+def codes_anywhere(doc: Column, pattern: str = r"\+?(?:\d{5}|[A-Z]\d{4})") -> Column:
+    """array<string>, in order, of all codes in a JSON text: as texts, numbers or keys."""
+
+    def run(docs: pa.Array) -> pa.Array:
+        own = re.compile(pattern, re.ASCII)
+        return pa.array([sorted(values_like(v, own)) if ok else None for ok, v in map(parsed, docs.to_pylist())], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(doc)
+
+
+def json_redacted(doc: Column, patterns: dict[str, str], fields: list[str] | None = None) -> Column:
+    """A JSON text with the matches of each pattern (name: pattern) in its texts, or those named in `fields`, replaced by [name]."""
+
+    def run(docs: pa.Array) -> pa.Array:
+        own = [(re.compile(p, re.ASCII), f"[{name}]") for name, p in patterns.items()]
+
+        def change(text: str) -> str:
+            for p, mark in own:
+                text = p.sub(mark, text)
+            return text
+
+        named = None if fields is None else frozenset(fields)
+        return pa.array([text_of(rewritten(v, change, named)) if ok else None for ok, v in map(parsed, docs.to_pylist())], pa.string())
+
+    return F.arrow_udf(run, "string")(doc)
+
+
 LEAVES = pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))
 
 

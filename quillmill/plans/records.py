@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from quillmill.functions import enums
 from quillmill.functions import json_docs as D
 from quillmill.functions import json_paths as J
 from quillmill.plans.registry import query
+from quillmill.sources.note_files import note_files, write_list_files
+from quillmill.sources.shared import shared_folder
 
 
 def _events(spark, d):
@@ -110,3 +113,26 @@ def clinical_enums(spark, d):
     texts = orders.select(F.inline(dealt)).groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n"))
     meant = reduce(lambda c, f: c.when(F.col("field") == f, enums.canonical(f, F.col("raw"))), enums.FIELDS, F.when(F.lit(False), F.lit(None).cast("string")))
     return texts.select("field", meant.alias("value"), "n").groupBy("field", "value").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'json_lines' WHEN 1 THEN 'cases' ELSE 'entries' END AS format, md5(trim(text, E' \\t\\r\\n')) AS text_md5 FROM documents WHERE trim(text, E' \\t\\r\\n') <> ''")
+def note_formats(spark, d):
+    """Documents written as files of four formats and read as one table, the formats told by what the files hold."""
+    root = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.trim("text", F.lit(" \t\r\n")).alias("text")).where("text <> ''")
+    entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("note_text"))
+    docs.where("doc_id % 4 = 0").select(entry.alias("e")).select("e.*").write.json(f"{root}/lines")
+    for rest, key in ((1, "cases"), (2, "records"), (3, None)):
+        # Some fifty documents a file.
+        lists = docs.where(F.col("doc_id") % 4 == rest).groupBy(F.floor(F.col("doc_id") / 200)).agg(F.collect_list(entry).alias("entries")).select("entries")
+        write_list_files(lists, f"{root}/{key or 'list'}", key)
+    found = note_files(spark, root)
+    return found.select(F.col("id").cast("bigint").alias("doc_id"), "format", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT event_id, [printf('%05d', event_id % 1000 + 31000), 'J' || printf('%04d', user_id % 10000)] AS codes FROM events")
+def codes_in_json(spark, d):
+    """Codes anywhere in nested JSON: as a number, a key, a text in small letters; what isn't wholly a code isn't one."""
+    code, drug = F.format_string("%05d", F.col("event_id") % 1000 + 31000), F.concat(F.lit("j"), F.format_string("%04d", F.col("user_id") % 10000))
+    doc = F.concat(F.lit('{"a":['), code, F.lit(',{"b":{"'), drug, F.lit('":null,"c":"code '), code, F.lit('"}}],"d":" '), drug, F.lit(' ","e":1.5,"f":true}'))
+    return _events(spark, d).select("event_id", D.codes_anywhere(doc).alias("codes"))
