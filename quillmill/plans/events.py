@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmill.operators import reconcile as C
 from quillmill.plans.registry import query
+from quillmill.sources.shared import shared_folder
 from quillmill.sources.tables import table
 from quillmill.streaming import folds
 
@@ -38,7 +37,7 @@ def event_fold_locked(spark, d):
 def stream_fold_equals_batch(spark, d):
     """The streaming fold, drained: the same as the batch fold."""
     stream = folds.event_stream(spark, d, _events(spark, d).schema, "events.parquet")
-    return folds.drained(folds.latest_by_user(stream), "complete", spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    return folds.drained(folds.latest_by_user(stream), "complete", shared_folder(spark))
 
 
 @query("""SELECT e.event_id, o.o_orderkey FROM events e ASOF JOIN (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON e.user_id = o.o_custkey AND o.o_orderdate <= TIMESTAMP '1996-01-01' + (e.event_id % 700) * INTERVAL 1 DAY""")
@@ -74,7 +73,7 @@ def sliding_counts(spark, d):
 def stream_tumbling_counts(spark, d):
     """Watermarked windowed counts from a stream, drained in complete mode."""
     stream = folds.event_stream(spark, d, _events(spark, d).schema, "events.parquet")
-    out = folds.drained(folds.windowed(stream, "1 hour", "1 day"), "complete", spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    out = folds.drained(folds.windowed(stream, "1 hour", "1 day"), "complete", shared_folder(spark))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("began"), "event_type", "n")
 
 
@@ -82,7 +81,7 @@ def stream_tumbling_counts(spark, d):
 def stream_locked_fold(spark, d):
     """Custom state with locks by user; the last state of each."""
     stream = folds.event_stream(spark, d, _events(spark, d).schema, "events.parquet")
-    out = folds.drained(folds.locked_fold(stream), "update", spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    out = folds.drained(folds.locked_fold(stream), "update", shared_folder(spark))
     return out.groupBy("user_id").agg(F.max_by("last_value", "version").alias("last_value"), F.max("version").alias("version"))
 
 

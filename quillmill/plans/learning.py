@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import bucket_of
+from quillmill.operators import evaluation as E
 from quillmill.operators import learning as L
 from quillmill.operators import reconcile as C
 from quillmill.operators.calibrated import fit_calibrated
@@ -115,3 +116,23 @@ def calibrated_labels(spark, d):
     model = fit_calibrated(docs.join(labels, "doc_id"), ["quality", "toxic"])
     p = model.probabilities(docs)
     return p.select("doc_id", F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, list_distinct(list(code)) AS gc, coalesce(list_distinct(list(code) FILTER (l_quantity > 4)), []) AS pc, list_distinct(list(l_returnflag || l_linestatus)) AS gf,
+  coalesce(list_distinct(list(l_returnflag || CASE WHEN l_discount >= 0.10 THEN 'X' ELSE l_linestatus END) FILTER (l_tax < 0.08)), []) AS pf FROM (SELECT *, 's' || l_suppkey % 7 AS code FROM lineitem) GROUP BY 1),
+n AS (SELECT *, len(list_intersect(gf, pf)) AS tp, len(pf) AS p, len(gf) AS g, len(list_intersect(gc, pc)) AS shared, len(list_distinct(list_concat(gc, pc))) AS every FROM c),
+s AS (SELECT *, CASE WHEN p = 0 THEN 1.0 ELSE tp / p END AS prec, CASE WHEN g = 0 THEN 1.0 ELSE tp / g END AS rec, len(list_filter(pf, lambda f: starts_with(f, 'R') AND NOT list_contains(gf, f))) > 0 AS critical FROM n),
+t AS (SELECT avg((p > 0)::INT) AS parse, avg((len(pc) > 0 AND p > 0)::INT) AS render, avg(CASE WHEN every = 0 THEN 1.0 ELSE shared / every END) AS jaccard, avg(CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END) AS f1, avg(critical::INT) AS extra FROM s),
+g AS (SELECT unnest([{'gate': 'parse_success_rate', 'o': parse, 't': 0.95::DOUBLE}, {'gate': 'render_success_rate', 'o': render, 't': 0.99}, {'gate': 'avg_code_jaccard', 'o': jaccard, 't': 0.7}, {'gate': 'avg_flag_f1', 'o': f1, 't': 0.75}, {'gate': 'critical_extra_flag_rate', 'o': extra, 't': 0.03}, {'gate': 'avg_text_similarity', 'o': 0, 't': 0.25}], recursive := true) FROM t)
+SELECT gate, round(o, 4) AS observed, t AS threshold, CASE WHEN gate = 'critical_extra_flag_rate' THEN o <= t ELSE o >= t END AS passed, gate = 'avg_text_similarity' AS advice FROM g""")
+def promotion_gates(spark, d):
+    """The gates over orders as cases: groups of suppliers as codes and line states as flags, of which a stand-in for a model misses some and makes some up."""
+    line = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey") % 7).alias("code"), "l_quantity", "l_tax", F.concat("l_returnflag", "l_linestatus").alias("flag"), F.concat("l_returnflag", F.when(F.col("l_discount") >= 0.10, "X").otherwise(F.col("l_linestatus"))).alias("other"))
+    cases = line.groupBy("l_orderkey").agg(
+        F.collect_set("code").alias("gc"), F.collect_set(F.when(F.col("l_quantity") > 4, F.col("code"))).alias("pc"), F.collect_set("flag").alias("gf"), F.collect_set(F.when(F.col("l_tax") < 0.08, F.col("other"))).alias("pf"))
+    share = lambda c: F.avg(c.cast("int"))
+    gf, pf = F.col("gf"), F.col("pf")
+    summary = cases.agg(
+        share(F.size("pf") > 0).alias("parse_success_rate"), share((F.size("pc") > 0) & (F.size("pf") > 0)).alias("render_success_rate"), F.avg(E.code_jaccard(F.col("gc"), F.col("pc"))).alias("avg_code_jaccard"),
+        F.avg(E.flag_f1(gf, pf)["f1"]).alias("avg_flag_f1"), share(F.size(E.extra_critical(gf, pf, prefixes=("R",))) > 0).alias("critical_extra_flag_rate"))
+    return E.gates(summary)
