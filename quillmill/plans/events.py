@@ -9,7 +9,7 @@ from quillmill.operators import reconcile as C
 from quillmill.plans.registry import query
 from quillmill.sources.shared import shared_folder
 from quillmill.sources.tables import table
-from quillmill.streaming import folds
+from quillmill.streaming import cases, folds
 
 big = lambda c: c.cast("bigint")
 
@@ -85,6 +85,17 @@ def stream_locked_fold(spark, d):
     return out.groupBy("user_id").agg(F.max_by("last_value", "version").alias("last_value"), F.max("version").alias("version"))
 
 
+@query(None)
+def stream_case_versions(spark, d):
+    """Users as versioned cases whose paths are event types: a purchase locks its user's prices, a signup unlocks them; settled changes alone."""
+    kind = F.col("event_type")
+    changes = lambda e: e.select(
+        F.col("user_id").cast("string").alias("case_id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("change_id"), F.when(kind == "purchase", "lock").when(kind == "signup", "unlock").otherwise("set").alias("action"),
+        F.when(kind.isin("purchase", "signup"), "/price").otherwise(F.concat(F.lit("/price/"), kind)).alias("path"), F.col("value").cast("string").alias("value"), F.lit(None).cast("long").alias("expected"))
+    stream = folds.event_stream(spark, d, _events(spark, d).schema, "events.parquet")
+    return cases.last_of(folds.drained(cases.fold(changes(stream), "1 hour"), "update", shared_folder(spark)))
+
+
 _LE = [10, 25, 50, 100, 250]
 
 
