@@ -9,6 +9,7 @@ from quillmill.functions import text as T
 from quillmill.operators import spans as S
 from quillmill.operators.phrases import Phrase, repaired
 from quillmill.operators.quotes import anchor_quotes
+from quillmill.operators.set_join import jaccard_join
 from quillmill.operators.terms import find_terms
 from quillmill.operators.versions import merge_versions
 from quillmill.plans.registry import query
@@ -264,24 +265,10 @@ _TOK = "list_sort(list_distinct(regexp_extract_all(lower({c}), '[a-z]{{4,}}')))"
 i AS (SELECT doc_id, item_id, count(*) AS k FROM t JOIN u USING (w) GROUP BY 1, 2)
 SELECT doc_id, item_id, round(k / (nd + ni - k), 6) AS jaccard FROM i JOIN n USING (doc_id) JOIN m USING (item_id) WHERE k / (nd + ni - k) >= 0.2""")
 def jaccard_pairs(spark, d):
-    """Token-set similarity of documents and benchmark items of 0.2 or more, by a prefix filter that loses no pair.
-
-    A fifth of each set is in the other, so of a document's tokens that items have, in the order of rarity,
-    all but a fifth of the set (less one) hold a shared one; likewise of an item's.
-    """
-    docs = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text"), "[a-z]{4,}").alias("ws"))
-    items = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text"), "[a-z]{4,}").alias("vs"))
-    posted = items.select("item_id", F.size("vs").alias("size"), F.explode("vs").alias("w"))
-    rarity = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-
-    def first(rows, key):
-        held = rows.join(rarity, "w").groupBy(key, "size").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("own"))
-        need = F.floor((F.col("size") + 4) / 5).cast("int")
-        return held.where(F.size("own") >= need).select(key, F.explode(F.slice("own", F.lit(1), F.size("own") - need + 1)).alias("x")).select(key, F.col("x.w").alias("w"))
-
-    pairs = first(docs.select("doc_id", F.size("ws").alias("size"), F.explode("ws").alias("w")), "doc_id").join(first(posted, "item_id"), "w").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs, "doc_id").join(items, "item_id")
-    return both.select("doc_id", "item_id", T.jaccard(F.col("ws"), F.col("vs")).alias("j")).where("j >= 0.2").select("doc_id", "item_id", F.round("j", 6).alias("jaccard"))
+    """Token-set similarity of documents and benchmark items of 0.2 or more: every shared token is counted, in the documents' own tasks."""
+    sets = lambda name, key: table(spark, d, name).select(key, T.tokens(F.col("text"), "[a-z]{4,}").alias("ws"))
+    near = jaccard_join(sets("documents", "doc_id"), sets("benchmark", "item_id"), 0.2)
+    return near.select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""WITH b AS (SELECT item_id, text AS q, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS nq FROM benchmark),
