@@ -22,7 +22,6 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -103,10 +102,10 @@ class Quote:
 
     def starts(self, text: str) -> list[tuple[int, int]]:
         """Stretches of places where a good window may start, by the diagonals that have enough q-grams in common."""
-        q, grams, at = self.q, self.grams, []
-        for p in range(len(text) - q + 1):
-            if (own := grams.get(text[p : p + q])) is not None:
-                at += [p - o for o in own]
+        places, at = _places(text, self.q), []
+        for gram, own in self.grams.items():
+            if (there := places.get(gram)) is not None:
+                at += [p - o for o in own for p in there]
         if len(at) < self.least:
             return []
         d = np.sort(np.array(at, np.int64))
@@ -153,18 +152,27 @@ class Quote:
         return best
 
 
+@lru_cache(2)
+def _places(text: str, q: int) -> dict[str, list[int]]:
+    """Where each q-gram of a text stands; kept while quotes are held against the same text."""
+    out: dict[str, list[int]] = {}
+    for p in range(len(text) - q + 1):
+        out.setdefault(text[p : p + q], []).append(p)
+    return out
+
+
 @lru_cache(100_000)
 def _flexible(quote: str) -> re.Pattern:
     return re.compile(r"\s+".join(re.escape(t) for t in quote.split()))
 
 
 @lru_cache(100_000)
-def _fuzzy(quote: str, threshold: float) -> Quote | None:
+def _fuzzy(quote: str, threshold: float | None) -> Quote | None:
     q = plain(quote)
-    return Quote(q, threshold) if len(q.strip()) >= LEAST_FUZZY else None
+    return Quote(q, threshold) if threshold is not None and len(q.strip()) >= LEAST_FUZZY else None
 
 
-def _search(region: str, quote: str, threshold: float) -> tuple[str, float, int, int] | None:
+def _search(region: str, quote: str, threshold: float | None) -> tuple[str, float, int, int] | None:
     if (at := region.find(quote)) >= 0:
         return "exact", 100.0, at, at + len(quote)
     low, low_quote = fold(region), fold(quote)
@@ -179,7 +187,7 @@ def _search(region: str, quote: str, threshold: float) -> tuple[str, float, int,
     return ("fuzzy", *hit) if hit else None
 
 
-def anchor(text: str | None, quote: str | None, prefix: str | None = None, suffix: str | None = None, threshold: float = 90.0, window: int = 2500) -> tuple[str, float, int, int] | None:
+def anchor(text: str | None, quote: str | None, prefix: str | None = None, suffix: str | None = None, threshold: float | None = 90.0, window: int = 2500) -> tuple[str, float, int, int] | None:
     """(method, score, start, end) of a quote; words before and after it bound the part that is searched first."""
     quote = (quote or "").strip()
     if not text or not quote:
@@ -197,42 +205,87 @@ def anchor(text: str | None, quote: str | None, prefix: str | None = None, suffi
 class _Block:
     """The quotes of a block, ready to meet texts."""
 
-    def __init__(self, rows: list, threshold: float):
+    def __init__(self, rows: list, threshold: float | None):
         self.rows = [(key, (quote or "").strip(), *hints) for key, quote, *hints in rows]
         self.machine = Automaton({squeeze(fold(q)) for _, q, *_ in self.rows})
         self.folded: dict[str, list[int]] = {}
-        by_size: dict[int, list[tuple[str, int, int]]] = {}
-        self.least = np.zeros(len(self.rows), np.int64)
+        by_size: dict[int, list[int]] = {}
+        found: dict[int, Quote] = {}
         for i, (_, quote, *_) in enumerate(self.rows):
             self.folded.setdefault(squeeze(fold(quote)), []).append(i)
             q = _fuzzy(quote, threshold)
             if q is not None:
-                self.least[i] = q.least
-                by_size.setdefault(q.q, []).extend((g, i, len(at)) for g, at in q.grams.items())
-        self.tables = {}
-        for size, grams in by_size.items():
-            grams.sort()
-            table = {}
-            for g, own in groupby(grams, key=lambda x: x[0]):
-                own = list(own)
-                table[g] = (np.array([i for _, i, _ in own]), np.array([k for _, _, k in own]))
-            self.tables[size] = table
+                found[i] = q
+                by_size.setdefault(q.q, []).append(i)
+        self.tables = [_Grams(size, own, [found[i] for i in own]) for size, own in by_size.items()]
 
     def candidates(self, text: str) -> list[int]:
-        """Quotes that may stand in the text: by the automaton, or by the number of their q-grams that it has."""
+        """Quotes that may stand in the text: by the automaton, or by q-grams on one diagonal."""
         found = {i for _, term in self.machine.iter(squeeze(fold(text))) for i in self.folded[term]}
         t = plain(text)
-        have = np.zeros(len(self.rows), np.int64)
-        for size, table in self.tables.items():
-            own = [table[g] for g in {t[p : p + size] for p in range(len(t) - size + 1)} & table.keys()]
-            if own:
-                have += np.bincount(np.concatenate([i for i, _ in own]), np.concatenate([k for _, k in own]), len(self.rows)).astype(np.int64)
-        enough = (self.least > 0) & (have >= self.least)
-        return sorted(found | set(np.flatnonzero(enough).tolist()))
+        for table in self.tables:
+            found |= table.candidates(t)
+        return sorted(found)
+
+
+class _Grams:
+    """An index of the q-grams of quotes, all of one q: for each gram the quotes and places that have it."""
+
+    #: Places of a text that are looked up at once, and bins that are counted without sorting.
+    PART, BINS = 20_000, 4_000_000
+
+    def __init__(self, q: int, rows: list[int], quotes: list[Quote]):
+        self.q, self.rows = q, rows
+        self.least = np.array([x.least for x in quotes])
+        self.width = np.array([2 * x.edits + 1 for x in quotes])
+        self.size = np.array([len(x.text) for x in quotes])
+        self.beyond = int((self.size + self.width).max())
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k, x in enumerate(quotes):
+            for gram, own in x.grams.items():
+                places.setdefault(gram, []).extend((k, o) for o in own)
+        self.number = {g: n for n, g in enumerate(places)}
+        flat = np.array([p for own in places.values() for p in own], np.int64).reshape(-1, 2)
+        self.quote, self.offset = flat[:, 0].copy(), flat[:, 1].copy()
+        self.count = np.array([len(own) for own in places.values()], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+
+    def candidates(self, t: str) -> set[int]:
+        out: set[int] = set()
+        q, number = self.q, self.number
+        for low in range(0, max(1, len(t) - q + 1), self.PART):
+            # Every window that starts in the part lies in it and what is looked up beyond it.
+            ids = np.array([number.get(t[p : p + q], -1) for p in range(low, min(len(t) - q + 1, low + self.PART + self.beyond))], np.int64)
+            at = np.flatnonzero(ids >= 0)
+            n = self.count[ids[at]]
+            total = int(n.sum())
+            if not total:
+                continue
+            hit = np.repeat(self.start[ids[at]] - (np.cumsum(n) - n), n) + np.arange(total)
+            quote = self.quote[hit]
+            # A window's hits lie on diagonals no wider apart than a band, so in two bands side by side.
+            band = (np.repeat(at, n) - self.offset[hit] + self.size[quote]) // self.width[quote]
+            bands = int(band.max()) + 2
+            # A place of a quote counts once in a band, however often its gram stands there.
+            longest = int(self.size.max())
+            key = np.unique((quote * bands + band) * longest + self.offset[hit]) // longest
+            if len(self.rows) * bands <= self.BINS:
+                counts = np.bincount(key, minlength=len(self.rows) * bands + 1)
+                cells = np.flatnonzero(counts[:-1] + counts[1:] >= self.least[np.minimum(np.arange(len(counts) - 1) // bands, len(self.rows) - 1)])
+            else:
+                cells, own = np.unique(key, return_counts=True)
+                after = np.where(np.append(cells[1:] == cells[:-1] + 1, False), np.append(own[1:], 0), 0)
+                before = np.where(np.append(False, cells[1:] == cells[:-1] + 1), np.append(0, own[:-1]), 0)
+                cells = cells[own + np.maximum(after, before) >= self.least[cells // bands]]
+            out.update(self.rows[k] for k in np.unique(np.minimum(cells // bands, len(self.rows) - 1)).tolist())
+        return out
+
 
+def anchor_quotes(docs: DataFrame, quotes: DataFrame, threshold: float | None = 90.0, id_col: str = "doc_id", text_col: str = "text", quote_id: str = "item_id", quote_col: str = "text", hints: tuple[str, str] | None = None, block_chars: int = 2_000_000) -> DataFrame:
+    """A row for each quote and text that holds it: both ids, method, score, start, end. `hints` names the columns of the words before and after a quote.
 
-def anchor_quotes(docs: DataFrame, quotes: DataFrame, threshold: float = 90.0, id_col: str = "doc_id", text_col: str = "text", quote_id: str = "item_id", quote_col: str = "text", hints: tuple[str, str] | None = None, block_chars: int = 2_000_000) -> DataFrame:
-    """A row for each quote and text that holds it: both ids, method, score, start, end. `hints` names the columns of the words before and after a quote."""
+    Without a threshold the first four tiers alone are tried.
+    """
     spark = docs.sparkSession
     kinds = [docs.schema[id_col].dataType.simpleString(), quotes.schema[quote_id].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{quote_id}` {kinds[1]}, method string, score double, start int, end int"

@@ -293,7 +293,7 @@ s AS (SELECT item_id, doc_id, method, CASE method WHEN 'exact' THEN q WHEN 'case
 SELECT item_id, doc_id, method, (instr(place, found) - 1)::INTEGER AS start_at, (instr(place, found) - 1 + length(found))::INTEGER AS end_at FROM s""")
 def quote_places(spark, d):
     """Where the quotes of `benchmark` stand in documents: exactly, but for case, or but for white space."""
-    found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark")).where("method <> 'fuzzy'")
+    found = anchor_quotes(table(spark, d, "documents"), table(spark, d, "benchmark"), None)
     return found.select("item_id", "doc_id", "method", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
