@@ -4,8 +4,8 @@
 fuzzy (the best window by partial ratio, of a threshold or more, over letters and digits alone). `anchor_quotes` is all
 quotes in all texts: quotes are sent to tasks in blocks of a bounded size and texts never move. In a task an
 automaton over the quotes, folded in case and white space, finds the candidates of the first four tiers. The
-fifth's come from an index of the quotes' q-grams: a window with few edits keeps so many of a quote's q-grams
-(each edit breaks q at most) that a text, and then a diagonal of it, with fewer can't hold the quote. What is
+fifth's come from an index of the quotes' rarer q-grams: a window with few edits keeps so many of a quote's q-grams
+(a letter less breaks q at most, one more q - 1) that a text, and then a band of its diagonals, with fewer can't hold the quote. What is
 left is aligned by bit-parallel longest common subsequence; windows that can't reach the best so far are jumped over.
 
 A window is as long as the quote, or shorter at a text's edges; score = 100 * 2 * lcs / (both lengths). Of equal
@@ -35,11 +35,13 @@ LEAST_FUZZY = 12
 SCORES = {"exact": 100.0, "case_insensitive": 98.0, "whitespace": 95.0, "whitespace_case_insensitive": 93.0}
 
 
+def _plain(c: str) -> str:
+    return (low if len(low := c.lower()) == 1 else c) if c.isalnum() else " "
+
+
 class _Plain(dict):
     def __missing__(self, code: int) -> str:
-        c = chr(code)
-        low = c.lower()
-        self[code] = (low if len(low) == 1 else c) if c.isalnum() else " "
+        self[code] = _plain(chr(code))
         return self[code]
 
 
@@ -61,33 +63,66 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def edits(length: int, threshold: float) -> int:
-    """Most insertions and deletions between a quote of this length and a window of the threshold or more."""
-    return math.floor((1 - threshold / 100) * 2 * length + 1e-9)
+def losses(length: int, threshold: float, q: int) -> tuple[int, int]:
+    """(most q-grams of a quote that a window of the threshold or more lacks, most that its diagonals are apart).
+
+    Of d letters of the quote that the window lacks each breaks q of its q-grams, of i letters that it has besides each
+    breaks q - 1, and neither more than d nor more than i steps lead from one diagonal to another.
+    """
+    lost = apart = 0
+    for n in range(1, length + 1):
+        k = math.ceil(threshold * (length + n) / 200 - 1e-9)
+        if k <= n:
+            lost, apart = max(lost, q * (length - k) + (q - 1) * (n - k)), max(apart, length - k, n - k)
+    return lost, apart
 
 
-def gram_size(length: int, threshold: float) -> tuple[int, int]:
-    """(q, so many of the quote's q-grams every such window has), q as large as the lemma allows."""
-    e = edits(length, threshold)
+@lru_cache(10_000)
+def gram_size(length: int, threshold: float) -> tuple[int, int, int]:
+    """(q, so many of the quote's q-grams every such window has, within so many diagonals), q as large as the lemma allows."""
     for q in (4, 3, 2, 1):
-        if length >= q and (n := length - q + 1 - q * e) > 0:
-            return q, n
+        lost, apart = losses(length, threshold, q)
+        if length >= q and (n := length - q + 1 - lost) > 0:
+            return q, n, apart
     raise ValueError("the threshold leaves no common character")
 
 
+@lru_cache(2)
+def _points(text: str) -> np.ndarray:
+    """The code points; kept while quotes are held against the same text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def numbered(letters: np.ndarray, q: int, base: int) -> np.ndarray:
+    """A number for each q-gram of numbered letters, modulo 2**64."""
+    n = max(0, len(letters) - q + 1)
+    out = letters[:n]
+    for k in range(1, q):
+        out = out * np.uint64(base) + letters[k : k + n]
+    return out
+
+
 class Quote:
     """A normalised quote with its bit masks and q-grams."""
 
     def __init__(self, text: str, threshold: float):
-        self.text, self.threshold, self.edits = text, threshold, edits(len(text), threshold)
-        self.q, self.least = gram_size(len(text), threshold)
+        self.text, self.threshold = text, threshold
+        self.q, self.least, self.apart = gram_size(len(text), threshold)
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
         self.full = (1 << len(text)) - 1
-        self.grams: dict[str, list[int]] = {}
-        for i in range(len(text) - self.q + 1):
-            self.grams.setdefault(text[i : i + self.q], []).append(i)
+        points = _points(text)
+        letters = np.unique(points)
+        self.letter = np.zeros(int(letters[-1]) + 2, np.uint64)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        grams = self._grams(points)
+        self.places = np.argsort(grams, kind="stable")
+        self.grams, self.first, self.count = np.unique(grams[self.places], return_index=True, return_counts=True)
+
+    def _grams(self, points: np.ndarray) -> np.ndarray:
+        """A number for each q-gram; letters that the quote lacks are one. In huge alphabets some share one, which adds starts and loses none."""
+        return numbered(self.letter[np.minimum(points, len(self.letter) - 1)], self.q, int(self.letter.max()) + 1)
 
     def lcs(self, window: str) -> int:
         s, masks, full = self.full, self.masks, self.full
@@ -102,17 +137,18 @@ class Quote:
 
     def starts(self, text: str) -> list[tuple[int, int]]:
         """Stretches of places where a good window may start, by the diagonals that have enough q-grams in common."""
-        places, at = _places(text, self.q), []
-        for gram, own in self.grams.items():
-            if (there := places.get(gram)) is not None:
-                at += [p - o for o in own for p in there]
-        if len(at) < self.least:
+        own = self._grams(_points(text))
+        k = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        there = np.flatnonzero(self.grams[k] == own)
+        n = self.count[k[there]]
+        if n.sum() < self.least:
             return []
-        d = np.sort(np.array(at, np.int64))
-        firm = d[: len(d) - self.least + 1][d[self.least - 1 :] - d[: len(d) - self.least + 1] <= 2 * self.edits]
+        hit = np.repeat(self.first[k[there]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        d = np.sort(np.repeat(there, n) - self.places[hit])
+        firm = d[: len(d) - self.least + 1][d[self.least - 1 :] - d[: len(d) - self.least + 1] <= self.apart]
         out: list[tuple[int, int]] = []
         for x in np.unique(firm).tolist():
-            low, high = max(0, x - self.edits), min(len(text) - 1, x + self.edits)
+            low, high = max(0, x - self.apart), min(len(text) - 1, x + self.apart)
             if low > high:
                 continue
             if out and low <= out[-1][1] + 1:
@@ -152,15 +188,6 @@ class Quote:
         return best
 
 
-@lru_cache(2)
-def _places(text: str, q: int) -> dict[str, list[int]]:
-    """Where each q-gram of a text stands; kept while quotes are held against the same text."""
-    out: dict[str, list[int]] = {}
-    for p in range(len(text) - q + 1):
-        out.setdefault(text[p : p + q], []).append(p)
-    return out
-
-
 @lru_cache(100_000)
 def _flexible(quote: str) -> re.Pattern:
     return re.compile(r"\s+".join(re.escape(t) for t in quote.split()))
@@ -222,64 +249,106 @@ class _Block:
     def candidates(self, text: str) -> list[int]:
         """Quotes that may stand in the text: by the automaton, or by q-grams on one diagonal."""
         found = {i for _, term in self.machine.iter(squeeze(fold(text))) for i in self.folded[term]}
-        t = plain(text)
-        for table in self.tables:
-            found |= table.candidates(t)
+        if self.tables:
+            t = _plain_codes()[_points(text)]
+            for table in self.tables:
+                found |= table.candidates(t)
         return sorted(found)
 
 
+@lru_cache(1)
+def _plain_codes() -> np.ndarray:
+    """For each code point that of its plain character."""
+    return np.fromiter((ord(_plain(chr(c))) for c in range(0x110000)), np.uint32, 0x110000)
+
+
 class _Grams:
-    """An index of the q-grams of quotes, all of one q: for each gram the quotes and places that have it."""
+    """An index of the q-grams of quotes, all of one q: for each gram the quotes and places that have it.
 
-    #: Places of a text that are looked up at once, and bins that are counted without sorting.
-    PART, BINS = 20_000, 4_000_000
+    Of a quote's places those of the commonest grams are left out, `SPARED` of the least number that a window has in common with
+    it: a window still has the rest of that number among the others, which are far fewer to look up.
+    """
+
+    #: Places of a text that are looked up at once, bins that are counted without sorting, grams that are looked up without searching.
+    PART, BINS, CODES = 20_000, 4_000_000, 4_000_000
+    SPARED = 0.3
 
     def __init__(self, q: int, rows: list[int], quotes: list[Quote]):
         self.q, self.rows = q, rows
-        self.least = np.array([x.least for x in quotes])
-        self.width = np.array([2 * x.edits + 1 for x in quotes])
-        self.size = np.array([len(x.text) for x in quotes])
-        self.beyond = int((self.size + self.width).max())
-        places: dict[str, list[tuple[int, int]]] = {}
-        for k, x in enumerate(quotes):
-            for gram, own in x.grams.items():
-                places.setdefault(gram, []).extend((k, o) for o in own)
-        self.number = {g: n for n, g in enumerate(places)}
-        flat = np.array([p for own in places.values() for p in own], np.int64).reshape(-1, 2)
-        self.quote, self.offset = flat[:, 0].copy(), flat[:, 1].copy()
-        self.count = np.array([len(own) for own in places.values()], np.int64)
-        self.start = np.cumsum(self.count) - self.count
-
-    def candidates(self, t: str) -> set[int]:
+        self.size = np.array([len(x.text) for x in quotes], np.int32)
+        self.longest = int(self.size.max())
+        width = np.array([x.apart + 1 for x in quotes], np.int32)
+        self.beyond = int((self.size + width).max())
+        letters = np.array(sorted({ord(c) for x in quotes for c in x.text}), np.int64)
+        self.letter = np.zeros(0x110000, np.uint32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        codes = [self._codes(_points(x.text)) for x in quotes]
+        grams, number = np.unique(np.concatenate(codes), return_inverse=True)
+        quote = np.repeat(np.arange(len(quotes), dtype=np.int32), [len(c) for c in codes])
+        offset = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes])
+        least = np.array([x.least for x in quotes])
+        spared = (least * self.SPARED).astype(np.int64)
+        # The commonest places of each quote first.
+        order = np.lexsort((offset, -np.bincount(number)[number], quote))
+        first = np.cumsum([0, *[len(c) for c in codes[:-1]]])
+        kept = order[np.arange(len(order)) - first[quote[order]] >= spared[quote[order]]]
+        kept = kept[np.argsort(number[kept], kind="stable")]
+        self.least = least - spared
+        self.quote, self.offset = quote[kept], offset[kept]
+        self.shift, self.width = self.size[self.quote] - self.offset, width[self.quote]
+        self.grams, start = np.unique(number[kept], return_index=True)
+        self.grams, self.start = grams[self.grams], start.astype(np.int64)
+        self.count = np.diff(np.append(self.start, len(kept)))
+        self.direct = None
+        if self.base**q <= self.CODES:
+            self.direct = np.full(self.base**q, -1, np.int32)
+            self.direct[self.grams] = np.arange(len(self.grams))
+
+    def _codes(self, t: np.ndarray) -> np.ndarray:
+        """A number for each q-gram. In huge alphabets some share one, which adds candidates and loses none."""
+        return numbered(self.letter[t].astype(np.uint64), self.q, self.base)
+
+    def candidates(self, t: np.ndarray) -> set[int]:
+        """Rows of the quotes that may have a window in a text of these plain code points."""
         out: set[int] = set()
-        q, number = self.q, self.number
-        for low in range(0, max(1, len(t) - q + 1), self.PART):
+        codes = self._codes(t)
+        for low in range(0, max(1, len(codes)), self.PART):
             # Every window that starts in the part lies in it and what is looked up beyond it.
-            ids = np.array([number.get(t[p : p + q], -1) for p in range(low, min(len(t) - q + 1, low + self.PART + self.beyond))], np.int64)
+            own = codes[low : low + self.PART + self.beyond]
+            if self.direct is not None:
+                ids = self.direct[own]
+            else:
+                ids = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+                ids = np.where(self.grams[ids] == own, ids, -1)
             at = np.flatnonzero(ids >= 0)
             n = self.count[ids[at]]
             total = int(n.sum())
             if not total:
                 continue
             hit = np.repeat(self.start[ids[at]] - (np.cumsum(n) - n), n) + np.arange(total)
-            quote = self.quote[hit]
             # A window's hits lie on diagonals no wider apart than a band, so in two bands side by side.
-            band = (np.repeat(at, n) - self.offset[hit] + self.size[quote]) // self.width[quote]
+            band = (np.repeat(at.astype(np.int32), n) + self.shift[hit]) // self.width[hit]
             bands = int(band.max()) + 2
-            # A place of a quote counts once in a band, however often its gram stands there.
-            longest = int(self.size.max())
-            key = np.unique((quote * bands + band) * longest + self.offset[hit]) // longest
-            if len(self.rows) * bands <= self.BINS:
-                counts = np.bincount(key, minlength=len(self.rows) * bands + 1)
-                cells = np.flatnonzero(counts[:-1] + counts[1:] >= self.least[np.minimum(np.arange(len(counts) - 1) // bands, len(self.rows) - 1)])
-            else:
-                cells, own = np.unique(key, return_counts=True)
-                after = np.where(np.append(cells[1:] == cells[:-1] + 1, False), np.append(own[1:], 0), 0)
-                before = np.where(np.append(False, cells[1:] == cells[:-1] + 1), np.append(0, own[:-1]), 0)
-                cells = cells[own + np.maximum(after, before) >= self.least[cells // bands]]
-            out.update(self.rows[k] for k in np.unique(np.minimum(cells // bands, len(self.rows) - 1)).tolist())
+            cell = self.quote[hit].astype(np.int64) * bands + band
+            good = self._firm(cell, bands)
+            if len(good):
+                # A place of a quote counts once in a band, however often its gram stands there.
+                near = np.isin(cell, np.append(good, good + 1))
+                good = self._firm(np.unique(cell[near] * self.longest + self.offset[hit[near]]) // self.longest, bands)
+                out.update(self.rows[k] for k in np.unique(good // bands).tolist())
         return out
 
+    def _firm(self, cell: np.ndarray, bands: int) -> np.ndarray:
+        """The cells (quote * bands + band) that have enough hits together with the next."""
+        if len(self.rows) * bands <= self.BINS:
+            counts = np.bincount(cell, minlength=len(self.rows) * bands + 1)
+            return np.flatnonzero((counts[:-1] + counts[1:])[: len(self.rows) * bands].reshape(-1, bands) >= self.least[:, None])
+        cells, own = np.unique(cell, return_counts=True)
+        # A cell without hits has no more than the next has, which then counts alone.
+        after = np.where(np.append(cells[1:] == cells[:-1] + 1, False), np.append(own[1:], 0), 0)
+        return cells[own + after >= self.least[cells // bands]]
+
 
 def anchor_quotes(docs: DataFrame, quotes: DataFrame, threshold: float | None = 90.0, id_col: str = "doc_id", text_col: str = "text", quote_id: str = "item_id", quote_col: str = "text", hints: tuple[str, str] | None = None, block_chars: int = 2_000_000) -> DataFrame:
     """A row for each quote and text that holds it: both ids, method, score, start, end. `hints` names the columns of the words before and after a quote.

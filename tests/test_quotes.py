@@ -83,6 +83,19 @@ def test_all_quotes_in_all_texts(spark):
     assert Q.anchor_quotes(df, qs.limit(0)).count() == Q.anchor_quotes(df.limit(0), qs).count() == 0
 
 
+def test_few_texts_of_the_same_words_are_aligned():
+    r = random.Random(9)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le".split()
+    text = lambda k: " ".join(r.choice(("the", "of", "and", "in")) if r.random() < 0.35 else "".join(r.choice(parts) for _ in range(r.randrange(1, 5))) for _ in range(k))
+    quotes = [(i, text(40)) for i in range(40)]
+    docs = [text(300) for _ in range(40)] + [edited(r, text(30) + " " + q + " " + text(30), 22) for _, q in quotes] + [edited(r, q, 12)[: len(q) - 8] for _, q in quotes]
+    block = Q._Block(quotes, 90.0)
+    found = [block.candidates(d) for d in docs]
+    assert sum(map(len, found[:40])) < 800  # of 1,600
+    assert all(i in found[k + i] for k in (40, 80) for i in range(40) if Q.anchor(docs[k + i], quotes[i][1]))
+    assert sum(Q.anchor(docs[k + i], quotes[i][1]) is not None for k in (40, 80) for i in range(40)) == 80
+
+
 def test_hints_come_with_the_quotes(spark):
     docs = spark.createDataFrame([(1, "one two " + "z " * 3000 + "Two one two")], "doc_id long, text string")
     quotes = spark.createDataFrame([("a", "one two", "two", None)], "item_id string, text string, before string, after string")
