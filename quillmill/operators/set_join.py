@@ -1,4 +1,4 @@
-"""Jaccard joins of a large table of sets with a small one, which is sent to tasks in blocks of a bounded size.
+"""Jaccard joins of a large table of sets with a small one, which is sent to tasks in blocks of a bounded size, and of the sets in one text.
 
 A task holds an inverted index of a block and counts each row's shared tokens with every set that has one, so sizes and
 intersections are exact, no candidate is verified again and nothing is shuffled.
@@ -6,11 +6,14 @@ intersections are exact, no candidate is verified again and nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 
@@ -65,3 +68,37 @@ def jaccard_join(rows: DataFrame, sets: DataFrame, threshold: float, block_token
         part = joined(held)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def near_in(text: str, separator: str, words: re.Pattern, least: int) -> int:
+    """How many pairs of different word sets of a text's parts share 0.75 of their words or more; of sets of `least` words or more.
+
+    Of two such sets each has one of the shared words among its rarest quarter (and one), by the parts of this text.
+    """
+    sets = [x for x in {frozenset(words.findall(part)) for part in text.split(separator)} if len(x) >= least]
+    many = Counter(t for x in sets for t in x)
+    having: dict[str, list[frozenset[str]]] = {}
+    near = 0
+    for x in sets:
+        head = sorted(x, key=lambda t: (many[t], t))[: len(x) // 4 + 1]
+        candidates = set()
+        for t in head:
+            if many[t] > 1:
+                own = having.setdefault(t, [])
+                candidates.update(own)
+                own.append(x)
+        for y in candidates:
+            if 3 * len(x) <= 4 * len(y) and 3 * len(y) <= 4 * len(x):
+                shared = len(x & y)
+                near += 4 * shared >= 3 * (len(x) + len(y) - shared)
+    return near
+
+
+def near_parts(text: Column, separator: str, words: str, least: int) -> Column:
+    """The same of a column; a null text has no pairs. Each text is a row and its parts meet in its own task, so nothing is shuffled."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = re.compile(words)
+        return pa.array([near_in(t.as_py() or "", separator, own, least) for t in texts], pa.int64())
+
+    return F.arrow_udf(run, "bigint")(text)

@@ -9,7 +9,7 @@ from quillmill.functions import text as T
 from quillmill.operators import spans as S
 from quillmill.operators.phrases import Phrase, repaired
 from quillmill.operators.quotes import anchor_quotes
-from quillmill.operators.set_join import jaccard_join
+from quillmill.operators.set_join import jaccard_join, near_parts
 from quillmill.operators.terms import find_terms
 from quillmill.operators.versions import merge_versions
 from quillmill.plans.registry import query
@@ -361,14 +361,7 @@ def learned_name_mentions(spark, d):
 SELECT doc_id, count(*) AS pairs FROM (SELECT a.doc_id FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.w < b.w AND len(list_intersect(a.w, b.w)) * 4 >= 3 * len(list_distinct(list_concat(a.w, b.w)))) GROUP BY 1""")
 def near_dup_lines(spark, d):
     """Pairs of sentences in a document whose word sets overlap by 0.75. Candidates share one of their rarest words."""
-    s = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"\. ")).alias("s"))
-    sets = s.select("doc_id", T.tokens(F.col("s"), "[a-z]{3,}").alias("w")).where(F.size("w") >= 5).distinct()
-    # Of two sets that overlap so far, the first quarter (and one) by hash order has a common word.
-    ordered = F.array_sort("w", lambda a, b: F.when(F.md5(a) < F.md5(b), -1).when(F.md5(a) > F.md5(b), 1).otherwise(0))
-    head = sets.select("doc_id", "w", F.explode(F.slice(ordered, F.lit(1), F.size("w") - F.ceil(F.size("w") * 0.75).cast("int") + 1)).alias("t"))
-    pairs = head.alias("a").join(head.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.w") < F.col("b.w")))
-    near = pairs.select("a.doc_id", F.col("a.w").alias("x"), F.col("b.w").alias("y")).where(F.size(F.array_intersect("x", "y")) * 4 >= 3 * F.size(F.array_union("x", "y"))).distinct()
-    return near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
+    return table(spark, d, "documents").select("doc_id", near_parts(F.lower("text"), ". ", "[a-z]{3,}", 5).alias("pairs")).where("pairs > 0")
 
 
 #: Corrections of phrases that scanning garbles. Fixed values.
