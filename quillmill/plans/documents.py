@@ -16,6 +16,8 @@ from quillmill.plans.registry import query
 from quillmill.sources.tables import table
 
 big = lambda c: c.cast("bigint")
+#: Documents that begin alike and are compared in one part.
+ALIKE = 64
 #: Phrases of a dictionary that goes to every task whole.
 MOST_PHRASES = 100_000
 
@@ -394,10 +396,17 @@ def omission_scan(spark, d):
 @query(None)
 def merged_versions(spark, d):
     """Documents that begin alike, each merged with the first of them as another version of it."""
-    docs = table(spark, d, "documents").select("doc_id", "text", F.substring(F.lower(F.regexp_replace("text", r"[^A-Za-z0-9]+", " ")), 1, 40).alias("opening")).where(F.length("opening") == 40)
-    # Of each opening the first document and its text: one row, however many begin so.
-    first = docs.groupBy("opening").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("opening", "first")
-    pairs = docs.join(first, "opening").where(F.col("doc_id") != F.col("first.doc_id"))
+    # So much of a text as holds 40 characters, each run of others being one.
+    head = F.regexp_extract("text", r"^(?:[A-Za-z0-9]|[^A-Za-z0-9]++){40}+", 0)
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lower(F.regexp_replace(head, r"[^A-Za-z0-9]+", " ")).alias("opening")).where(F.length("opening") == 40)
+    # Of each opening that several documents have the first one's id; texts move after that, only those of such documents.
+    many = docs.groupBy("opening").agg(F.min(F.struct("doc_id")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / ALIKE)
+    kept = docs.join(many, "opening").withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), parts))
+    # Its text goes once to each part of those that begin so, however many they are.
+    first = kept.where(F.col("doc_id").eqNullSafe(F.col("head.doc_id"))).groupBy("opening", "n").agg(F.min(F.struct("doc_id", "text")).alias("first"))
+    first = first.select("opening", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    pairs = kept.select("opening", "part", "doc_id", "text").join(first, ["opening", "part"]).where(F.col("doc_id") != F.col("first.doc_id"))
     out = pairs.select("doc_id", F.col("first.doc_id").alias("first_id"), merge_versions(F.col("first.text"), F.col("text")).alias("m"))
     return out.select("doc_id", "first_id", "m.aligned", "m.inserted", "m.repaired", F.md5("m.text").alias("text_md5"))
 

@@ -1,11 +1,13 @@
 """Merging two versions of a text and repairing phrases, against plain versions."""
 
+import hashlib
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmill.catalog import QUERIES
 from quillmill.operators import phrases as P
 from quillmill.operators import versions as V
 
@@ -75,6 +77,25 @@ def test_versions_of_columns_and_long_texts(spark):
     assert [tuple(x)[1:] for x in got] == [(1, 1, 0), (0, 1, 0), (20_000, 0, 0), (0, 0, 0)] and got[0].text == "a\nb\nc" and got[2].text == long
 
 
+def test_versions_that_begin_alike_are_dealt_over_tasks(spark, tmp_path):
+    opening = " --- ".join("Operative note of the clinic and its wards today".split())
+    docs = [(i, f"{opening}\nline {i % 7} of the text\nline {i % 5}") for i in range(300)] + [(300, "short"), (301, None), (302, "." * 100), (303, "One other text that begins like none of all these.")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = QUERIES["merged_versions"].run(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in got) == list(range(1, 300)) and {r.first_id for r in got} == {0} and len({r.task for r in got}) > 1
+    for r in got[:20]:
+        text, *counts = V.merged(docs[0][1], docs[r.doc_id][1])
+        assert (r.aligned, r.inserted, r.repaired, r.text_md5) == (*counts, hashlib.md5(text.encode()).hexdigest())
+
+
 def plain_repairs(text, phrases, most):
     """Every window of every phrase."""
     found = list(P.WORD.finditer(text))
