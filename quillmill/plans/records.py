@@ -121,7 +121,8 @@ def note_formats(spark, d):
     root = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.trim("text", F.lit(" \t\r\n")).alias("text")).where("text <> ''")
     entry = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("note_text"))
-    docs.where("doc_id % 4 = 0").select(entry.alias("e")).select("e.*").write.json(f"{root}/lines")
+    # A thousand documents a file at most: a file is read whole.
+    docs.where("doc_id % 4 = 0").select(entry.alias("e")).select("e.*").write.option("maxRecordsPerFile", 1000).json(f"{root}/lines")
     for rest, key in ((1, "cases"), (2, "records"), (3, None)):
         # Some fifty documents a file.
         lists = docs.where(F.col("doc_id") % 4 == rest).groupBy(F.floor(F.col("doc_id") / 200)).agg(F.collect_list(entry).alias("entries")).select("entries")

@@ -10,7 +10,8 @@ Entries that aren't objects are left out; empty files have no entries; a file th
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from quillmill.functions.json_docs import parsed, text_of
 TEXT_FIELDS = ("note_text", "prompt", "prompt_text", "text")
 ID_FIELDS = ("id", "note_id", "doc_id")
 LIST_KEYS = ("entries", "records", "data")
+#: Characters of entries that leave a task at once.
+PART_CHARS = 4_000_000
 NOTES = "path string, format string, place int, id string, text string, entry string"
 
 
@@ -29,32 +32,60 @@ def first_text(entry: dict, fields: tuple[str, ...]) -> str | None:
     return next((v.strip() for f in fields if isinstance(v := entry.get(f), str) and v.strip()), None)
 
 
-def told(content: str) -> tuple[str, list]:
-    """(format, entries) of a file's content."""
-    ok, value = parsed(content)
+def _lines(content: bytes) -> Iterator[str]:
+    """The lines with ink, one at a time."""
+    at = 0
+    while at < len(content):
+        end = content.find(b"\n", at)
+        end = len(content) if end < 0 else end
+        line = content[at:end].decode("utf-8", "replace")
+        if line.strip():
+            yield line
+        at = end + 1
+
+
+def told(content: bytes) -> tuple[str, Iterable]:
+    """(format, entries) of a file's content. JSON lines are parsed as they are taken, so that a file's entries aren't held together."""
+    content = content.removeprefix("\ufeff".encode())
+    few = list(islice(_lines(content), 2))
+    # An object with more after it is no JSON as a whole.
+    if len(few) > 1 and isinstance(parsed(few[0])[1], dict):
+        return "json_lines", (parsed(x)[1] for x in _lines(content))
+    text = content.decode("utf-8", "replace")
+    ok, value = parsed(text)
     if ok and isinstance(value, list):
         return "entries", value
     if ok and isinstance(value, dict):
         if isinstance(value.get("cases"), list):
             return "cases", value["cases"]
-        return next((("entries", value[k]) for k in LIST_KEYS if isinstance(value.get(k), list)), ("json_lines" if "\n" not in content.strip() else "object", [value]))
-    lines = [x for x in content.split("\n") if x.strip()]
-    if lines and isinstance(parsed(lines[0])[1], dict):
-        return "json_lines", [parsed(x)[1] for x in lines]
-    return "text", [{"text": content}] if content.strip() else []
+        return next((("entries", value[k]) for k in LIST_KEYS if isinstance(value.get(k), list)), ("json_lines" if "\n" not in text.strip() else "object", [value]))
+    if few and isinstance(parsed(few[0])[1], dict):
+        return "json_lines", [parsed(few[0])[1]]
+    return "text", [{"text": text}] if text.strip() else []
 
 
 def _parse(text_fields: tuple[str, ...], id_fields: tuple[str, ...]):
+    def part(path: str, kind: str, own: list[tuple]) -> pa.RecordBatch:
+        place, ids, texts, entries = zip(*own, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * len(own), pa.string()), pa.array([kind] * len(own), pa.string()), pa.array(place, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(entries, pa.string())],
+            names=["path", "format", "place", "id", "text", "entry"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                kind, entries = told(content.as_py().decode("utf-8", "replace").removeprefix("﻿"))
-                own = [(i, e) for i, e in enumerate(entries) if isinstance(e, dict)]
-                for k in range(0, len(own), 10_000):
-                    part = own[k : k + 10_000]
-                    yield pa.RecordBatch.from_pydict({
-                        "path": pa.array([path] * len(part), pa.string()), "format": pa.array([kind] * len(part), pa.string()), "place": pa.array([i for i, _ in part], pa.int32()), "id": pa.array([first_text(e, id_fields) for _, e in part], pa.string()),
-                        "text": pa.array([e["text"] if kind == "text" else first_text(e, text_fields) for _, e in part], pa.string()), "entry": pa.array([None if kind == "text" else text_of(e) for _, e in part], pa.string())})
+                kind, entries = told(content.as_py())
+                own, size = [], 0
+                for i, e in enumerate(entries):
+                    if isinstance(e, dict):
+                        entry = None if kind == "text" else text_of(e)
+                        own.append((i, first_text(e, id_fields), e["text"] if kind == "text" else first_text(e, text_fields), entry))
+                        size += len(entry or "")
+                    if size > PART_CHARS or len(own) == 10_000:
+                        yield part(path, kind, own)
+                        own, size = [], 0
+                if own:
+                    yield part(path, kind, own)
 
     return run
 

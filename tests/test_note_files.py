@@ -1,7 +1,9 @@
 """Files told apart by content, and walks through any JSON."""
 
 import json
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmill.functions import json_docs as J
@@ -24,6 +26,16 @@ def test_formats(spark, tmp_path):
     assert "length" not in plan.split("ReadSchema")[-1] and "modificationTime" not in plan.split("ReadSchema")[-1]
 
 
+def test_json_lines_are_not_held_together():
+    content = "\n".join(json.dumps({"id": str(i), "text": f"note {i} " * 400}) for i in range(4000)).encode()
+    batch = pa.RecordBatch.from_pydict({"path": ["a"], "content": pa.array([content], pa.binary())})
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in N._parse(N.TEXT_FIELDS, N.ID_FIELDS)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 2.5 * len(content)
+
+
 def test_walks(spark):
     rows = [('{"31652":{"x":[" j1234 ",31653,31653.0,"+31654","code 31655",true,null,"316561"]},"k":-31657}',), ("[]",), ("no",), (None,)]
     got = [r.c for r in spark.createDataFrame(rows, "j string").select(J.codes_anywhere(F.col("j")).alias("c")).collect()]
