@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmill.llm.bpe import encode_decode
+from quillmill.llm.bpe import SMALL_MEMO, encode_decode
 from quillmill.llm.common import shared_folder
 from quillmill.llm.exact_dedup import drop_copies
 from quillmill.llm.language_id import drop_unknown
@@ -46,8 +46,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     if "mixed_position" not in docs.columns:
-        return encode_decode(docs, path)
-    out = encode_decode(docs.select(F.struct("doc_id", "mixed_position").alias("_key"), "text"), path, id_col="_key")
+        return encode_decode(docs, path, memo=SMALL_MEMO)
+    out = encode_decode(docs.select(F.struct("doc_id", "mixed_position").alias("_key"), "text"), path, id_col="_key", memo=SMALL_MEMO)  # executors are full from the stages before
     return out.select("_key.doc_id", *out.columns[1:], "_key.mixed_position")
 
 

@@ -29,8 +29,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: The byte-level split of the public vocabulary (see its README). Fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Memo entries of a generation that a worker keeps.
-MEMO = 350_000
+#: Memo entries of a generation that a worker keeps; and of a small memo, just below two thirds of 2**17, where a dict doubles.
+MEMO, SMALL_MEMO = 350_000, 87_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -77,14 +77,15 @@ def merge(ids: list[int], ranks: dict[int, int], rules: list[tuple[int, int, int
 
 
 class Memo(dict):
-    """A bounded memo of two generations: what the last MEMO new entries didn't ask for is forgotten."""
+    """A bounded memo of two generations: what the last `most` new entries didn't ask for is forgotten."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
+            self.old = {}  # before the copy: no three generations at once
             self.old = dict(self)
             self.clear()
         if (value := self.old.get(key)) is None:
@@ -96,7 +97,7 @@ class Memo(dict):
 class ByteBpe:
     """A byte-level BPE vocabulary in the public library's JSON format."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -113,7 +114,7 @@ class ByteBpe:
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(f"[^[{WHITE}]", f"[^{WHITE}"), regex.V0)
-        self.chunk = Memo(self._chunk)
+        self.chunk = Memo(self._chunk, memo)
         self.decimal = {str(i): s for i, s in self.strings.items()}
 
     def _chunk(self, chunk: str) -> str:
@@ -138,26 +139,26 @@ class ByteBpe:
         return b"".join([self.strings[i] for i in ids]).decode("utf-8", "replace")
 
 
-_open: dict[str, ByteBpe] = {}
+_open: dict[tuple[str, int], ByteBpe] = {}
 
 
-def opened(path: str) -> ByteBpe:
-    if path not in _open:
-        _open[path] = ByteBpe(path)
-    return _open[path]
+def opened(path: str, memo: int = MEMO) -> ByteBpe:
+    if (path, memo) not in _open:
+        _open[path, memo] = ByteBpe(path, memo)
+    return _open[path, memo]
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Encodes every whole text and decodes it again: one row per row of `docs`, without a shuffle.
 
     Columns: the id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256; with
-    `keep_ids` also ids (array<int>) and decoded (string), the operator's real outputs.
+    `keep_ids` also ids (array<int>) and decoded (string), the operator's real outputs. A smaller `memo` takes less memory and more time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = opened(path)
+        bpe = opened(path, memo)
         for batch in batches:
             n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
             for value in batch.column(1):
