@@ -3,8 +3,8 @@
 A change sets, locks or unlocks a path of a case. Locked paths, and all below them, refuse changes; a change that
 expects another version than the case has is refused, too. What is refused is counted and changes nothing.
 
-Changes are applied in the order of their time and id, whatever order they come in: each waits in its case's state
-until the watermark has passed it, and a timer wakes the case when that is due. So the state of a case holds its values and what
+Changes are applied in the order of their time and id, whatever order they come in: each waits in the state of its case's bucket
+until the watermark has passed it, and a timer wakes the bucket when that is due. So a state holds its cases' values and what
 the watermark still allows to be out of order, and nothing is kept by the driver. Changes later than the watermark are
 dropped, as in any stream; null cases, times and paths are, too.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 CHANGES = "case_id string, at timestamp, change_id long, action string, path string, value string, expected long"
 CASES = "case_id string, version long, refused long, record string, locks string"
-_STATE = "version long, refused long, record string, locks string, waiting string"
+_STATE = "known string, waiting string, first long"
 
 
 class Case:
@@ -57,31 +57,51 @@ def replayed(changes: Iterable[tuple]) -> Case:
     return case
 
 
-def fold(changes: DataFrame, late: str) -> DataFrame:
-    """A stream of CHANGES as a stream of CASES: a row for a case whenever the watermark settles changes of it."""
+def _change(text: list) -> tuple:
+    case, t, i, action, path, value, expected = text
+    return case, int(t), int(i), action, path, value, None if expected is None else int(expected)
+
+
+def fold(changes: DataFrame, late: str, buckets: int = 1 << 14) -> DataFrame:
+    """A stream of CHANGES as a stream of CASES: a row for a case whenever the watermark settles changes of it.
+
+    Cases share `buckets` states by a hash of their ids, since a call of Python for each case costs more than its changes do;
+    with cases beyond some millions more buckets keep a state small. A change comes as one JSON text, which waits
+    there as it came and is read once some change of its bucket is due.
+    """
     import pandas as pd
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        *own, waiting = state.get if state.exists else (0, 0, "{}", "[]", "[]")
-        case, waiting = Case(*own), [tuple(x) for x in json.loads(waiting)]
+        known, waiting, first = state.get if state.exists else ("{}", "", None)
+        parts = [waiting] if waiting else []
         for rows in batches:
-            micros = rows["at"].astype("datetime64[us]").astype("int64")
-            for t, i, action, path, value, expected in zip(micros, rows["change_id"], rows["action"], rows["path"], rows["value"], rows["expected"], strict=True):
-                waiting.append((int(t), int(i), action, path, value, None if pd.isna(expected) else int(expected)))
-        upto = state.getCurrentWatermarkMs() * 1000
-        due = sorted((w for w in waiting if w[0] < upto), key=lambda w: w[:2])
-        waiting = [w for w in waiting if w[0] >= upto]
-        for _, _, *change in due:
-            case.apply(*change)
-        state.update((*case.stored, json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000, upto // 1000) + 1)
-        if due:
-            version, refused, record, locks = case.stored
-            yield pd.DataFrame({"case_id": [key[0]], "version": [version], "refused": [refused], "record": [record], "locks": [locks]})
+            if len(rows):
+                parts += rows["change"].tolist()
+                least = int(rows["micros"].to_numpy().min())
+                first = least if first is None else min(first, least)
+        waiting, upto = ",".join(parts), state.getCurrentWatermarkMs() * 1000
+        out = []
+        if first is not None and first < upto:
+            stored, every, due = json.loads(known), [_change(x) for x in json.loads(f"[{waiting}]")], {}
+            for case, *change in sorted((w for w in every if w[1] < upto), key=lambda w: w[:3]):
+                if case not in due:
+                    due[case] = Case(*stored.get(case, ()))
+                due[case].apply(*change[2:])
+            out = [(k, *c.stored) for k, c in due.items()]
+            stored |= {k: own for k, *own in out}
+            left = [w for w in every if w[1] >= upto]
+            known, waiting, first = json.dumps(stored), json.dumps(left)[1:-1], min((w[1] for w in left), default=None)
+        state.update((known, waiting, first))
+        if first is not None:
+            state.setTimeoutTimestamp(max(first // 1000, upto // 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["case_id", "version", "refused", "record", "locks"])
 
     whole = changes.where("case_id IS NOT NULL AND at IS NOT NULL AND path IS NOT NULL AND change_id IS NOT NULL").withWatermark("at", late)
-    return whole.groupBy("case_id").applyInPandasWithState(step, CASES, _STATE, "update", "EventTimeTimeout")
+    micros = F.unix_micros("at")
+    text = F.to_json(F.array("case_id", micros.cast("string"), F.col("change_id").cast("string"), "action", "path", "value", F.col("expected").cast("string")))
+    packed = whole.select(F.pmod(F.xxhash64("case_id"), F.lit(buckets)).alias("bucket"), "at", micros.alias("micros"), text.alias("change"))
+    return packed.groupBy("bucket").applyInPandasWithState(step, CASES, _STATE, "update", "EventTimeTimeout")
 
 
 def replay(changes: DataFrame) -> DataFrame:
