@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,7 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or (current.get() if current.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """`df` as a table; `schema`: what it is read as, where that isn't its own (a user-defined type)."""
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
