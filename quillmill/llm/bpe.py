@@ -148,11 +148,19 @@ def opened(path: str, memo: int = MEMO) -> ByteBpe:
     return _open[path, memo]
 
 
+def closed(path: str, memo: int) -> None:
+    """Forgets the vocabulary and its memo."""
+    if (bpe := _open.pop((path, memo), None)) is not None:
+        bpe.chunk.clear()
+        bpe.chunk.make, bpe.chunk.old = None, {}  # no cycle keeps it
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Encodes every whole text and decodes it again: one row per row of `docs`, without a shuffle.
 
     Columns: the id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256; with
-    `keep_ids` also ids (array<int>) and decoded (string), the operator's real outputs. A smaller `memo` takes less memory and more time.
+    `keep_ids` also ids (array<int>) and decoded (string), the operator's real outputs. A smaller `memo` takes less memory and more
+    time, and is dropped with the vocabulary at the end of a task: workers serve later stages, too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if keep_ids else ""
@@ -175,6 +183,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             if keep_ids:
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
+        if memo < MEMO:
+            closed(path, memo)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
 

@@ -180,6 +180,20 @@ def fit(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: s
     return Model(features(np.array([np.frombuffer(r.x, np.uint16) for r in chosen])), [r.lang for r in chosen])
 
 
+def predicted(model: Model | None, column: pa.Array) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    lang, score = [], []
+    for _, c in counts(column):
+        got, p = model.predict(features(c)) if model else (["und"] * len(c), np.zeros(len(c)))
+        lang += got
+        score += p.tolist()
+    for i, value in enumerate(column):
+        text = value.as_py() or ""
+        if not _LETTER.search(text) and not any(ch.isalpha() for ch in text):
+            lang[i], score[i] = "und", 0.0
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score, one row per row, without a shuffle."""
     names = docs.columns
@@ -187,19 +201,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            column = batch.column(at)
-            lang, score = [], []
-            for _, c in counts(column):
-                got, p = model.predict(features(c)) if model else (["und"] * len(c), np.zeros(len(c)))
-                lang += got
-                score += p.tolist()
-            for i, value in enumerate(column):
-                text = value.as_py() or ""
-                if not _LETTER.search(text) and not any(ch.isalpha() for ch in text):
-                    lang[i], score[i] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*names, "lang_pred", "score"])
+            if len(batch):
+                lang, score = predicted(model, batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*names, "lang_pred", "score"])
 
     from pyspark.sql import types as T
 
@@ -210,10 +214,12 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 def drop_unknown(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs` with an identified language, with their columns; `und` texts go."""
     model = fit(docs.select(id_col, text_col, lang_col), sample, id_col, text_col, lang_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text = f"c{docs.columns.index(text_col)}"
-    kept = identify(plain, model, text_col=text).where("lang_pred <> 'und'").drop("lang_pred", "score")
-    return kept.toDF(*docs.columns)
+
+    @F.arrow_udf("string")
+    def language(column: pa.Array) -> pa.Array:
+        return pa.array(predicted(model, column)[0] if len(column) else [], pa.string())
+
+    return docs.where(language(F.col(text_col)) != "und")  # rows stay where they are, only texts go to Python
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
