@@ -32,10 +32,12 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,55 @@ CLASS = np.searchsorted(STEPS, np.arange(STEPS[-1] + 1), "right").astype(np.uint
 FINE, EDGE = 16, 12
 LEVELS = 2 * FINE * EDGE + 1
 
+#: A symbol's bit has a key: (place, class of the word before, hint, bit). A hint is none, or its class where the expected symbol
+#: has this bit, or its class and `len(STEPS)` where it has the other. A key fixes the gate and the hint's input.
+HINTS = 2 * len(STEPS) + 1
+KEYS = PLACES * (len(STEPS) + 1) * HINTS * 2
+_HINT = np.arange(KEYS) // 2 % HINTS
+KEY_GATE = np.arange(KEYS) // (2 * HINTS) * (len(STEPS) + 1) + np.where(_HINT > len(STEPS), _HINT - len(STEPS), _HINT)
+KEY_BIT = (np.arange(KEYS) % 2).astype(np.float32)
+KEY_INPUT = np.where(_HINT == 0, 0, np.where((_HINT <= len(STEPS)) == (KEY_BIT > 0), HINT, -HINT)).astype(np.float32)
+
+
+def _inputs(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The logits of slots with their classes in the lowest three bits; none is so near 0 that these would be all of it."""
+    x = _LOG[ones] - _LOG[zeros]
+    x[(x == 0) & (zeros > 0)] = 1e-6
+    both = x.view(U32)
+    both &= U32(0xFFFFFFF8)
+    both |= CLASS[np.minimum(zeros + ones, STEPS[-1])]
+    return x
+
+
+def _class(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint16)[::2] & np.uint16(7)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    p = np.minimum(z, np.float32(11))
+    np.maximum(p, np.float32(-11), out=p)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
+
+
+def _level(z: np.ndarray) -> np.ndarray:
+    """The quantised logit, from 0."""
+    return _rounded(z * np.float32(FINE), FINE * EDGE)
+
+
+def _bucket(z: np.ndarray) -> np.ndarray:
+    return _rounded(z * np.float32(2), BUCKETS // 2)
+
+
+def _rounded(x: np.ndarray, most: int) -> np.ndarray:
+    np.minimum(x, np.float32(most), out=x)
+    np.maximum(x, np.float32(-most), out=x)
+    np.rint(x, out=x)
+    x += np.float32(most)
+    return x.astype(np.int64)
+
 
 class Mixer:
     """Tables of bit counts, mixing weights by gate, refinement by gate and bucket."""
@@ -97,15 +148,47 @@ class Mixer:
         self.weights[:, tables] = 0
         self.curve, self.turn = np.full((GATES, tables + 1), 16.0), 0
         self.refined = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0), (GATES, 1))
-        self.ready = None
 
     def __getstate__(self) -> dict:
         """Packed on its way to the tasks: most slots of a small corpus are empty."""
-        return self.__dict__ | {"ready": None} | {n: zlib.compress(getattr(self, n).tobytes(), 1) for n in ("slots", "votes")}
+        kept = {n: v for n, v in self.__dict__.items() if n not in ("seen", "without", "table")}
+        return kept | {n: zlib.compress(getattr(self, n).tobytes(), 1) for n in ("slots", "votes")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {n: np.frombuffer(zlib.decompress(state[n]), np.uint32) for n in ("slots", "votes")}
 
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """The input of each slot."""
+        return _inputs(self.slots & U32(65535), self.slots >> U32(16))
+
+    @cached_property
+    def without(self) -> np.ndarray:
+        """The inputs of each slot less a zero, and less a one, which is what a bit of training sees: it is in one of the halves itself."""
+        out = np.empty((len(self.slots), 2), np.float32)
+        for k in range(0, len(self.slots), 1 << 18):
+            zeros, ones = self.slots[k : k + (1 << 18)] & U32(65535), self.slots[k : k + (1 << 18)] >> U32(16)
+            out[k : k + (1 << 18), 0] = _inputs(zeros - (zeros > 0), ones)
+            out[k : k + (1 << 18), 1] = _inputs(zeros, ones - (ones > 0))
+        return out.reshape(-1)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The log10 probability of a bit by gate, quantised logit and bit."""
+        z = np.arange(LEVELS) / FINE - EDGE
+        at = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
+        low = at.astype(np.int64)
+        p = 0.5 * squash(z) + 0.5 * (self.refined[:, low] * (1 - at + low) + self.refined[:, low + 1] * (at - low))
+        p = np.clip(p, 1e-5, 1 - 1e-5)
+        return np.log10(np.stack([1 - p, p], 2)).astype(np.float32)
+
+    def learner(self) -> Mixer:
+        """One that learns from here; a worker keeps this one as it came, for its next tasks, with what was made of its slots."""
+        self.without  # noqa: B018
+        own = Mixer.__new__(Mixer)
+        own.__dict__ = self.__dict__ | {"weights": self.weights.copy(), "curve": self.curve.copy()}
+        return own
+
     def _gate(self, place: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
         k = len(STEPS) + 1
         return (place * k + seen[0]) * k + seen[1]
@@ -117,57 +200,98 @@ class Mixer:
             z += weights[t].take(gate) * x[t]
         return z
 
-    def logs(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, hint: tuple | None = None) -> np.ndarray:
-        """The log10 probability of each bit; hint: the last table's inputs and classes, where these aren't slots."""
-        if self.ready is None:  # once in each worker: what scoring needs of a slot, and of a gate and logit
-            zeros, ones = self.slots & np.uint32(65535), self.slots >> np.uint32(16)
-            z = np.arange(LEVELS) / FINE - EDGE
-            at = np.clip(z * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
-            low = at.astype(np.int64)
-            p = 0.5 * squash(z) + 0.5 * (self.refined[:, low] * (1 - at + low) + self.refined[:, low + 1] * (at - low))
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            self.ready = _LOG[ones] - _LOG[zeros], CLASS[np.minimum(zeros + ones, STEPS[-1])], np.log10(np.stack([1 - p, p], 2)).astype(np.float32).reshape(-1)
-        logit, sure, table = self.ready
-        gate = self._gate(place, [sure.take(s) for s in slots[-2:]] if hint is None else [sure.take(slots[-1]), hint[1]])
-        z = self._dot([logit.take(s) for s in slots] + ([] if hint is None else [hint[0]]), gate)
-        level = np.rint(np.clip(z, -EDGE, EDGE) * FINE).astype(np.int64) + FINE * EDGE
-        return table.take((gate * LEVELS + level) * 2 + bit)
+    def logs(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The log10 probability of each bit."""
+        x = [self.seen.take(s) for s in slots]
+        gate = self._gate(place, [_class(y) for y in x[-2:]])
+        return self.table.reshape(-1).take((gate * LEVELS + _level(self._dot(x, gate))) * 2 + bit)
 
     def learn(self, slots: list[np.ndarray], place: np.ndarray, bit: np.ndarray, totals: np.ndarray, hint: tuple | None = None) -> None:
-        """One mini-batch, each bit without its own occurrence; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen."""
-        x, seen = [], []
-        half = bit.astype(U32) << U32(4)
+        """One mini-batch, each bit without its own occurrence; totals (2, GATES, BUCKETS) gathers the bits and the ones that the refinement has seen.
+
+        hint: the last table's inputs and classes, where these aren't slots.
+        """
+        x = []
         for t, s in enumerate(slots):
-            both = self.slots.take(s)
-            if t or hint is None:
-                # Less the bit itself, which is in one of the halves. Not without a context: codes are made from these counts,
-                # so zeros and ones are nearly equal, and what a bit leaves behind would tell it.
-                both -= ((both >> half & U32(65535)) > 0).astype(U32) << half
-            zeros, ones = both & U32(65535), both >> U32(16)
-            x.append(_LOG.take(ones) - _LOG.take(zeros))
-            if t >= self.tables - 2:
-                seen.append(CLASS.take(np.minimum(zeros + ones, STEPS[-1])))
+            # Less the bit itself. Not without a context: codes are made from these counts, so zeros and ones are nearly equal,
+            # and what a bit leaves behind would tell it.
+            x.append(self.without.take((s << 1) + bit) if t or hint is None else self.seen.take(s))
+        seen = [_class(y) for y in x[max(0, self.tables - 2) :]]
         if hint is not None:
             x.append(hint[0])
             seen.append(hint[1])
         gate = self._gate(place, seen)
         z = self._dot(x, gate)
-        p = 1 / (1 + np.exp(-np.clip(z, -11, 11)))
+        p = _chance(z)
         error = bit - p
         x.append(np.ones(len(z), np.float32))
-        if self.turn % 4 == 0 or (np.bincount(gate, minlength=GATES) > self.curve[:, self.tables]).any():
-            # The curvature changes slowly: it is measured in every fourth batch, for the four, and where a gate has many bits at once.
+
+        def curves() -> np.ndarray:
             curve = np.maximum(p * (1 - p), LEAST_BIT)  # sure bits count, too: a wrong one moves the weights by little
-            for t in range(self.tables + 1):
-                self.curve[:, t] = np.maximum(0.92 * self.curve[:, t] + 4 * np.bincount(gate, curve * x[t] * x[t], GATES), LEAST_CURVE)
-        self.turn += 1
-        for t in range(self.tables + 1):
-            self.weights[:, t] += np.bincount(gate, error * x[t], GATES) / self.curve[:, t]
-        cell = gate * BUCKETS + np.rint(np.clip(z * 2, -(BUCKETS // 2), BUCKETS // 2)).astype(np.int64) + BUCKETS // 2
-        seen_bits = np.bincount(cell * 2 + bit, minlength=2 * GATES * BUCKETS).reshape(GATES, BUCKETS, 2)
+            return np.array([np.bincount(gate, curve * y * y, GATES) for y in x])
+
+        self._step(np.bincount(gate, minlength=GATES), np.array([np.bincount(gate, error * y, GATES) for y in x]), curves)
+        seen_bits = np.bincount((gate * BUCKETS + _bucket(z)) * 2 + bit, minlength=2 * GATES * BUCKETS).reshape(GATES, BUCKETS, 2)
         totals[0] += seen_bits.sum(2)
         totals[1] += seen_bits[:, :, 1]
 
+    def _step(self, bits: np.ndarray, pull: np.ndarray, curves: Callable[[], np.ndarray]) -> None:
+        """Moves the weights; bits by gate, pull and curvature by table and gate."""
+        if self.turn % 4 == 0 or (bits > self.curve[:, self.tables]).any():
+            # The curvature changes slowly: it is measured in every fourth batch, for the four, and where a gate has many bits at once.
+            self.curve = np.maximum(0.92 * self.curve + 4 * curves().T, LEAST_CURVE)
+        self.turn += 1
+        self.weights += pull.T / self.curve
+
+    def plain(self, symbols: Symbols) -> np.ndarray:
+        """The input without a context of each place in the codes."""
+        slots = self.slots[: symbols.nodes]
+        return _inputs(slots & U32(65535), slots >> U32(16))[symbols.node]
+
+    def _keyed(self, plain: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, logit) of symbols' bits; plain, context: their inputs; key: without the class of the context."""
+        key = (key + _class(context) * np.uint16(2 * HINTS)).astype(np.int64)
+        w = self.weights[KEY_GATE]
+        z = (w[:, 2] * KEY_INPUT + w[:, 3]).take(key, mode="clip")  # keys are in range; this spares their check
+        for k, x in ((0, plain), (1, context)):
+            y = w[:, k].copy().take(key, mode="clip")
+            y *= x
+            z += y
+        return key, z
+
+    def coded_logs(self, plain: np.ndarray, slot: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """As logs(), of symbols' bits."""
+        key, z = self._keyed(plain, self.seen.take(slot), key)
+        level = _level(z)
+        key *= LEVELS
+        level += key
+        return self._key_table.take(level, mode="clip")
+
+    @cached_property
+    def _key_table(self) -> np.ndarray:
+        return self.table[KEY_GATE[:, None], np.arange(LEVELS), np.arange(KEYS)[:, None] % 2].reshape(-1)
+
+    def learn_coded(self, plain: np.ndarray, slot: np.ndarray, key: np.ndarray, totals: np.ndarray) -> None:
+        """As learn(), of symbols' bits; totals is by key and bucket."""
+        slot = slot << 1
+        slot += key & np.uint16(1)
+        context = self.without.take(slot)
+        key, z = self._keyed(plain, context, key)
+        p = _chance(z)
+        error = KEY_BIT.take(key, mode="clip")
+        error -= p
+
+        def sums(y: np.ndarray, a: np.ndarray, b: np.ndarray, hint: np.ndarray) -> np.ndarray:
+            all_bits = np.bincount(key, y, KEYS)
+            return np.array([np.bincount(KEY_GATE, v, GATES) for v in (np.bincount(key, y * a, KEYS), np.bincount(key, y * b, KEYS), all_bits * hint, all_bits)])
+
+        at = key * BUCKETS
+        at += _bucket(z)
+        seen = np.bincount(at, minlength=KEYS * BUCKETS).reshape(KEYS, BUCKETS)
+        totals += seen
+        self._step(np.bincount(KEY_GATE, seen.sum(1), GATES), sums(error, plain, context, KEY_INPUT),
+                   lambda: sums(np.maximum(p * (1 - p), LEAST_BIT), plain * plain, context * context, KEY_INPUT * KEY_INPUT))
+
     def state(self, totals: np.ndarray) -> Iterator[tuple[int, float, float]]:
         """(cell, weight, weighted value) of all that has been learned, for a sum over partitions."""
         n = totals[0].sum(1)
@@ -216,8 +340,7 @@ class Symbols:
         if real:
             column = pa.array([words[i] for i in real], pa.large_binary())
             hashes[real] = np.concatenate([h for _, _, _, h, _, _ in words_of(*buffers(column))])
-        order = np.argsort(hashes)
-        self.sorted, self.order = hashes[order], order
+        self.hashes = hashes
         self.logs = np.log10(np.append(counts, 0) + 1.0)
         codes = huffman([*counts, others])
         self.length = np.array([len(c) for c in codes])
@@ -240,41 +363,74 @@ class Symbols:
         """What a node adds to a context."""
         return (self.node + 1).view(U) * _NODE
 
+    @cached_property
+    def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the commonest symbol by the first 18 bits of its hash, the other symbols by hash, their hashes)."""
+        n = len(self.hashes)
+        first, at = np.full(1 << 18, n), (self.hashes >> U(46)).view(np.int64)
+        first[at[::-1]] = np.arange(n)[::-1]
+        rest = np.flatnonzero(first[at] != np.arange(n))
+        rest = rest[np.argsort(self.hashes[rest])]
+        return first, rest, self.hashes[rest]
+
     def find(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
+        n = len(self.hashes)
+        if not n:
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == h, self.order[at], len(self.sorted))
-
-    def events(self, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-        """(bits of each token, place in the codes, slots by table, place in the code, bit) of the bits of tokens with these symbols and contexts."""
+        first, rest, sorted_rest = self._first
+        out = first.take((h >> U(46)).view(np.int64))
+        out[self.hashes.take(out, mode="clip") != h] = n
+        if len(rest):
+            left = np.flatnonzero(out == n)
+            at = np.minimum(np.searchsorted(sorted_rest, h[left]), len(rest) - 1)
+            good = sorted_rest[at] == h[left]
+            out[left[good]] = rest[at[good]]
+        return out
+
+    @cached_property
+    def _by_place(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place in the codes its key without hint and class; of each symbol its code from the highest bit on."""
+        inner = np.arange(len(self.code)) - np.repeat(self.start, self.length)
+        key = np.minimum(inner >> 2, PLACES - 1) * ((len(STEPS) + 1) * HINTS * 2) + self.bit
+        path = np.zeros(self.nodes, U)
+        short = inner < 64  # longer codes need some 10**13 tokens; their hints would be of the first 64 bits
+        np.add.at(path, np.repeat(np.arange(self.nodes), self.length)[short], self.bit[short].astype(U) << (63 - inner[short]).astype(U))
+        return key.astype(np.uint16), path
+
+    def bits_of(self, symbol: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits of each token, place in the codes, slot of the word before) of the bits of tokens with these symbols and contexts."""
         size = self.length.take(symbol)
-        ahead = np.cumsum(size) - size
-        inner = np.arange(int(size.sum())) - np.repeat(ahead, size)
-        at = inner + np.repeat(self.start.take(symbol), size)
-        code = self.code.take(at)
-        node = (code >> 1).astype(np.int64)
-        slots = [node, self.nodes + _slot(np.repeat(one, size), (node + 1).view(U) * _NODE, self.bits - 1)]
-        return size, at, slots, np.minimum(inner >> 2, PLACES - 1), (code & 1).astype(np.uint8)
-
-    def hints(self, size: np.ndarray, at: np.ndarray, node: np.ndarray, symbol: np.ndarray, two: np.ndarray, votes: np.ndarray, without: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(input, class) of the symbol that the votes expect, for each bit; `without`: less each token's own vote.
-
-        The arguments are as events() returns them; node: its first slots.
-        """
-        vote = votes[self.context(two)]
+        at = np.repeat(self.start.take(symbol) - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        slot = ((self.code.take(at) >> 1) + 1).astype(U)  # less memory to reach into than the salts
+        slot *= _NODE
+        slot ^= np.repeat(one, size)
+        slot *= _SPREAD
+        slot >>= U(65 - self.bits)
+        slot = slot.view(np.int64)
+        slot += self.nodes
+        return size, at, slot
+
+    def keys(self, size: np.ndarray, at: np.ndarray, symbol: np.ndarray, two: np.ndarray, votes: np.ndarray, without: bool) -> np.ndarray:
+        """The key, without the class of the word before, of each bit, with the symbol that the votes expect; `without`: less each token's own vote."""
+        key, path = self._by_place
+        vote = votes.take(self.context(two))
         guess, n = (vote >> U32(15)).astype(np.int64), (vote & U32(32767)).astype(np.int64)
         if without:
             n = n + np.where(guess == symbol, -1, n > 0)
-        guess[n <= 0] = 0
-        first = self.start.take(guess)
-        there = at + np.repeat(first - self.start.take(symbol), size)
-        inside = there < np.repeat(np.where(n > 0, first + self.length.take(guess), -1), size)
-        there[~inside] = 0
-        code = self.code.take(there)
-        inside &= code >> 1 == node
-        sure = np.repeat(CLASS.take(np.clip(n, 0, STEPS[-1])), size)
-        return np.where(inside, (code & 1) * (2 * HINT) - HINT, np.float32(0)).astype(np.float32), sure * inside
+        sure = CLASS.take(np.clip(n, 0, STEPS[-1])).astype(np.uint16)
+        # Both codes pass the same nodes up to the first bit that differs, and that one's node.
+        differ = path.take(symbol) ^ path.take(guess, mode="clip")
+        high = differ >> U(32)
+        same = np.where(high > 0, 32, 64) - np.frexp(np.where(high > 0, high, differ).astype(np.float64))[1]
+        same = np.where(n > 0, np.where(guess == symbol, size, np.minimum(same, size)), 0)
+        other = (n > 0) & (same < size)
+        kinds, bits = np.zeros((len(symbol), 3), np.uint16), np.empty((len(symbol), 3), np.int64)
+        kinds[:, 0], kinds[:, 1] = 2 * sure, 2 * (sure + np.uint16(len(STEPS)))
+        bits[:, 0], bits[:, 1], bits[:, 2] = same, other, size - same - other
+        out = np.repeat(kinds.reshape(-1), bits.reshape(-1))
+        out += key.take(at)
+        return out
 
     def context(self, two: np.ndarray) -> np.ndarray:
         return _slot(two, U(0), self.bits)
@@ -284,8 +440,9 @@ class Symbols:
         slot = self.context(two)
         key, n = np.unique(slot << 17 | symbol, return_counts=True)
         slot = key >> 17
-        order = np.lexsort((n, slot))
-        key, n, slot = key[order], n[order], slot[order]
+        key = (slot << 23 | n) << 17 | key & 131071  # fewer than 2**23 tokens at once
+        key.sort()
+        slot, n = key >> 40, key >> 17 & 8388607
         last = np.flatnonzero(np.append(slot[1:] != slot[:-1], True))
         total = np.diff(np.append(0, np.cumsum(n)[last]))
         lead = 2 * n[last] - total
@@ -369,19 +526,22 @@ def spelled(words: list[bytes], mixer: Mixer, bits: int) -> np.ndarray:
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, occurrences in training) for the distinct tokens of each batch of (training?, text)."""
     for batch in batches:
-        seen: Counter = Counter()
-        new: Counter = Counter()
-        for train, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = (text.as_py() or "").encode().lower().split()
-            words.append(b"")
-            (seen if train else new).update(words)
-        words = list(seen)
-        n = list(seen.values())
-        rest = [w for w in new if w not in seen]
-        words += rest
-        n += [0] * len(rest)
+        train = batch.column(0).fill_null(False)
+        text = batch.column(1).fill_null("")
+        seen = _words(text.filter(train)).value_counts()
+        new = _words(text.filter(pc.invert(train))).unique()
+        new = new.filter(pc.invert(pc.is_in(new, seen.field(0))))
+        words = pa.concat_arrays([seen.field(0), new]).cast(pa.binary())
+        n = pa.concat_arrays([seen.field(1), pa.array(np.zeros(len(new), np.int64))])
+        ends = pc.sum(train).as_py() or 0
+        words, n = (pa.concat_arrays([x, pa.array([y], x.type)]) for x, y in ((words, b""), (n, ends)))
         for i in range(0, len(words), 100_000):
-            yield pa.RecordBatch.from_pydict({"w": pa.array(words[i : i + 100_000], pa.binary()), "c": pa.array(n[i : i + 100_000], pa.int64())})
+            yield pa.RecordBatch.from_arrays([words.slice(i, 100_000), n.slice(i, 100_000)], ["w", "c"])
+
+
+def _words(text: pa.Array) -> pa.Array:
+    words = pc.ascii_split_whitespace(pc.ascii_lower(text)).flatten()
+    return words.filter(pc.greater(pc.binary_length(words), 0))
 
 
 def _chunk(k: int, part: np.ndarray) -> pa.RecordBatch:
@@ -395,12 +555,11 @@ def _filled(events: Iterator[tuple[list[np.ndarray], np.ndarray]], slots: int, v
     """Rows (chunk, task, bytes of a number, packed numbers) of the bits in each slot; of the votes with negative chunks."""
     counts = np.zeros(2 * slots, np.int32)
     for by_table, bit in events:
-        side = bit.astype(np.int64) * slots
         for s in by_table:
-            np.add.at(counts, s + side, np.int32(1))
-    both = counts.reshape(2, slots)
+            np.add.at(counts, (s << 1) + bit, np.int32(1))
+    both = counts.reshape(slots, 2)
     for k in range(0, slots, CHUNK):
-        part = both[:, k : k + CHUNK]
+        part = both[k : k + CHUNK].T
         if part.any():
             part = part.astype(np.uint16) if part.max() < 1 << 16 else part
             yield _chunk(k, part)
@@ -437,6 +596,14 @@ def _learned(mixer: Mixer, states: DataFrame) -> None:
     mixer.take([(r.k, r.n, r.v) for r in collect_bounded(cells, GATES * (mixer.tables + 1 + BUCKETS), "cells")])
 
 
+def _by_gate(seen: np.ndarray) -> np.ndarray:
+    """Bits by key and bucket as bits and ones by gate and bucket."""
+    totals = np.zeros((2, GATES, BUCKETS))
+    np.add.at(totals[0], KEY_GATE, seen)
+    np.add.at(totals[1], KEY_GATE[1::2], seen[1::2])
+    return totals
+
+
 def _state_rows(mixer: Mixer, totals: np.ndarray) -> pa.RecordBatch:
     k, n, v = zip(*mixer.state(totals), strict=True) if totals[0].any() else ((), (), ())
     return pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "n": pa.array(n, pa.float64()), "v": pa.array(v, pa.float64())})
@@ -455,9 +622,15 @@ class Model:
 
     def coded(self, symbol: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """The log10 probability of each token's symbol in its context."""
-        size, at, slots, place, bit = self.symbols.events(symbol, one)
-        logs = self.mixer.logs(slots, place, bit, self.symbols.hints(size, at, slots[0], symbol, two, self.mixer.votes, False))
-        return np.bincount(np.repeat(np.arange(len(symbol)), size), logs, len(symbol))
+        size, at, slot = self.symbols.bits_of(symbol, one)
+        if not len(at):
+            return np.zeros(len(symbol))  # a lone symbol has no bits; elsewhere every symbol has
+        logs = self.mixer.coded_logs(self._plain.take(at), slot, self.symbols.keys(size, at, symbol, two, self.mixer.votes, False))
+        return np.add.reduceat(logs, np.cumsum(size) - size, dtype=np.float64)
+
+    @cached_property
+    def _plain(self) -> np.ndarray:
+        return self.mixer.plain(self.symbols)
 
     def other(self, words: list[bytes], seen: np.ndarray) -> np.ndarray:
         """The log10 probability of tokens without a symbol, given that; seen: their counts in training."""
@@ -484,14 +657,15 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
         own, votes = shared.value, np.zeros(1 << shared.value.bits, np.uint32)
 
         def events():
+            bits = own.bit
             for batch in batches:
                 for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
                     for i in range(0, len(h), 1 << 13):
                         s = slice(i, i + (1 << 13))
                         symbol = own.find(h[s])
                         own.vote(votes, two[s], symbol)
-                        _, _, slots, _, bit = own.events(symbol, one[s])
-                        yield slots[1:], bit  # without a context: see below
+                        _, at, slot = own.bits_of(symbol, one[s])
+                        yield [slot], bits.take(at)  # without a context: see below
 
         return _filled(events(), own.slots, votes)
 
@@ -503,17 +677,17 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
     start = spark.sparkContext.broadcast(mixer)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, code, totals = start.value, shared.value, np.zeros((2, GATES, BUCKETS))
-        own.weights, own.curve = own.weights.copy(), own.curve.copy()
+        own, code, seen = start.value.learner(), shared.value, np.zeros((KEYS, BUCKETS))
+        plain = own.plain(code)
         for batch in batches:
             for _, _, _, h, one, two, _, _ in sequences(batch.column(0)):
                 for i in range(0, len(h), 1 << 11):
                     s = slice(i, i + (1 << 11))
                     symbol = code.find(h[s])
-                    size, at, slots, place, bit = code.events(symbol, one[s])
-                    if len(bit):
-                        own.learn(slots, place, bit, totals, code.hints(size, at, slots[0], symbol, two[s], own.votes, True))
-        yield _state_rows(own, totals)
+                    size, at, slot = code.bits_of(symbol, one[s])
+                    if len(at):
+                        own.learn_coded(plain.take(at), slot, code.keys(size, at, symbol, two[s], own.votes, True), seen)
+        yield _state_rows(own, _by_gate(seen))
 
     _learned(mixer, texts.mapInArrow(learn, "k int, n double, v double"))
 
@@ -534,8 +708,7 @@ def train_model(table: DataFrame, texts: DataFrame) -> tuple[Model, int, int]:
     first = spark.sparkContext.broadcast(spelling)
 
     def learn_spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, totals = first.value, np.zeros((2, GATES, BUCKETS))
-        own.weights, own.curve = own.weights.copy(), own.curve.copy()
+        own, totals = first.value.learner(), np.zeros((2, GATES, BUCKETS))
         for batch in batches:
             for i in range(0, len(batch), 1_000):
                 part = Spelling(batch.column(0).slice(i, 1_000).to_pylist(), bits)
@@ -563,7 +736,7 @@ def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str
         own = shared.value
         for batch in batches:
             data, _ = buffers(batch.column(2))
-            data = data.tobytes()
+            data = data.tobytes().lower()
             for a, b, owner, h, one, two, begin, end in sequences(batch.column(2)):
                 symbol = own.symbols.find(h)
                 lp = np.concatenate([own.coded(symbol[i : i + (1 << 12)], one[i : i + (1 << 12)], two[i : i + (1 << 12)]) for i in range(0, len(h), 1 << 12)])
@@ -574,11 +747,12 @@ def score(docs: DataFrame, train: object, id_col: str = "doc_id", text_col: str
                 rest: list[Counter] = [Counter() for _ in range(b - a)]
                 at = np.flatnonzero(~known)
                 for d, s, e in zip(owner[at].tolist(), begin[at].tolist(), end[at].tolist(), strict=True):
-                    rest[d][data[s:e].lower() if s >= 0 else b""] += 1
-                others = [[{"w": w, "k": k} for w, k in r.items()] for r in rest]
+                    rest[d][data[s:e]] += 1  # of an end nothing
+                words, times = pa.array([w for r in rest for w in r], pa.binary()), pa.array([k for r in rest for k in r.values()], pa.int32())
+                others = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]), pa.int32()), pa.StructArray.from_arrays([words, times], ["w", "k"]))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(plain), pa.array(total), pa.array(size.astype(np.int64)), pa.array(others, pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32())])))],
+                    [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(found.astype(np.int64)), pa.array(plain), pa.array(total), pa.array(size.astype(np.int64)), others],
                     ["_id", "_train", "n", "known", "base", "lp", "size", "others"])
 
     kind = docs.schema[id_col].dataType.simpleString()

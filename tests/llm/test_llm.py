@@ -476,6 +476,19 @@ def test_lm_weights_stay_bounded():
     assert np.abs(m.weights).max() < 10
 
 
+def test_lm_tasks_learn_from_the_same_start(spark, monkeypatch):
+    """A task doesn't go on from what its worker's last task has learned: equal partitions learn the same, in whatever workers."""
+    found = []
+    monkeypatch.setattr(lm_scoring, "_learned", lambda mixer, states: found.append(states.collect()))
+    r = random.Random(5)
+    text = " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(9000))
+    lm_model(spark.range(0, 32, 1, 32).select("id", F.lit(text).alias("text")), F.lit(True))
+    cells = collections.defaultdict(list)
+    for x in found[0]:
+        cells[x.k].append((x.n, x.v))
+    assert cells and all(len(v) == 32 and len(set(v)) == 1 for v in cells.values())
+
+
 def test_topk_without_candidates(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<float>")
     assert topk.exact_topk(v.where("vec_id = 2"), v).count() == topk.exact_topk(v.limit(0), v).count() == 0
