@@ -365,9 +365,9 @@ class Symbols:
 
     @cached_property
     def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(the commonest symbol by the first 18 bits of its hash, the other symbols by hash, their hashes)."""
+        """(the commonest symbol by the first 20 bits of its hash, the other symbols by hash, their hashes)."""
         n = len(self.hashes)
-        first, at = np.full(1 << 18, n), (self.hashes >> U(46)).view(np.int64)
+        first, at = np.full(1 << 20, n, np.int32), (self.hashes >> U(44)).view(np.int64)
         first[at[::-1]] = np.arange(n)[::-1]
         rest = np.flatnonzero(first[at] != np.arange(n))
         rest = rest[np.argsort(self.hashes[rest])]
@@ -378,10 +378,10 @@ class Symbols:
         if not n:
             return np.zeros(len(h), np.int64)
         first, rest, sorted_rest = self._first
-        out = first.take((h >> U(46)).view(np.int64))
-        out[self.hashes.take(out, mode="clip") != h] = n
-        if len(rest):
-            left = np.flatnonzero(out == n)
+        out = first.take((h >> U(44)).view(np.int64)).astype(np.int64)
+        left = np.flatnonzero((self.hashes.take(out, mode="clip") != h) & (out < n))
+        out[left] = n
+        if len(rest) and len(left):
             at = np.minimum(np.searchsorted(sorted_rest, h[left]), len(rest) - 1)
             good = sorted_rest[at] == h[left]
             out[left[good]] = rest[at[good]]
