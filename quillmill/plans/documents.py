@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quillmill.functions import text as T
 from quillmill.operators import spans as S
-from quillmill.operators.phrases import Phrase, repaired
+from quillmill.operators.phrases import find_repairs
 from quillmill.operators.quotes import anchor_quotes
 from quillmill.operators.set_join import jaccard_join, near_parts
 from quillmill.operators.terms import find_terms
@@ -18,8 +18,6 @@ from quillmill.sources.tables import table
 big = lambda c: c.cast("bigint")
 #: Documents that begin alike and are compared in one part.
 ALIKE = 64
-#: Phrases of a dictionary that goes to every task whole.
-MOST_PHRASES = 100_000
 
 
 def _span_sql(keep: str, source: str = "documents", id_col: str = "doc_id") -> str:
@@ -414,11 +412,9 @@ def merged_versions(spark, d):
 @query(None)
 def phrase_repairs(spark, d):
     """Pairs of long words of the benchmark that documents hold in a garbled form, and what they should be."""
-    # Of each benchmark item two neighbouring words: as many phrases as items.
-    item = F.regexp_extract("text", "([A-Za-z]{6,} [A-Za-z]{6,})", 1)
-    chosen = table(spark, d, "benchmark").select(F.lower(item).alias("p")).where("p <> ''").distinct()
-    phrases = tuple(Phrase(r.p) for r in chosen.orderBy("p").limit(MOST_PHRASES + 1).collect())
-    if len(phrases) > MOST_PHRASES:
-        raise ValueError(f"over {MOST_PHRASES} phrases")
-    rows = table(spark, d, "documents").select("doc_id", F.inline(repaired(F.col("text"), phrases)["repairs"]))
-    return rows.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "replacement", "score")
+    # All neighbours, those that share a word too.
+    pair = F.regexp_extract_all("text", F.lit("(?<![A-Za-z])(?=([A-Za-z]{6,} [A-Za-z]{6,}))"), F.lit(1))
+    phrases = table(spark, d, "benchmark").select(F.explode(pair).alias("p")).select(F.lower("p").alias("phrase"))
+    # A row's place in its file tells rows of one doc_id apart.
+    docs = table(spark, d, "documents").select(F.struct("doc_id", "_metadata.file_path", "_metadata.row_index").alias("row"), "text")
+    return find_repairs(docs, phrases, id_col="row").select("row.doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "replacement", "score")

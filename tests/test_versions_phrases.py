@@ -162,3 +162,37 @@ def test_repaired_text(spark):
     got = [tuple(x.r) if x.r else None for x in spark.createDataFrame(rows, "t string").select(P.repaired(F.col("t")).alias("r")).collect()]
     assert got[0][0] == "Underwent therapeutic aspiration and Fiduclal Markar; radial ebus. [REDACTED] bronchoalveolar lavage"
     assert got[1] == ("", []) and got[2] is None and got[3] == (rows[3][0], []) and len(got[4][1]) == 16 and got[5][0] == "RADIAL EBUS and Radial Ebus"
+
+
+def test_all_repairs_of_a_text():
+    own = P.Repairer(P.PHRASES)
+    text = "therapeutlc aspiration, " * 50 + "radial ebvs"
+    assert len(own.repairs(text)) == 16 and own.repairs(text, None) == plain_repairs(text, P.PHRASES, 1000) and len(own.repairs(text, None)) == 51
+    began = time.time()
+    assert len(own.repairs("therapeutlc aspiration, " * 20_000, None)) == 20_000 and time.time() - began < 20
+
+
+def test_repairs_of_phrases_in_blocks(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice(["th", "er", "on", "an", "re"]) for _ in range(r.randrange(3, 6))) for _ in range(60)]
+    phrases = sorted({" ".join(r.choices(words, k=2)) for _ in range(80)})
+    garbled = lambda t: t[:3] + r.choice("lx") + t[4:]
+    texts = [", ".join(garbled(r.choice(phrases)) for _ in range(r.randrange(40))) for _ in range(30)] + [None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(p,) for p in [*phrases, phrases[0], "", None]], "phrase string")
+    want = {(i, s, e, x, score) for i, t in enumerate(texts) for s, e, x, score in plain_repairs(t or "", [P.Phrase(p) for p in phrases], 1000)}
+    assert max(sum(w[0] == i for w in want) for i in range(30)) > 16
+    for size in (1_000_000, 300):  # one block, and several whose windows overlap
+        got = [tuple(x) for x in P.find_repairs(docs, table, block_chars=size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    none = P.find_repairs(docs, table.where("phrase = ''"))
+    assert none.columns == ["doc_id", "start", "end", "replacement", "score"] and not none.collect()
+
+
+def test_phrase_repairs_takes_all_phrases_and_all_places(spark, tmp_path):
+    # An item has several pairs, a text over 16 places, two rows one id.
+    docs = [(1, "fiducial marker " + "therapeutlc aspiration, " * 40), (2, "needle navigationa1 bronchoscopy"), (2, "needle navigationa1 bronchoscopy"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "Fiducial marker of therapeutic aspiration, Therapeutic navigational bronchoscopy"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(x) for x in QUERIES["phrase_repairs"].run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [(1, 16 + 24 * i, 38 + 24 * i, "therapeutic aspiration", 95.2) for i in range(40)] + [(2, 7, 32, "navigational bronchoscopy", 95.8)] * 2
